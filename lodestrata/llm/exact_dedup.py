@@ -145,7 +145,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         recipes = materialise(_spell_out(recipes, texts, shared), "spelt")
     groups = recipes.groupBy("recipe").agg(F.max(F.struct("_id", "_key")).alias("last"), F.count("*").alias("group_size"))
     # a copy joins its group by the ordered list itself; most rows are alone and need no partner
-    many = groups.filter("group_size > 1").select("recipe", "last", "group_size")
+    # written out, so that both sides of the join are dealt anew and a hot recipe can be split
+    many = materialise(groups.filter("group_size > 1").select("recipe", "last", "group_size"), "groups")
     both = recipes.join(many, "recipe", "left")
     alone = F.col("last").isNull()
     return both.select(

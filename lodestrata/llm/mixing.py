@@ -56,10 +56,11 @@ def replication(docs: DataFrame, weights: dict[str, float] | None = None, temper
     else:
         weight = F.lit(float(default_weight))
     sizes = sizes.withColumn("weight", weight)
-    sums = sizes.agg(F.sum("n").alias("rows"), F.sum("weight").alias("weights"))
-    # the sums are one row; joined on a constant, as there is no key
-    sizes = sizes.withColumn("_one", F.lit(1)).join(sums.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    return sizes.select(source_col, "n", F.when(F.col("weights") > 0, F.round(F.col("rows") * F.col("weight") / F.col("weights") / F.col("n"), 12)).otherwise(0.0).alias("mean"))
+    total = sizes.agg(F.sum("n").alias("rows"), F.sum("weight").alias("weights")).first()  # one row
+    if not total["weights"]:
+        return sizes.select(source_col, "n", F.lit(0.0).alias("mean"))
+    mean = F.lit(total["rows"]) * F.col("weight") / F.lit(float(total["weights"])) / F.col("n")
+    return sizes.select(source_col, "n", F.round(mean, 12).alias("mean"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, default_weight: float = 0.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", shuffle: bool = True) -> DataFrame:

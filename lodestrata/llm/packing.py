@@ -129,7 +129,7 @@ def plan_windows(counts: dict[int, int], size: int) -> list[tuple[int, int, int,
     tree, pools, opened, out = CapacityTree(size), {}, 0, []
 
     def give(capacity: int, first: int, n: int) -> None:
-        if capacity:
+        if capacity and n:
             pools.setdefault(capacity, deque()).append((first, n))
             tree.set(capacity, True)
 
@@ -137,28 +137,28 @@ def plan_windows(counts: dict[int, int], size: int) -> list[tuple[int, int, int,
         rank, left = 0, counts[length]
         while left:
             room = tree.least(length)
-            if room is None:  # each new window is filled before the next is opened
-                each = size // length
-                full, rest = divmod(left, each)
-                for slot in range(each):
-                    n = full + (slot < rest)
-                    if n:
-                        out.append((length, rank, n, opened, slot * length))
-                        rank += n
-                give(size - each * length, opened, full)
-                if rest:
-                    give(size - rest * length, opened + full, 1)
-                opened += full + bool(rest)
-                break
-            first, n = pools[room].popleft()
-            take = min(n, left)
-            out.append((length, rank, take, first, size - room))
-            if take < n:
-                pools[room].appendleft((first + take, n - take))
-            elif not pools[room]:
-                tree.set(room, False)
-            give(room - length, first, take)
-            rank, left = rank + take, left - take
+            if room is None:  # open as many windows as it takes
+                room, first, n = size, opened, -(-left // (size // length))
+                opened += n
+            else:
+                first, n = pools[room].popleft()
+                if not pools[room]:
+                    tree.set(room, False)
+            # a window that has taken a piece is the tightest for the next one while that fits,
+            # as none was open between; so each is filled before the next
+            each = room // length
+            full = min(n, left // each)
+            rest = left - full * each if full < n else 0
+            for slot in range(each):
+                k = full + (slot < rest)
+                if k:
+                    out.append((length, rank, k, first, size - room + slot * length))
+                    rank += k
+            give(room - each * length, first, full)
+            if rest:
+                give(room - rest * length, first + full, 1)
+            give(room, first + full + bool(rest), n - full - bool(rest))
+            left -= full * each + rest
     return out
 
 

@@ -28,12 +28,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 SYMBOLS = "#*$%&|<>"
 #: The vector of a document, as statistics that are near normal in ordinary prose, and the least
 #: standard deviation that each is taken to have.
-FEATURES = {
-    "f_word": F.log1p(F.col("word_chars") / F.greatest("n_words", F.lit(1))),
-    "f_symbol": F.sqrt(F.col("n_symbols") / F.greatest("n_words", F.lit(1))),
-    "f_lines": F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))),
-    "f_repeat": F.sqrt(F.col("n_repeat_words") / F.greatest("n_words", F.lit(1))),
-}
+FEATURES = ["f_word", "f_symbol", "f_lines", "f_repeat"]
 FLOORS = {"f_word": 0.08, "f_symbol": 0.10, "f_lines": 0.16, "f_repeat": 0.16}
 STEPS, SHARE, LEAST = 4, 0.75, 60
 #: Chi-square with 4 degrees of freedom: 0.9999 quantile. The covariance of the closest SHARE of a
@@ -118,6 +113,17 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
+def features() -> dict[str, Column]:
+    """Mean word length on a log scale, and roots of the shares of symbols, repeated lines and repeated words."""
+    words = F.greatest("n_words", F.lit(1))
+    return {
+        "f_word": F.log1p(F.col("word_chars") / words),
+        "f_symbol": F.sqrt(F.col("n_symbols") / words),
+        "f_lines": F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))),
+        "f_repeat": F.sqrt(F.col("n_repeat_words") / words),
+    }
+
+
 # ---------------------------------------------------------------- minimum covariance determinant
 
 
@@ -180,7 +186,8 @@ def _concentrate(rows: DataFrame, now: DataFrame, share: float) -> DataFrame:
     the group.
     """
     near = _distance(rows.join(now, "_group")).withColumn("_bin", F.floor(F.log2(F.greatest("d2", F.lit(2.0**LOW))) * BINS).cast("int"))
-    bins = near.groupBy("_group", "_bin").agg(*_sums())
+    # written out, so that the sums of a bin meet by group and bin, and only a row for each bin meets by group
+    bins = materialise(near.groupBy("_group", "_bin").agg(*_sums()), "bins")
     outwards = Window.partitionBy("_group").orderBy("_bin")
     whole = Window.partitionBy("_group")
     names = ["n", *[f"s_{a}" for a in FEATURES], *[f"s_{a}_{b}" for a, b in _pairs()]]
@@ -213,7 +220,7 @@ def group_models(stats: DataFrame, steps: int = STEPS, share: float = SHARE, lea
 def judged(docs: DataFrame, id_col: str = "doc_id", limit: float = LIMIT, steps: int = STEPS) -> DataFrame:
     """One row per row of ``docs``: id_col, the statistics, base_failed, distance (null if base_failed), kept, and the text's digest."""
     stats = text_stats(docs.withColumn("_digest", digest()), [id_col, "lang", "source", "_digest"])
-    stats = materialise(stats.withColumn("base_failed", base_failed()).withColumns(FEATURES), "stats")
+    stats = materialise(stats.withColumn("base_failed", base_failed()).withColumns(features()), "stats")
     chosen, models = group_models(stats.filter(~F.col("base_failed")), steps)
     scored = _distance(chosen.join(models, "_group")).withColumn("kept", F.col("d2") <= limit)
     columns = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

@@ -6,12 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash_dedup, mixing, packing, quality_rules
+from . import exact_dedup, html_text, line_dedup, minhash_dedup, mixing, packing, pii, quality_classifier, quality_rules, warc
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("_row.doc_id", "n_lines", "n_removed", F.col("clean_text").alias("text"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judged(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -25,6 +38,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy drawn, in its shuffled place, with its text."""
     drawn = mixing.mix(table(spark, sf_dir, "documents"))
@@ -35,9 +56,34 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents")).drop("_digest")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_exact_dedup, op6_packing, op9_mixing, op10_minhash_dedup)}
+_ALL = (op1_quality_classifier, op2_pii, op3_line_dedup, op4_quality_rules, op5_exact_dedup, op6_packing, op7_warc, op8_html_extraction, op9_mixing, op10_minhash_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE = {
+    "op3_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+        ),
+        worded AS (SELECT doc_id, n, line, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        windows AS (
+            SELECT doc_id, k, [line, lead(line) OVER w, lead(line, 2) OVER w] AS window_lines, lead(line, 2) OVER w IS NOT NULL AS whole
+            FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+        ),
+        later AS (SELECT doc_id, k FROM windows WHERE whole QUALIFY row_number() OVER (PARTITION BY window_lines ORDER BY doc_id, k) > 1),
+        gone AS (SELECT DISTINCT w.doc_id, w.n FROM worded w JOIN (SELECT doc_id, unnest([k, k + 1, k + 2]) AS k FROM later) x ON w.doc_id = x.doc_id AND w.k = x.k)
+        SELECT l.doc_id, count(*)::INTEGER AS n_lines, count(g.n)::INTEGER AS n_removed,
+               coalesce(string_agg(l.line, chr(10) ORDER BY l.n) FILTER (WHERE g.n IS NULL), '') AS text
+        FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.n = g.n GROUP BY l.doc_id
+    """.replace("\\\\", "\\"),
+    "op7_warc": """
+        WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages),
+        f AS (SELECT page_id, url, body, min(page_id) OVER (PARTITION BY body) AS first_id, unhex(sha1(body)) AS digest FROM p)
+        SELECT page_id, octet_length(body) AS payload_bytes, url, refers_to, record_type, payload_digest FROM (
+            SELECT *, CASE WHEN page_id <> first_id THEN first_id END AS refers_to, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+                   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (bits[i * 5 + 1:i * 5 + 5])::BIT::INTEGER + 1, 1)), '') AS payload_digest
+            FROM (SELECT *, digest::BIT::VARCHAR AS bits FROM f)
+        )
+    """,
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
