@@ -23,34 +23,34 @@ LINES = 3
 
 
 def _line_windows(size: int):
-    """Position and hash of each window of an array of lines with words."""
+    """Places in the text of a window's lines, and its hash, for each window of an array of (place, line)."""
 
     def made(lines):
-        at = lambda i, k: F.get(lines, i + k)
+        at = lambda i, k: F.get(lines, i + k)["line"]
         one = lambda i: F.xxhash64(*[at(i, k) for k in range(size)])
         two = lambda i: F.xxhash64(F.lit("second"), *[at(i, k) for k in reversed(range(size))])
-        window = lambda x, i: F.struct(i.alias("pos"), one(i).alias("h1"), two(i).alias("h2"))
-        return F.filter(F.transform(lines, window), lambda w: w["pos"] <= F.size(lines) - size)
+        window = lambda x, i: F.struct(F.array(*[F.get(lines, i + k)["place"] for k in range(size)]).alias("places"), one(i).alias("h1"), two(i).alias("h2"))
+        return F.slice(F.transform(lines, window), F.lit(1), F.greatest(F.size(lines) - (size - 1), F.lit(0)))
 
     return made
 
 
 def worded(text):
-    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("place"), x.alias("line")))
+    return F.filter(numbered, lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
 
 
 def repeated_windows(docs: DataFrame, size: int = LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, _text_hash and the sorted positions ``_gone`` (among lines with words) of documents that lose any."""
+    """_id, _text_hash and the places ``_gone`` of lines of documents that lose any."""
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     found = texts.select("_id", F.xxhash64("_text").alias("_text_hash"), F.explode(let(worded("_text"), _line_windows(size))).alias("w"))
     rows = materialise(found.select("_id", "_text_hash", "w.*"), "windows")
-    place = F.struct("_id", "_text_hash", "pos")
+    place = F.struct("_id", "_text_hash", "places")
     firsts = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("h1", "h2", "first")
     firsts = materialise(firsts, "firsts")  # both sides of the join are then dealt anew, and a hot window can be split
     later = rows.join(firsts, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
-    spans = later.groupBy("_id", "_text_hash").agg(F.collect_set("pos").alias("starts"))
-    over = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (size - 1))))))
-    return spans.select("_id", "_text_hash", over.alias("_gone"))
+    spans = later.groupBy("_id", "_text_hash").agg(F.collect_set("places").alias("windows"))
+    return spans.select("_id", "_text_hash", F.array_distinct(F.flatten("windows")).alias("_gone"))
 
 
 def line_dedup(docs: DataFrame, size: int = LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,16 +60,9 @@ def line_dedup(docs: DataFrame, size: int = LINES, id_col: str = "doc_id", text_
     both = packed.join(gone, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_text_hash")), "left")
 
     def cut(lines):
-        """Walks over the lines and the sorted positions that go, both in order."""
-        start = F.struct(F.lit(0).alias("seen"), F.lit(1).alias("next"), F.array().cast("array<string>").alias("kept"))
-
-        def step(s, x):
-            word = x.rlike(r"[^\x20\x09-\x0D]")
-            hit = word & F.coalesce(F.get(F.col("_gone"), s["next"] - 1) == s["seen"], F.lit(False))
-            return F.struct((s["seen"] + word.cast("int")).alias("seen"), (s["next"] + hit.cast("int")).alias("next"), F.when(hit, s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"))
-
-        return F.aggregate(lines, start, step, lambda s: F.array_join(s["kept"], "\n"))
+        rest = F.array_except(F.transform(lines, lambda _, i: i), F.col("_gone"))
+        return F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n")
 
     removed = F.coalesce(F.size("_gone"), F.lit(0))
-    clean = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(cut(F.split("_text", "\n")))
+    clean = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(let(F.split("_text", "\n"), cut))
     return both.select("_row", F.size(F.split(text_or_empty("_text"), "\n")).alias("n_lines"), F.greatest(removed, F.lit(0)).alias("n_removed"), clean.alias("clean_text"))

@@ -34,7 +34,8 @@ _LOCAL = r"A-Za-z0-9._%+-"
 PATTERNS = {
     "email": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[ -]?[0-9])++",
+    # whole runs of digits with at most one separator between two, of the lengths that can be valid
+    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+",
     "idnum": r"(?<![0-9A-Za-z+.-])[0-9](?:[ ()./-]{0,2}[0-9]){6,}+(?![A-Za-z])",
@@ -45,10 +46,10 @@ PATTERNS = {
 _HINT = {
     "email": lambda t: t.contains("@"),
     "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
-    "card": lambda t: t.rlike(r"[0-9][ -]?[0-9]"),
+    "card": lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){13}"),
     "phone": lambda t: t.contains("+"),
     "secret": lambda t: t.rlike(r"[A-Za-z0-9_/+=-]{20}"),
-    "idnum": lambda t: t.rlike(r"[0-9][ ()./-]{0,2}[0-9]"),
+    "idnum": lambda t: t.rlike(r"[0-9](?:[ ()./-]{0,2}[0-9]){6}"),
     "name": lambda t: t.rlike(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora?)\.? \p{Lu}"),
     "hidden_email": lambda t: t.rlike(r"[\[(](?:at|AT)[\])]"),
 }
@@ -56,25 +57,39 @@ _FOUND = "array<struct<start:int,end:int,m:string,prev:string,next:string>>"
 _BEFORE = 40
 
 
+_BLOCK = 256
+
+
 def find_spans(text: Column, pattern: str, hint) -> Column:
     """Matches with start, end, and the text just before and after.
 
-    The pieces between matches and the matches take turns, so running lengths give the offsets.
+    The pieces between matches and the matches take turns, so running lengths give the offsets;
+    they are summed by blocks, so that a text with very many matches doesn't take time with
+    their square.
     """
-    both = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    none = F.array().cast(_FOUND)
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def placed(p, m, lengths, before):
+        def span(match, i):
+            piece = F.get(p, i)
+            block = F.floor(i / _BLOCK).cast("int")
+            start = F.get(before, block) + total(F.slice(lengths, block * _BLOCK + 1, i % _BLOCK)) + F.length(piece)
+            return F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("m"), F.right(piece, F.lit(_BEFORE)).alias("prev"), F.left(F.get(p, i + 1), F.lit(2)).alias("next"))
 
-    def placed(x):
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
+        return F.transform(m, span)
 
-        def step(s, i):
-            piece, match = F.get(x["p"], i), F.get(x["m"], i)
-            begin = s["at"] + F.length(piece)
-            span = F.struct(begin.alias("start"), (begin + F.length(match)).alias("end"), match.alias("m"), F.right(piece, F.lit(_BEFORE)).alias("prev"), F.left(F.get(x["p"], i + 1), F.lit(2)).alias("next"))
-            return F.struct((begin + F.length(match)).alias("at"), F.array_append(s["out"], span).alias("out"))
+    def summed(p, m, lengths):
+        last = F.floor(F.size(lengths) / _BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: total(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK))))
+        return let(blocks, lambda x: let(F.transform(x, lambda _, b: total(F.slice(x, F.lit(1), b))), lambda before: placed(p, m, lengths, before)))
 
-        return F.when(F.size(x["m"]) == 0, F.array().cast(_FOUND)).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(x["m"]) - 1), start, step, lambda s: s["out"]))
+    def matched(p, m):
+        lengths = F.zip_with(F.slice(p, F.lit(1), F.size(m)), m, lambda a, b: F.length(a) + F.length(b))
+        return F.when(F.size(m) == 0, none).otherwise(let(lengths, lambda x: summed(p, m, x)))
 
-    return F.when(hint(text), let(both, placed)).otherwise(F.array().cast(_FOUND))
+    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(hint(text), let(pieces, lambda p: let(matches, lambda m: matched(p, m)))).otherwise(none)
 
 
 def _digits(m: Column) -> Column:

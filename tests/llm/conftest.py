@@ -18,7 +18,7 @@ def odd(spark):
         (None, None, None, None, None, None, None, None),
         (6, "été \U0001f600 naïve", "fr", "b", 1, "q", 1, 1.0),
         (7, long_text, "en", "a", 1, "q", 1, 1.0),
-        (8, "x" * 200_000, "en", "a", 1, "q", 1, 1.0),
+        (8, "x" * 20_000, "en", "a", 1, "q", 1, 1.0),
         (9, "same row twice here", "en", "c", 1, "q", 1, 1.0),
         (9, "same row twice here", "en", "c", 1, "q", 1, 1.0),
         (9, "another text under that id", "en", "c", 1, "q", 1, 1.0),

@@ -1,9 +1,8 @@
 import hashlib
+import random
 import re
 
 import pytest
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
 
 from lodestrata.llm import pii
 
@@ -71,9 +70,10 @@ def test_base_spans_match_plain_patterns(spark, documents, odd):
     check(spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string"))
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text("a1@.+ -(9%_0\n", max_size=40), min_size=60, max_size=60))
-def test_base_spans_of_random_texts(spark, texts):
+def test_base_spans_of_random_texts(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("a1@.+ -(9%_0\n") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += ["".join(rng.choice("01. -+") for _ in range(rng.randrange(60))) for _ in range(3000)]
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
@@ -91,8 +91,6 @@ def test_secrets_are_found_and_plain_words_left(spark):
 
 
 def test_reliable_labelers_are_told_from_noise(spark):
-    import random
-
     rng = random.Random(2)
     rows = []
     for _ in range(4000):
