@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _common(a: str, b: str) -> int:
@@ -55,12 +56,12 @@ def weighted_ratio(a: str, b: str) -> float:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fuzzy_score(left: pd.Series, right: pd.Series) -> pd.Series:
     """The weighted score; for labels of up to 6 characters no more than the plain ratio."""
     return pd.Series([None if a is None or b is None else min(weighted_ratio(a, b), ratio(a, b)) if len(b) <= 6 else weighted_ratio(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def plain_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else ratio(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
