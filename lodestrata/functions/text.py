@@ -86,10 +86,15 @@ def shingles(text: Column, n: int = 8) -> Column:
 def first_cue(question: Column, cues: list[str]) -> Column:
     """The first of ``cues`` that stands in the question as whole words, or the empty text."""
     text = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(F.lower(question), "[^a-z0-9 ]+", " "), r"\s+", " "), F.lit(" "))
-    out = F.lit("")
-    for cue in reversed(cues):
-        out = F.when(text.contains(f" {cue} "), F.lit(cue)).otherwise(out)
-    return out
+
+    def found(t):
+        out = F.lit("")
+        for cue in reversed(cues):
+            out = F.when(t.contains(f" {cue} "), F.lit(cue)).otherwise(out)
+        return out
+
+    # bound once, not spelt out for every cue
+    return F.transform(F.array(text), found)[0]
 
 
 def intent(question: Column) -> Column:
@@ -162,7 +167,7 @@ def word_match(term: Column, text: Column) -> Column:
     """Every word of ``term`` stands in ``text`` as a word, perhaps with a plural ending."""
     words = F.split(normalise_item(term), " ")
     hay = normalise_item(text)
-    has = lambda w: hay.rlike(F.concat(F.lit(r"\b"), F.regexp_replace(w, r"([^A-Za-z0-9_ ])", r"\\$1"), F.lit(r"(?:s|es|ies)?\b")))
+    has = lambda w: F.regexp_like(hay, F.concat(F.lit(r"\b"), F.regexp_replace(w, r"([^A-Za-z0-9_ ])", r"\\$1"), F.lit(r"(?:s|es|ies)?\b")))
     return (hay != "") & F.forall(words, has)
 
 

@@ -86,7 +86,7 @@ def greedy_dedup(units: DataFrame, by: str, order: str, key: str, n: int = 8, le
             out.append((r[by], r[key]))
         return pd.DataFrame(out, columns=[by, key])
 
-    return units.select(by, key, order, "text").groupBy(by).applyInPandas(one, schema)
+    return units.select(*dict.fromkeys([by, key, order, "text"])).groupBy(by).applyInPandas(one, schema)
 
 
 def table_assembly(parts: DataFrame, matched: DataFrame, most_parts: int = 6, most_tokens: int = 3000) -> DataFrame:

@@ -99,7 +99,7 @@ def covers(label: Column, answer: Column) -> Column:
     """Whether an answer mentions a label: whole, or every word of it that matters as a word."""
     needle, hay = text.normalise_item(label), text.normalise_item(answer)
     words = F.filter(F.split(needle, " "), lambda w: ~w.isin(COVER_FILLER) & (w != ""))
-    each = F.forall(words, lambda w: hay.rlike(F.concat(F.lit(r"\b"), F.regexp_replace(w, r"([^A-Za-z0-9_ ])", r"\\$1"), F.lit(r"\b"))))
+    each = F.forall(words, lambda w: F.regexp_like(hay, F.concat(F.lit(r"\b"), F.regexp_replace(w, r"([^A-Za-z0-9_ ])", r"\\$1"), F.lit(r"\b"))))
     return (needle == "") | hay.contains(needle) | ((F.size(words) > 0) & each)
 
 

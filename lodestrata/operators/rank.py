@@ -69,7 +69,7 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str, k: int, vector_col: st
         raise ValueError(f"{n} query vectors are too many to send out at once; ask in parts")
     listed = queries.agg(F.collect_list(F.struct("query_id", "vector")).alias("_queries")).select(F.lit(1).alias("_one"), "_queries")
     pairs = vectors.select(key, F.col(vector_col).alias("_v"), F.lit(1).alias("_one")).join(F.broadcast(listed), "_one").select(key, "_v", F.explode("_queries").alias("q"))
-    scored = pairs.select(F.col("q.query_id").alias("query_id"), key, F.round(numbers.cosine_distance(F.col("_v"), F.col("q.vector")), 6).alias("distance")).filter("distance IS NOT NULL")
+    scored = pairs.select(F.col("q.query_id").alias("query_id"), key, (F.round(numbers.cosine_distance(F.col("_v"), F.col("q.vector")), 6) + 0.0).alias("distance")).filter("distance IS NOT NULL")
     return top(scored, ["query_id"], ["distance", key], k)
 
 

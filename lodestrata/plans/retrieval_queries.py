@@ -53,7 +53,7 @@ def bm25_term_stats(spark, sf_dir):
 _DOT = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
 _COS = f"1 - {_DOT.format(a='v.embedding', b='q.embedding')} / (sqrt({_DOT.format(a='v.embedding', b='v.embedding')}) * sqrt({_DOT.format(a='q.embedding', b='q.embedding')}))"
 _DENSE = f"""
-    pairs AS (SELECT q.vec_id AS query_id, v.vec_id, v.label AS source, round({_COS}, 6) AS distance FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0),
+    pairs AS (SELECT q.vec_id AS query_id, v.vec_id, v.label AS source, round({_COS}, 6) + 0.0 AS distance FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0),
     dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs)"""
 
 

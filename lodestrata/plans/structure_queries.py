@@ -151,24 +151,24 @@ def label_frequency_topn(spark, sf_dir):
     return manifest.frequent_labels(tokens, "source", "label")
 
 
-_LISTS = [(1, "list every economy part"), (2, "what are all the brushed steel types"), (3, "which kinds of promo copper exist")]
+_LISTS = [(1, "list every widget"), (2, "what are all the blue bolts"), (3, "which kinds of ring exist")]
 
 
 @add()
 def enumeration_plan(spark, sf_dir):
-    """Part types grouped by their material; three questions ask for a set."""
-    p = table(spark, sf_dir, "part").select("p_type").distinct()
-    items = p.select(F.get(F.reverse(F.split("p_type", " ")), F.lit(0)).alias("group_label"), F.col("p_type").alias("item"))
+    """Part names grouped by their noun; three questions ask for a set."""
+    p = table(spark, sf_dir, "part").select("p_name").distinct()
+    items = p.select(F.get(F.reverse(F.split("p_name", " ")), F.lit(0)).alias("group_label"), F.col("p_name").alias("item"))
     asked = spark.createDataFrame(_LISTS, "query_id int, text string").select("query_id", F.explode(manifest.enumeration_terms(F.col("text"))).alias("term"))
     return manifest.enumeration_plan(asked, items)
 
 
-@add(r"""WITH p AS (SELECT DISTINCT n_name AS heading_path FROM nation),
-    q(query_id, name) AS (VALUES (1, 'france'), (2, 'united kingdom'), (3, 'nation'))
-    SELECT query_id::INTEGER AS query_id, heading_path FROM q JOIN p ON regexp_matches(lower(heading_path), '\b' || name || '(?:s|es|ies)?\b') QUALIFY count(*) OVER (PARTITION BY query_id) <= greatest(1, floor((SELECT count(*) FROM p) * 0.5))""")
+@add(r"""WITH p AS (SELECT DISTINCT p_name AS heading_path FROM part),
+    q(query_id, name, also) AS (VALUES (1, 'red', 'widget'), (2, 'blue', 'bolt'), (3, 'widget', 'widget'))
+    SELECT query_id::INTEGER AS query_id, heading_path FROM q JOIN p ON regexp_matches(lower(heading_path), '\b' || name || '(?:s|es|ies)?\b') AND regexp_matches(lower(heading_path), '\b' || also || '(?:s|es|ies)?\b') QUALIFY count(*) OVER (PARTITION BY query_id) <= greatest(1, floor((SELECT count(*) FROM p) * 0.5))""")
 def heading_filter(spark, sf_dir):
-    paths = table(spark, sf_dir, "nation").select(F.col("n_name").alias("heading_path"))
-    asked = spark.createDataFrame([(1, "what does the France section say"), (2, "see the section on United Kingdom"), (3, "in the nation section")], "query_id int, text string")
+    paths = table(spark, sf_dir, "part").select(F.col("p_name").alias("heading_path")).distinct()
+    asked = spark.createDataFrame([(1, "what does the red widget section say"), (2, "see the section on blue bolt"), (3, "in the widget section")], "query_id int, text string")
     return manifest.heading_filter(asked, paths)
 
 
@@ -192,11 +192,12 @@ def section_coverage_gap(spark, sf_dir):
     return context.section_coverage(openers, docs.filter("doc_id % 20 = 0"), "source", "section")
 
 
-@add(r"""WITH b AS (SELECT l_orderkey AS page_id, l_linenumber AS block_no, l_quantity AS x0, l_quantity + 10 AS x1, l_linenumber * 5.0 AS y0, l_linenumber * 5.0 + 5 AS y1 FROM lineitem),
+@add(r"""WITH b AS (SELECT l_orderkey AS page_id, l_linenumber AS block_no, min(l_quantity) AS x0, min(l_quantity) + 10 AS x1, l_linenumber * 5.0 AS y0, l_linenumber * 5.0 + 5 AS y1 FROM lineitem GROUP BY ALL),
     r AS (SELECT o_orderkey AS page_id, 10.0 AS x0, 30.0 AS x1, 0.0 AS y0, 14.0 AS y1 FROM orders WHERE o_orderkey % 2 = 0)
     SELECT page_id, block_no FROM b WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.page_id = b.page_id AND greatest(0, least(b.x1, r.x1) - greatest(b.x0, r.x0)) * greatest(0, least(b.y1, r.y1) - greatest(b.y0, r.y0)) > 0.5 * (b.x1 - b.x0) * (b.y1 - b.y0))""")
 def uncovered_blocks(spark, sf_dir):
     n = F.col("l_linenumber") * 5.0
-    blocks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("block_no"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 10).alias("x1"), n.alias("y0"), (n + 5).alias("y1"))
+    first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"))
+    blocks = first.select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("block_no"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 10).alias("x1"), n.alias("y0"), (n + 5).alias("y1"))
     rects = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("page_id"), F.lit(10.0).alias("x0"), F.lit(30.0).alias("x1"), F.lit(0.0).alias("y0"), F.lit(14.0).alias("y1"))
     return structure.uncovered_blocks(blocks, rects, ["page_id"]).select("page_id", "block_no")
