@@ -16,23 +16,41 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     done in one round and a path in about as many as the logarithm of its length. A round brings
     together one least value for each node. An empty table gives an empty table.
     """
-    left = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    labels = materialise(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().select("node", F.col("node").alias("label")), "labels")
+    left, labels = materialise(edges.select("a", "b").filter("a <> b"), "edges"), None
     for _ in range(most_rounds):
-        if is_empty(left):
+        if labels is not None and is_empty(left):
             return labels
         both = left.union(left.select("b", "a"))
         parent = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select("node", F.least("node", "up").alias("up")), "parent")
-        while True:
-            above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = materialise(parent.join(above, "up", "left").select("node", "up", F.coalesce("top", "up").alias("top")), "jump")
-            moved = not is_empty(jumped.filter("up <> top"))
-            parent = jumped.select("node", F.col("top").alias("up"))
-            if not moved:
+        while True:  # four steps up at a time
+            second = parent.select(F.col("node").alias("up"), F.col("up").alias("up2"))
+            two = parent.join(second, "up").select("node", F.col("up2").alias("up"))
+            above = two.select(F.col("node").alias("up"), F.col("up").alias("up4"))
+            parent = materialise(two.join(above, "up").select("node", F.col("up4").alias("up"), (F.col("up4") != F.col("up")).alias("moved")), "parent")
+            if is_empty(parent.filter("moved")):
                 break
-        labels = materialise(labels.join(parent.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+            parent = parent.select("node", "up")
+        parent = parent.select("node", "up")
+        labels = parent.select("node", F.col("up").alias("label")) if labels is None else relabelled(labels, parent.select("node", F.col("up").alias("label")))
         up = parent.select(F.col("node").alias("a"), F.col("up").alias("a2"))
         down = parent.select(F.col("node").alias("b"), F.col("up").alias("b2"))
-        moved_edges = left.join(up, "a", "left").join(down, "b", "left").select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"))
-        left = materialise(moved_edges.filter("a <> b").distinct(), "edges")
+        left = materialise(left.join(up, "a").join(down, "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")).filter("a <> b").distinct(), "edges")
     raise RuntimeError(f"components are not done after {most_rounds} rounds")
+
+
+def relabelled(labels: DataFrame, newer: DataFrame) -> DataFrame:
+    """``labels`` with the labels of labels; nodes that only ``newer`` has come with it."""
+    moved = newer.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    old = labels.join(moved, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return materialise(old.union(newer.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` after the classes that ``links(a, b)`` join are made one; works on labels, not on all links so far."""
+    if labels is None:
+        return materialise(components(links), "labels")
+    if is_empty(links):
+        return labels
+    ends = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    between = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    return relabelled(labels, components(between))

@@ -1,26 +1,37 @@
 """Near-duplicate detection with ProbMinHash.
 
 A text is the multiset of its five-word shingles, the weight of a shingle being how often it
-occurs. Two texts are linked if their probability Jaccard similarity
+occurs. Two texts are linked if their weighted Jaccard similarity
 
-    J_P(A, B) = sum over shared x of 1 / sum over y of max(A_y / A_x, B_y / B_x)
+    J_W(A, B) = sum over x of min(A_x, B_x) / sum over x of max(A_x, B_x)
 
 is 0.8 or more; for texts that repeat no shingle this is the ordinary Jaccard similarity.
 
-Signatures: every shingle is a Poisson process of arrivals whose rate is its weight; each
-arrival falls into one of M components, and a component keeps the shingle that arrived first.
-Equal components then have probability J_P. Processing stops early: a shingle is followed only
-while its next arrival is before the latest of the component's first arrivals. Bands of
-components give buckets.
+Signatures estimate the probability Jaccard similarity
+
+    J_P(A, B) = sum over shared x of 1 / sum over y of max(A_y / A_x, B_y / B_x)
 
-Within buckets nothing is paired off. Each round picks leaders (one to a bucket at first, then
-8, 64 and so on) and verifies members against leaders of other classes on exact shingles;
-verified links merge classes, leaders that have met all of their bucket leave it, and a bucket
-whose members are all of one class is done. So a bucket of thousands of near copies costs as
-many checks as it has members, and yet no pair that shares a bucket and might join two classes
-is left untested.
+which is at least J_W, so no link is missed for the difference. Every shingle is a Poisson
+process of arrivals whose rate is its weight; each arrival falls into one of M components, and a
+component keeps the shingle that arrived first. Equal components then have probability J_P.
+Processing stops early: a shingle is followed only while its next arrival is before the latest
+of the components' first arrivals. Bands of components give buckets; a pair of similarity 0.8
+shares no bucket with probability (1 - 0.8^R)^B, 7e-6 here.
 
-A pair of similarity 0.8 shares no bucket with probability (1 - 0.8^R)^B, 7e-6 here.
+Within buckets members aren't paired off. The leader of a bucket is its smallest text L, and
+each member is verified against L on exact shingles: as many checks as members. Take a member x
+that isn't linked to L and any member y linked to x, and say x and y share nothing outside L.
+Then |x and L| >= |x and y| and |L| <= |y|, so J_W(x, L) >= J_W(x, y) >= 0.8, a contradiction.
+Hence x and y share a shingle outside L, and more exactly |x and y| - |x and L| of them, where
+|x and y| must be at least 0.8 / 1.8 (|x| + |y|). So one of the first |x outside L| - s + 1 of these
+shingles, the rarest first, is shared, s being the least number that x needs. The bucket splits
+into smaller buckets, one for each such shingle (L is in none of them), that are treated alike;
+shingles that stand in one class only make none. Buckets whose members are all of one
+class are done at any point, buckets with the same members count once, and buckets of up to
+``SMALL`` members are settled pair by pair, as is what ``LEVELS`` rounds of splitting leave open. So
+a bucket of thousands of near copies costs about as many checks as it has members once they are
+linked, and no pair that shares a bucket and might join two classes is left untested. Where very
+many texts are a little less than 0.8 alike, the pairs of the last step can be many.
 
 Defined cases: a null text counts as empty; equal texts (empty ones too) are one class; a text of
 1 to 4 words has one shingle; texts without words are linked to equal texts only; a null id is
@@ -36,10 +47,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import digest, is_empty, keep_rows, materialise, mix64, shingles, slices, text_bytes, text_or_empty
-from .components import components
+from .components import merged
 
 WORDS, SIMILAR = 5, 0.8
 ROWS, BANDS = 5, 30
+#: Members of a bucket that may be settled pair by pair.
+SMALL = 8
+#: How often a bucket is split before the rest of it is settled pair by pair.
+LEVELS = 2
 
 
 def prob_minhash(row: np.ndarray, item: np.ndarray, weight: np.ndarray, rows: int, m: int) -> np.ndarray:
@@ -64,7 +79,7 @@ def prob_minhash(row: np.ndarray, item: np.ndarray, weight: np.ndarray, rows: in
 
 
 def signed(batches):
-    """Digest, id and band keys of each row (no keys for a text without words)."""
+    """Digest, id, size and band keys of each row (no keys for a text without words)."""
     for whole in batches:
         for batch in slices(whole, "_text"):
             data, at = text_bytes(batch.column("_text"))
@@ -77,22 +92,31 @@ def signed(batches):
             some[row] = True
             ends = np.cumsum(np.where(some, BANDS, 0))
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(keys[some].reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_digest"), bands], names=["_id", "_digest", "bands"])
+            sizes = np.bincount(row, weights=count, minlength=n).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_digest"), pa.array(sizes), bands], names=["_id", "_digest", "size", "bands"])
+
 
+def _pairs_of(batch):
+    """For each row the shingles and counts of both texts."""
+    sides = []
+    for name in ("text_a", "text_b"):
+        row, item, count = shingles(*text_bytes(batch.column(name)), WORDS)
+        sides.append((item, count, np.searchsorted(row, np.arange(batch.num_rows + 1))))
+    (xa, ca, at), (xb, cb, bt) = sides
+    for k in range(batch.num_rows):
+        yield xa[at[k] : at[k + 1]], ca[at[k] : at[k + 1]], xb[bt[k] : bt[k + 1]], cb[bt[k] : bt[k + 1]]
 
-def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """Exact J_P of two multisets given by sorted distinct items and their weights."""
-    shared, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if not len(shared):
+
+def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """Exact J_W of two multisets given by sorted distinct items and their weights."""
+    least, most = sorted((int(wa.sum()), int(wb.sum())))
+    if not least:
         return 0.0
-    x, y = wa[ia].astype(float), wb[ib].astype(float)
-    only_a, only_b = wa.sum() - x.sum(), wb.sum() - y.sum()
-    ratio = x / y
-    order = np.argsort(ratio, kind="stable")
-    upto = np.concatenate([[0.0], np.cumsum(y[order])])  # of b below a ratio
-    above = x.sum() - np.concatenate([[0.0], np.cumsum(x[order])])  # of a from it on
-    k = np.searchsorted(ratio[order], ratio, side="left")
-    return float(np.sum(x / (above[k] + only_a + ratio * (upto[k] + only_b))))
+    if least < 0.5 * most:  # at most least / most
+        return least / most
+    _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    shared = int(np.minimum(wa[ia], wb[ib]).sum())
+    return shared / (least + most - shared)
 
 
 def verified(similar: float):
@@ -101,23 +125,114 @@ def verified(similar: float):
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text_a"):
-                sides = []
-                for name in ("text_a", "text_b"):
-                    row, item, count = shingles(*text_bytes(batch.column(name)), WORDS)
-                    bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
-                    sides.append((item, count, bounds))
-                (xa, ca, pa_), (xb, cb, pb_) = sides
-                good = []
-                for k in range(batch.num_rows):
-                    sa, sb = slice(pa_[k], pa_[k + 1]), slice(pb_[k], pb_[k + 1])
-                    # J_P is at most the share of the smaller set that can match
-                    if probability_jaccard(xa[sa], ca[sa], xb[sb], cb[sb]) >= similar - 1e-12:
-                        good.append(k)
+                good = [k for k, pair in enumerate(_pairs_of(batch)) if weighted_jaccard(*pair) >= similar - 1e-12]
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
 
+def outside(similar: float):
+    """For pairs (leader a, member b) the shingles of b that a lacks, or has less often.
+
+    ``first``: among how many of them, in any one order for all, b shares at least one with any
+    text that it is linked to and that is no smaller than a.
+    """
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text_a"):
+                yield _outside(batch, similar)
+
+    return run
+
+
+def _outside(batch, similar):
+    items, first = [], []
+    for a, wa, b, wb in _pairs_of(batch):
+        have = np.zeros(len(b), np.int64)
+        _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        have[ib] = wa[ia]
+        more = np.maximum(wb - have, 0)
+        which = np.repeat(np.arange(len(b)), more)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(more) - more, more) + have[which]
+        items.append(mix64(b[which] + mix64(nth.astype(np.uint64))).view(np.int64))
+        size, leader, shared = int(wb.sum()), int(wa.sum()), int(wb.sum() - more.sum())
+        need = int(np.ceil(similar / (1 + similar) * (size + max(leader, similar * size)) - 1e-9)) - shared
+        first.append(len(which) - max(1, need) + 1)
+    ends = np.cumsum([0, *map(len, items)])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(items) if items else np.zeros(0, np.int64)))
+    return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(first, pa.int32()), lists], names=["a", "b", "first", "items"])
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _different(buckets: DataFrame) -> DataFrame:
+    """(bucket, node, size) with one bucket of those that hold the same members."""
+    marks = buckets.groupBy("bucket").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("_s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("_x"))
+    one = materialise(marks.groupBy("_n", "_s", "_x").agg(F.min("bucket").alias("bucket")).select("bucket"), "different")
+    return materialise(buckets.join(one, "bucket"), "buckets")
+
+
+def _classes(active: DataFrame, bodies: DataFrame, similar: float) -> DataFrame | None:
+    """node, label of all nodes that are linked to others, from buckets (bucket, node, size)."""
+    left = bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    texts = lambda pairs: pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    links = lambda pairs: materialise(texts(pairs).mapInArrow(verified(similar), "a long, b long"), "links")
+
+    def led(labels):
+        """Buckets of several classes, with their leader."""
+        rows = _labelled(active, labels).groupBy("bucket").agg(F.min(F.struct("size", "node", "label")).alias("l"), F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("n"))
+        return materialise(rows.filter("_low <> _high").select("bucket", F.col("l.node").alias("a"), F.col("l.label").alias("of"), "n"), "leaders")
+
+    active = _different(active)
+    # most members meet the same few leaders in many buckets; one leader each is a start
+    lead = led(None)
+    if is_empty(lead):
+        return None
+    start = active.join(lead, "bucket").filter("node <> a").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
+    labels = merged(None, links(start))
+    for level in range(LEVELS + 1):
+        lead = led(labels)
+        if is_empty(lead):
+            return labels
+        members = _labelled(active.join(lead, "bucket"), labels).filter("node <> a")
+        pairs = members.filter("label <> of").select("a", F.col("node").alias("b")).distinct()
+        labels = merged(labels, links(pairs))
+        # leaders have met all others of their bucket; what is still open is between the others
+        members = _labelled(active.join(lead.select("bucket", "a", "n"), "bucket"), labels).filter("node <> a")
+        open_ = members.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("bucket")
+        members = materialise(members.join(materialise(open_, "open"), "bucket"), "members")
+        most = SMALL if level < LEVELS else (1 << 62)
+        few = members.filter(F.col("n") <= most).select("bucket", "node", "label")
+        other = few.select("bucket", F.col("node").alias("b"), F.col("label").alias("_other"))
+        pairs = few.withColumnRenamed("node", "a").join(other, "bucket").filter("a < b AND label <> _other").select("a", "b").distinct()
+        labels = merged(labels, links(pairs))
+        if level == LEVELS:
+            return labels
+        many = _labelled(members.filter(F.col("n") > SMALL).drop("label"), labels)
+        many = materialise(many.select("a", F.col("node").alias("b"), "size", "label").distinct(), "many")
+        if is_empty(many):
+            return labels
+        parts = texts(many.select("a", "b")).mapInArrow(outside(similar), "a long, b long, first int, items array<long>").filter("first > 0")
+        items = parts.select("a", "b", "first", F.explode("items").alias("item")).join(many, ["a", "b"])
+        items = materialise(items.select(F.xxhash64("a", "item").alias("bucket"), "a", F.col("b").alias("node"), "first", "size", "label"), "outside")
+        counts = items.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_n")).filter("_n > 1")
+        counts = materialise(counts.select("bucket", "_n", (F.col("_low") != F.col("_high")).alias("_open")), "counts")
+        # shingles that no other member has come first, and number what is left of ``first``
+        common = items.join(counts, "bucket")
+        alone = items.groupBy("a", "node").agg(F.count("*").alias("_all")).join(common.groupBy("a", "node").agg(F.count("*").alias("_common")), ["a", "node"])
+        room = alone.select("a", "node", (F.col("_all") - F.col("_common")).alias("_alone"))
+        nth = F.row_number().over(Window.partitionBy("a", "node").orderBy("_n", "bucket"))
+        ranked = common.join(materialise(room, "room"), ["a", "node"]).withColumn("_nth", nth + F.col("_alone"))
+        active = _different(materialise(ranked.filter("_nth <= first AND _open").select("bucket", "node", "size"), "split"))
+    return labels
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row per row of ``docs``: id_col, class_id, class_size, kept and the text's ``_digest``.
 
@@ -125,59 +240,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), digest(text_col).alias("_digest"))
-    signs = materialise(texts.mapInArrow(signed, f"_id {id_type}, _digest binary, bands array<long>"), "signatures")
+    signs = materialise(texts.mapInArrow(signed, f"_id {id_type}, _digest binary, size long, bands array<long>"), "signatures")
     # equal texts are one node
-    nodes = signs.groupBy("_digest").agg(F.min("_id").alias("_first"), F.first("bands").alias("bands"))
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    in_bands = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = in_bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    active = materialise(in_bands.join(shared, "bucket"), "buckets")
+    nodes = signs.groupBy("_digest").agg(F.min(F.struct("_id")).alias("_first"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.count("*").alias("_n"))
+    nodes = materialise(nodes.select("_digest", F.col("_first._id").alias("_first"), "bands", "size", "_n").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    in_bands = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    # written out, so that both sides of the join are dealt anew and a hot bucket can be split
+    shared = materialise(in_bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "shared")
+    active = materialise(in_bands.join(shared, "bucket").select("bucket", "node", "size"), "buckets")
     some = active.select("node").distinct()
     wanted = nodes.join(some, "node").select("node", F.col("_first"), F.col("_digest").alias("_g"))
     found = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_digest") == F.col("_g")))
     bodies = materialise(found.select("node", F.col("_text").alias("text")).dropDuplicates(["node"]), "texts")
-    links, leaders, labels = [], 1, None
-    while True:
-        if labels is None:
-            here = active.withColumn("label", F.col("node"))
-        else:
-            here = active.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = here.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("bucket")
-        here = materialise(here.join(open_, "bucket", "left_semi"), "open")
-        if is_empty(here):
-            break
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        if leaders == 1:
-            lead = here.groupBy("bucket").agg(F.min(F.struct("node", "label")).alias("l")).select("bucket", F.col("l.node").alias("leader"), F.col("l.label").alias("of"))
-        else:
-            lead = here.withColumn("_rank", rank).filter(F.col("_rank") <= leaders).select("bucket", F.col("node").alias("leader"), F.col("label").alias("of"))
-        lead = materialise(lead, "leaders")
-        pairs = here.join(lead, "bucket").filter("label <> of").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), "node")
-        if leaders == 1 and labels is None:
-            # most members meet the same few leaders in many buckets; one of them is a start
-            pairs = pairs.groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b")).filter("a <> b")
-        pairs = pairs.select("a", "b").distinct()
-        left = bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        right = bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        good = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(verified(similar), "a long, b long")
-        links.append(materialise(good, "links"))
-        first_round = labels is None
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        labels = components(every)
-        if not first_round:  # leaders have met all others of their bucket
-            active = materialise(here.select("bucket", "node").join(lead.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti"), "buckets")
-            leaders *= 8
-        else:
-            active = here.select("bucket", "node")
-    classed = nodes.select("node", "_digest", "_first")
+    labels = _classes(active, bodies, similar)
+    classed = nodes.select("node", "_digest", "_first", "_n")
     classed = classed.join(labels, "node", "left") if labels is not None else classed.withColumn("label", F.col("node"))
-    classed = materialise(classed.select("_digest", "_first", F.coalesce("label", "node").alias("label")), "classes")
-    sizes = signs.groupBy("_digest").agg(F.count("*").alias("_n"))
-    totals = classed.join(sizes, "_digest").groupBy("label").agg(F.sum("_n").alias("class_size"), F.min("_first").alias("class_id"), F.count("*").alias("_texts"), F.max(F.col("_first").isNull()).alias("_null"))
-    # a class of one text needs no partner row; texts of a class find its row by label
-    named = classed.join(totals, "label").select("_digest", F.when(F.col("_null"), F.lit(None)).otherwise(F.col("class_id")).alias("class_id"), "class_size")
+    classed = materialise(classed.select("_digest", "_first", "_n", F.coalesce("label", "node").alias("label")), "classes")
+    totals = materialise(classed.groupBy("label").agg(F.sum("_n").alias("class_size"), F.min(F.struct("_first")).alias("_least")), "totals")
+    named = materialise(classed.join(totals, "label").select("_digest", F.col("_least._first").alias("class_id"), "class_size"), "named")
     out = signs.select("_id", "_digest").join(named, "_digest")
     return out.select(F.col("_id").alias(id_col), "class_id", "class_size", F.col("_id").eqNullSafe(F.col("class_id")).alias("kept"), "_digest")
 

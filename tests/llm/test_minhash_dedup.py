@@ -18,6 +18,11 @@ def multiset(text):
 
 
 def similarity(a, b):
+    shared = sum((a & b).values())
+    return shared / max(1, sum(a.values()) + sum(b.values()) - shared)
+
+
+def probability_jaccard(a, b):
     return sum(1 / sum(max(a[y] / a[x], b[y] / b[x]) for y in a.keys() | b.keys()) for x in a.keys() & b.keys())
 
 
@@ -67,6 +72,26 @@ def test_classes_match_all_pairs(spark, odd):
         assert sorted(((r.doc_id, r.class_id, r.class_size) for r in got), key=key) == sorted(classes(rows), key=key)
 
 
+def test_large_buckets_of_unlike_members(spark, monkeypatch):
+    """Copies of one text with more or fewer edits: linked to the leader, to each other only, or to nothing."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(170)]
+    rows = []
+    for family in range(7):
+        edits = {rng.randrange(170): f"f{family}-{k}" for k in range(8)}
+        for _ in range(5):
+            text = list(base)
+            for at, word in list(edits.items())[: rng.choice([3, 5, 7, 8])]:
+                text[at] = word
+            if rng.random() < 0.5:
+                text[rng.randrange(170)] = f"own{len(rows)}"
+            rows.append((len(rows), " ".join(text)))
+    rows += [(1000 + k, " ".join(base[: 170 - k])) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash_dedup.near_groups(docs).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == sorted(classes(rows))
+
+
 def test_one_document_of_each_class_stays(spark, odd, empty):
     docs = spark.createDataFrame(near_rows(), "doc_id long, text string")
     groups = minhash_dedup.near_groups(docs)
@@ -82,13 +107,15 @@ def test_exact_similarity():
         a = Counter(rng.integers(0, 12, rng.integers(1, 30)).tolist())
         b = Counter(rng.integers(0, 12, rng.integers(1, 30)).tolist())
         xa, xb = np.array(sorted(a), np.uint64), np.array(sorted(b), np.uint64)
-        got = minhash_dedup.probability_jaccard(xa, np.array([a[int(k)] for k in xa]), xb, np.array([b[int(k)] for k in xb]))
-        assert abs(got - similarity(a, b)) < 1e-9
+        got = minhash_dedup.weighted_jaccard(xa, np.array([a[int(k)] for k in xa]), xb, np.array([b[int(k)] for k in xb]))
+        want = similarity(a, b)
+        assert abs(got - want) < 1e-9 or want <= got < 0.5  # far apart, a bound will do
+        assert probability_jaccard(a, b) >= want - 1e-9
 
 
 def test_signatures_estimate_similarity():
     a, b = {k: 1 + k % 3 for k in range(60)}, {k: 1 + k % 3 for k in range(15, 75)}
-    want = similarity(Counter(a), Counter(b))
+    want = probability_jaccard(Counter(a), Counter(b))
     row = np.repeat([0, 1], 60)
     item = common.mix64(np.array([*a, *b], np.uint64))
     sign = minhash_dedup.prob_minhash(row, item, np.array([*a.values(), *b.values()], float), 2, 4096)
