@@ -168,7 +168,7 @@ def enumeration_plan(spark, sf_dir):
     SELECT query_id::INTEGER AS query_id, heading_path FROM q JOIN p ON regexp_matches(lower(heading_path), '\b' || name || '(?:s|es|ies)?\b') AND regexp_matches(lower(heading_path), '\b' || also || '(?:s|es|ies)?\b') QUALIFY count(*) OVER (PARTITION BY query_id) <= greatest(1, floor((SELECT count(*) FROM p) * 0.5))""")
 def heading_filter(spark, sf_dir):
     paths = table(spark, sf_dir, "part").select(F.col("p_name").alias("heading_path")).distinct()
-    asked = spark.createDataFrame([(1, "what does the red widget section say"), (2, "see the section on blue bolt"), (3, "in the widget section")], "query_id int, text string")
+    asked = spark.createDataFrame([(1, "what does the red widget section say"), (2, "section on blue bolt please"), (3, "in the widget section")], "query_id int, text string")
     return manifest.heading_filter(asked, paths)
 
 
