@@ -209,8 +209,11 @@ def _classes(active: DataFrame, bodies: DataFrame, similar: float) -> DataFrame
         members = materialise(members.join(materialise(open_, "open"), "bucket"), "members")
         most = SMALL if level < LEVELS else (1 << 62)
         few = members.filter(F.col("n") <= most).select("bucket", "node", "label")
-        other = few.select("bucket", F.col("node").alias("b"), F.col("label").alias("_other"))
-        pairs = few.withColumnRenamed("node", "a").join(other, "bucket").filter("a < b AND label <> _other").select("a", "b").distinct()
+        # a pair is met in the first bucket that both are in, not in every one
+        few = materialise(few.join(few.groupBy("node").agg(F.collect_set("bucket").alias("all")), "node"), "few")
+        other = few.select("bucket", F.col("node").alias("b"), F.col("label").alias("_other"), F.col("all").alias("_all"))
+        once = F.expr("a < b AND label <> _other AND array_min(array_intersect(all, _all)) = bucket")
+        pairs = few.withColumnRenamed("node", "a").join(other, "bucket").filter(once).select("a", "b")
         labels = merged(labels, links(pairs))
         if level == LEVELS:
             return labels
