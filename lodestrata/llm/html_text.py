@@ -54,8 +54,13 @@ DEEPEST = 8
 #: Elements open at once; what is nested deeper is attached to the last of them, as browsers do.
 MOST_OPEN = 512
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""")
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Attributes by the standard's states: a quote opens a value only straight after "=", elsewhere it
+#: is a character like others. Nothing is tried twice, so time stays in proportion.
+_VALUE = r"""[ \t\n\f]*+=[ \t\n\f]*+(?:"{d}"|'{s}'|{u}|(?=>|\Z))"""
+_NAME = r"""[^ \t\n\f/>][^ \t\n\f/>=]*+"""
+_BARE = _VALUE.format(d='[^"]*+', s="[^']*+", u=r"""[^ \t\n\f>"'][^ \t\n\f>]*+""")
+_TAG = re.compile(rf"""<(/?)([a-zA-Z][^ \t\n\f/>]*+)((?:[ \t\n\f/]++|{_NAME}(?:{_BARE}|(?![ \t\n\f]*+=)))*+)>""")
+_ATTRIBUTE = re.compile(rf"""({_NAME})(?:{_VALUE.format(d='([^"]*+)', s="([^']*+)", u=r"""([^ \t\n\f>"'][^ \t\n\f>]*+)""")})?+""")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SELECTOR = re.compile(r"(?:[a-zA-Z][\w-]*|[.#][\w-]+)")
@@ -105,11 +110,11 @@ def tree(page: str) -> tuple[Node, set[str]]:
             at = n if end < 0 else end + 3
             continue
         follows = page[at + 1 : at + 2]
-        if follows in ("!", "?") or (follows == "/" and not page[at + 2 : at + 3].isalpha()):
+        if follows in ("!", "?") or (follows == "/" and not (page[at + 2 : at + 3].isascii() and page[at + 2 : at + 3].isalpha())):
             end = page.find(">", at + 1)
             at = n if end < 0 else end + 1
             continue
-        if not (follows.isalpha() or follows == "/"):
+        if not (follows == "/" or (follows.isascii() and follows.isalpha())):
             stack[-1].children.append("<")
             at += 1
             continue

@@ -42,6 +42,25 @@ def test_layout(page, want):
     assert visible_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p title=it's>first</p><p>second</p>", "first\n\nsecond"),
+        ('<a href="x"">one</a><p>two</p>', "one\n\ntwo"),
+        ('<a href="x"">one</a><p>two</p><p class="c">three', "one\n\ntwo\n\nthree"),
+        ("<p \"a>one</p><p b'>two</p>", "one\n\ntwo"),
+        ('<p a"b=c>one<p a=b"c>two', "one\n\ntwo"),
+        ("<p a = 'x>y' / = \">\">one</p>", '">one'),
+        ("<p title=>one<p class='x'hidden>no<p>two", "one\n\ntwo"),
+        ("</p it's>one</b \">two", "onetwo"),
+        ("x <é y</p><p>z", "x <é y\n\nz"),
+        ('<p>a<p title="b>c', "a"),
+    ],
+)
+def test_stray_quotes_end_with_their_tag(page, want):
+    assert visible_text(page) == want
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<table>", "</table>", "<tr>", "<td>", "<ul>", "<li>", "</ul>", "<div hidden>", "</div>", "<pre>", "</pre>", "<h1>", "</h1>", "<br>", "text", " ", "\n", "<!--", "-->", "<script>", "</script>", "&amp;", "<", ">", "<b", '"', "<dd>", "<thead>", "<style>p{display:none}</style>"]), max_size=40))
 def test_any_soup_gives_text(parts):
