@@ -239,15 +239,24 @@ class Page:
         return "".join(self.parts).strip("\n")
 
 
-def _rows(table: Node, hidden: set[str]) -> tuple[list[Node], list[list[Node]]]:
+def _strays(children: list) -> list[str]:
+    return [x for x in children if isinstance(x, str) and x.strip()]
+
+
+def _rows(table: Node, hidden: set[str]) -> tuple[list[Node | str], list[list[Node]]]:
+    """What is shown before the table, text outside cells among it, and the cells of each row."""
     captions, rows = [], []
     for child in table.children:
         if isinstance(child, Node) and _shown(child, hidden):
             if child.name in ("thead", "tbody", "tfoot"):
+                captions += _strays(child.children)
                 for x in child.children:
                     if isinstance(x, Node) and _shown(x, hidden):
+                        if x.name == "tr":
+                            captions += _strays(x.children)
                         rows.append([c for c in x.children if isinstance(c, Node) and _shown(c, hidden)] if x.name == "tr" else [x])
             elif child.name == "tr":
+                captions += _strays(child.children)
                 rows.append([c for c in child.children if isinstance(c, Node) and _shown(c, hidden)])
             elif child.name in ("td", "th"):
                 rows.append([child])

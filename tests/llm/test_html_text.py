@@ -61,6 +61,20 @@ def test_stray_quotes_end_with_their_tag(page, want):
     assert visible_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<table><tr>total<td>5</td></tr></table>", "total\n5"),
+        ("<table><tbody>note<tr><td>a<td>b</tr>more</tbody></table>x", "note\nmore\na  b\n\nx"),
+        ("<table><thead>head<tr>one<th>h</thead><tfoot>foot<tr><td>f</tfoot></table>", "head\none\nfoot\nh\nf"),
+        ("<table>cap<tr> \n <td>a</td> \n </tr></table>", "cap\na"),
+        ("<table><tr hidden>no<td>no</tr><tr>yes<td>a</tr></table>", "yes\na"),
+    ],
+)
+def test_text_outside_cells_is_kept(page, want):
+    assert visible_text(page) == want
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<table>", "</table>", "<tr>", "<td>", "<ul>", "<li>", "</ul>", "<div hidden>", "</div>", "<pre>", "</pre>", "<h1>", "</h1>", "<br>", "text", " ", "\n", "<!--", "-->", "<script>", "</script>", "&amp;", "<", ">", "<b", '"', "<dd>", "<thead>", "<style>p{display:none}</style>"]), max_size=40))
 def test_any_soup_gives_text(parts):
