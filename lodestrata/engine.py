@@ -38,7 +38,7 @@ class Engine:
         return structure.links(out, "source", "chunk_index", "chunk_id").select("chunk_id", F.lit(self.scope.user_id).alias("user_id"), "source", "page", "chunk_index", "section_title", "text", "tokens", "prev_id", "next_id")
 
     def ingest(self, pages: DataFrame) -> DataFrame:
-        """Takes in pages (source, page, text); unchanged sources are skipped. Gives what was done to each."""
+        """Takes in pages (source, page, text); unchanged sources are skipped. Gives source and status of all that were taken in."""
         whole = pages.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\f").alias("text"))
         hashed = library.content_hash(whole).select("source", "content_hash").withColumn("user_id", F.lit(self.scope.user_id))
         known = self._table("hashes")
@@ -49,10 +49,14 @@ class Engine:
                 new = self.chunk(pages.join(fresh.select("source"), "source", "left_semi")).withColumn("embedding", self.plugins.embed(F.col("text")))
                 self.store.replace("chunks", new, ["user_id", "source"], also=fresh.select("user_id", "source"))
                 self.store.replace("hashes", fresh, ["user_id", "source"])
-            status = [(r["source"], "ingested") for r in fresh.select("source").limit(1000).collect()]
         finally:
             fresh.unpersist()
-        return self.spark.createDataFrame(status, "source string, status string")
+        # versions of a table don't change, so what was taken in is read from the two, whatever is written later
+        now = self._table("hashes")
+        if now is None:
+            return self.spark.createDataFrame([], "source string, status string")
+        taken = now if known is None else now.join(known.select("source", "content_hash"), ["source", "content_hash"], "left_anti")
+        return taken.select("source", F.lit("ingested").alias("status"))
 
     def ingest_table(self, rows: DataFrame, table_id: str, entity: str, columns: dict[str, str], order: str, title: str) -> None:
         cells = facts.cells(rows, table_id, entity, columns, order, title, self.config.cell_cap).withColumn("user_id", F.lit(self.scope.user_id))

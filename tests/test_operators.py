@@ -113,3 +113,12 @@ def test_engine_end_to_end(spark, tmp_path):
     assert {r.source for r in other.documents().collect()} == {"it.pdf"}
     mine.delete(["leave.pdf"])
     assert {r.source for r in mine.documents().collect()} == {"it.pdf"}
+
+
+def test_ingest_reports_every_source(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}", "u1")
+    pages = spark.range(1200).select(F.concat(F.lit("s"), "id").alias("source"), F.lit(1).alias("page"), F.concat(F.lit("Text of page "), "id").alias("text"))
+    first = engine.ingest(pages)
+    changed = pages.withColumn("text", F.when(F.col("source") == "s7", "Other text").otherwise(F.col("text")))
+    assert [tuple(r) for r in engine.ingest(changed).collect()] == [("s7", "ingested")]
+    assert sorted(tuple(r) for r in first.collect()) == sorted((f"s{k}", "ingested") for k in range(1200))
