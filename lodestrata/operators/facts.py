@@ -97,20 +97,18 @@ def resolve_exact(variants_: DataFrame, choices: DataFrame) -> DataFrame:
 def fuzzy_candidates(variants_: DataFrame, choices: DataFrame) -> DataFrame:
     """Pairs that may be compared: equal digit runs (the join key), and a real word in common or nearly so.
 
-    The digit runs turn a comparison of all with all into an equi-join; entries without digits
-    meet through the first letters of their words.
+    The distinct words of the questions are held against the distinct words of the entries, each
+    pair once; spans and entries then meet by digit runs and words that are 60 alike or more.
     """
     words = lambda c: F.filter(F.split(F.regexp_replace(c, r"\d+", " "), r"\s+"), lambda w: w != "")
     real = lambda c: F.filter(words(c), lambda w: (F.length(w) >= 3) & ~w.isin(FILLER))
     left = variants_.filter(~F.col("variant").rlike(r"^\s*\d+\s*$")).withColumn("_d", F.array_join(digit_runs(F.col("variant")), "|")).withColumn("_w", F.explode(real(F.col("variant"))))
     right = choices.select("norm", "display", "table_ids").withColumn("_d", F.array_join(digit_runs(F.col("norm")), "|")).withColumn("_c", F.explode(F.array_distinct(words(F.col("norm")))))
-    # words that are 60 alike share their first or their last letter, or differ at both ends
-    ends = lambda c: F.array_distinct(F.array(F.left(c, F.lit(1)), F.concat(F.lit("$"), F.right(c, F.lit(1)))))
-    left = left.withColumn("_e", F.explode(ends(F.col("_w"))))
-    right = right.withColumn("_e", F.explode(ends(F.col("_c"))))
-    pairs = left.join(right, ["_d", "_e"]).select("query_id", "span", "start", "end", "variant", "variant_no", "norm", "display", "table_ids", "_w", "_c").distinct()
-    near = pairs.filter((F.col("_w") == F.col("_c")) | (plain_ratio("_w", "_c") >= 60))
-    return near.drop("_w", "_c").distinct()
+    asked, named = left.select("_w", F.length("_w").alias("_a")).distinct(), right.select("_c", F.length("_c").alias("_b")).distinct()
+    # 60 alike: the common subsequence is 0.3 of both lengths together, and no longer than the shorter word
+    able = asked.withColumn("_b", F.explode(F.sequence(F.ceil(F.col("_a") * 3 / 7).cast("int"), F.floor(F.col("_a") * 7 / 3).cast("int")))).join(named, "_b")
+    near = able.filter((F.col("_w") == F.col("_c")) | (plain_ratio("_w", "_c") >= 60)).select("_w", "_c")
+    return left.join(near, "_w").join(right, ["_d", "_c"]).select("query_id", "span", "start", "end", "variant", "variant_no", "norm", "display", "table_ids").distinct()
 
 
 def resolve(variants_: DataFrame, choices: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Small cases that can be checked by hand."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +124,21 @@ def test_ingest_reports_every_source(spark, tmp_path):
     changed = pages.withColumn("text", F.when(F.col("source") == "s7", "Other text").otherwise(F.col("text")))
     assert [tuple(r) for r in engine.ingest(changed).collect()] == [("s7", "ingested")]
     assert sorted(tuple(r) for r in first.collect()) == sorted((f"s{k}", "ingested") for k in range(1200))
+
+
+def test_fuzzy_candidates_match_brute_force(spark):
+    asked = ["rands", "ations", "ustome", "custmer", "the brand", "acount 7", "x 7", "of 12", "abc", "segmen", "ustomer 000000042", "nationality", "ab"]
+    labels = ["brand", "nation", "customer", "customer 000000042", "account 7", "account 12", "market segment", "b", "zebra", "abcdefg", "nationalities of all"]
+
+    def words(x):
+        return re.sub(r"\d+", " ", x).split()
+
+    def meet(a, b):
+        real = [w for w in words(a) if len(w) >= 3 and w not in facts.FILLER]
+        return re.findall(r"\d+", a) == re.findall(r"\d+", b) and any(fuzzy.ratio(w, c) >= 60 for w in real for c in words(b))
+
+    variants = spark.createDataFrame([(1, a, k, k + 1, a, 0) for k, a in enumerate(asked)], "query_id int, span string, start int, end int, variant string, variant_no int")
+    choices = spark.createDataFrame([(b, b, ["t"]) for b in labels], "norm string, display string, table_ids array<string>")
+    got = sorted((r.variant, r.norm) for r in facts.fuzzy_candidates(variants, choices).collect())
+    assert got == sorted((a, b) for a in asked for b in labels if meet(a, b))
+    assert {("rands", "brand"), ("ations", "nation"), ("ustome", "customer")} <= set(got)
