@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import os
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space between words, as code points: space, tab to carriage return.
@@ -25,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
@@ -39,10 +41,73 @@ def materialise(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables in one shared folder; a table is dropped once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, shared_dir(spark)
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+        self.names: list[str] = []
+
+    def _path(self, name: str) -> str:
+        return f"{self.folder}/{len(self.paths)}-{uuid.uuid4().hex[:8]}-{name}"
+
+    def table(self, df: DataFrame, name: str = "part") -> DataFrame:
+        """As ``materialise``, to be dropped later."""
+        path = self._path(name)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def bucketed(self, df: DataFrame, key: str, size: int, name: str = "buckets") -> DataFrame:
+        """A row of ``df`` for each ``key``, dealt by it into ``size`` buckets, so that joins on the key don't move it again."""
+        path, table = self._path(name), f"scratch_{uuid.uuid4().hex}"
+        df.repartition(size, key).dropDuplicates([key]).write.option("compression", "zstd").option("path", path).bucketBy(size, key).saveAsTable(table)
+        out = self.spark.table(table)
+        self.names.append(table)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for df in tables:
+            if id(df) in self.paths:
+                _, path = self.paths.pop(id(df))
+                remove(self.spark, path)
+
+    def clear(self, *but: DataFrame) -> None:
+        """Drop all tables except these."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names = []
+        self.drop(*[df for df, _ in list(self.paths.values()) if not any(df is x for x in but)])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of shared storage."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def buckets_for(spark: SparkSession, size: int, each: int = 1 << 25) -> int:
+    """How many buckets hold ``size`` bytes: as many as there are shuffle partitions at least, and no more than Spark allows."""
+    most, least = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, max(least, math.ceil(size / each))))
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+#: Rows of a few dozen bytes that may be broadcast: some 50 MB.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of short rows, marked for broadcast if it has no more than ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,19 +126,36 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose (id, text) is in ``kept(id_col, _digest, _copies)``.
+def beside(rows: DataFrame, keyed: DataFrame, condition: Column, salts: int = 64) -> DataFrame:
+    """``rows`` joined to ``keyed``, a written table with a row for each key.
 
-    Of rows that agree in id and text, as many stay as ``_copies`` says. Ids match null to
-    null. Columns of ``docs`` come back unchanged, whatever their names.
+    A table of up to ``BROADCAST_ROWS`` is broadcast. A larger one is repeated for ``salts``
+    salts, so the rows of a hot key meet it in as many tasks.
     """
-    from pyspark.sql import Window
+    if keyed.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keyed), condition)
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    spread = keyed.withColumn("_salted", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(spread, condition & (F.col("_salt") == F.col("_salted"))).drop("_salt", "_salted")
+
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_i"), digest().alias("_g"))
-    right = kept.select(F.col(id_col).alias("_j"), F.col("_digest").alias("_h"), "_copies")
-    both = packed.join(right, F.col("_i").eqNullSafe(F.col("_j")) & (F.col("_g") == F.col("_h")))
-    nth = F.row_number().over(Window.partitionBy("_j", "_h").orderBy(F.lit(0)))
-    return both.withColumn("_n", nth).filter("_n <= _copies").select("_row.*")
+def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but for those in ``gone(_id, _digest, _stay)``; texts move only if ``gone`` is large.
+
+    Of the rows that agree in id and text with a row of ``gone`` as many stay as its ``_stay``
+    says, mostly none. Ids match null to null. Columns of ``docs`` come back unchanged, whatever
+    their names.
+    """
+    gone = materialise(gone.select(F.col("_id").alias("_j"), F.col("_digest").alias("_h"), F.col("_stay").cast("int").alias("_stay")), "gone")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_i"), digest(text_col).alias("_g"))
+    same = F.col("_i").eqNullSafe(F.col("_j")) & (F.col("_g") == F.col("_h"))
+    kept = packed.join(small(gone), same, "left_anti").select("_row")
+    partly = gone.filter("_stay > 0")  # rows that stand in the table more than once
+    if not is_empty(partly):
+        both = packed.join(small(partly), same)
+        nth = F.row_number().over(Window.partitionBy("_j", "_h").orderBy(F.lit(0)))
+        kept = kept.union(both.withColumn("_n", nth).filter("_n <= _stay").select("_row"))
+    return kept.select("_row.*")
 
 
 # ---------------------------------------------------------------- kernels over Arrow text
@@ -121,6 +203,9 @@ def _words_of(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     run[start] = np.diff(start, prepend=0)
     place = np.arange(len(data), dtype=np.int32) - np.cumsum(run, dtype=np.int32)
     value = _BYTE[data] * _POWER[place & 1023] + place.astype(np.uint64)
+    far = np.flatnonzero(place > 1023)
+    if len(far):  # weights don't come again in long words
+        value[far] *= mix64((place[far] >> 10).astype(np.uint64)) | np.uint64(1)
     value[blank] = 0
     return start, mix64(np.add.reduceat(value, start))
 
@@ -157,7 +242,7 @@ def shingles(data: np.ndarray, at: np.ndarray, size: int = 5) -> tuple[np.ndarra
     count = np.bincount(row, minlength=len(at) - 1)
     begin = np.cumsum(count) - count
     total, left = np.zeros(len(word), np.uint64), count[row] - (np.arange(len(row)) - begin[row])
-    for k in range(size):
+    for k in range(min(size, len(word))):
         part = mix64(word + np.uint64(k + 1))
         total[: len(word) - k] += np.where(left[: len(word) - k] > k, part[k:], np.uint64(0))
     whole = (left >= size) | ((left == count[row]) & (count[row] < size))

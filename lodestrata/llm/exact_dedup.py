@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, keep_rows, materialise, mix64, slices, text_bytes, text_or_empty
+from .common import drop_rows, is_empty, materialise, mix64, slices, text_bytes, text_or_empty
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 512, 32768, 12
 _GEAR = mix64(np.arange(256, dtype=np.uint64) + np.uint64(1 << 32)).astype(np.uint32)
@@ -158,7 +158,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    kept = exact_groups(docs).filter("kept").select("doc_id", F.unhex("text_sha256").alias("_digest"), F.lit(1).alias("_copies"))
-    return keep_rows(docs, kept)
+    copies = exact_groups(docs, id_col, text_col).filter("group_size > 1").groupBy(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest"))
+    gone = copies.agg(F.count("*").alias("_copies"), F.max("kept").cast("int").alias("_stay")).filter("_copies > _stay")
+    return drop_rows(docs, gone, id_col, text_col)

@@ -23,18 +23,33 @@ each member is verified against L on exact shingles: as many checks as members.
 that isn't linked to L and any member y linked to x, and say x and y share nothing outside L.
 Then |x and L| >= |x and y| and |L| <= |y|, so J_W(x, L) >= J_W(x, y) >= 0.8, a contradiction.
 Hence x and y share a shingle outside L, and more exactly |x and y| - |x and L| of them, where
-|x and y| must be at least 0.8 / 1.8 (|x| + |y|). So one of the first |x outside L| - s + 1 of these
-shingles, the rarest first, is shared, s being the least number that x needs. The bucket splits
-into smaller buckets, one for each such shingle (L is in none of them), that are treated alike;
-shingles that stand in one class only make none. Buckets whose members are all of one
-class are done at any point, buckets with the same members count once, and buckets of up to
-``SMALL`` members are settled pair by pair, as is what ``LEVELS`` rounds of splitting leave open. So
-a bucket of thousands of near copies costs about as many checks as it has members once they are
-linked, and no pair that shares a bucket and might join two classes is left untested. Where very
-many texts are a little less than 0.8 alike, the pairs of the last step can be many.
+|x and y| must be at least 0.8 / 1.8 (|x| + |y|). Put the shingles outside L in any order that is
+the same for all members: x and y then share one of the first |x outside L| - s + 1 of x's and
+one of as many of y's, the same one, s being the least number that x (or y) needs. The bucket
+splits into smaller buckets, one for each such shingle (L is in none of them), that are treated
+alike; shingles that stand in one class only make none. The order puts shingles that were not
+met twice among ``SAMPLE`` members of a large bucket first and the most common last: it only
+decides how small the new buckets get, not what is found.
+
+Buckets whose members are all of one class are done at any point, buckets with the same members
+count once, and small buckets are settled pair by pair, where texts too unlike in size aren't
+tried: up to ``SMALL`` members at first, ``GROWTH`` times as many after each split, so there are no
+more rounds than the logarithm of the largest bucket. A bucket of thousands of near copies costs
+about as many checks as it has members once they are linked, and no pair that shares a bucket
+and might join two classes is left untested. The pairs of the last rounds can be many only where
+very many texts are a little less than 0.8 alike and share shingles that are not the leaders'.
+
+Links are made on words, not on hashes: a pair that is similar by 64-bit hashes of its shingles
+is held against each other once more with its words numbered.
+
+Texts move as follows: one shuffle deals the texts that share a bucket with another by node into
+a bucketed table. Members are joined to it without moving it; a pair's text then meets its
+leader's.
 
 Defined cases: a null text counts as empty; equal texts (empty ones too) are one class; a text of
-1 to 4 words has one shingle; texts without words are linked to equal texts only; a null id is
+1 to 4 words has one shingle; texts without words are linked to equal texts only; very long texts
+are read whole, some megabytes at a time until their shingles are counted; columns of any other
+name are carried along and never read; a null id is
 allowed and is smaller than any other; rows that agree in id and text are one class; an empty
 table gives an empty table.
 """
@@ -46,15 +61,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import digest, is_empty, keep_rows, materialise, mix64, shingles, slices, text_bytes, text_or_empty
+from .common import Scratch, buckets_for, digest, drop_rows, is_empty, mix64, shingles, slices, small, text_bytes, text_or_empty
 from .components import merged
 
 WORDS, SIMILAR = 5, 0.8
 ROWS, BANDS = 5, 30
-#: Members of a bucket that may be settled pair by pair.
-SMALL = 8
-#: How often a bucket is split before the rest of it is settled pair by pair.
-LEVELS = 2
+#: Members of a bucket that may be settled pair by pair at first, and by how much that grows after each split.
+SMALL, GROWTH = 16, 8
+#: From so many members on, shingles that are common among a sample of as many come last.
+SAMPLE = 32
+#: Members of a leader that are compared in one task.
+SHARED = 256
 
 
 def prob_minhash(row: np.ndarray, item: np.ndarray, weight: np.ndarray, rows: int, m: int) -> np.ndarray:
@@ -93,7 +110,7 @@ def signed(batches):
             ends = np.cumsum(np.where(some, BANDS, 0))
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(keys[some].reshape(-1).view(np.int64)))
             sizes = np.bincount(row, weights=count, minlength=n).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_digest"), pa.array(sizes), bands], names=["_id", "_digest", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_digest"), pa.array(sizes), pa.array(np.diff(at)), bands], names=["_id", "_digest", "size", "bytes", "bands"])
 
 
 def _pairs_of(batch):
@@ -112,56 +129,81 @@ def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarra
     least, most = sorted((int(wa.sum()), int(wb.sum())))
     if not least:
         return 0.0
-    if least < 0.5 * most:  # at most least / most
-        return least / most
     _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     shared = int(np.minimum(wa[ia], wb[ib]).sum())
     return shared / (least + most - shared)
 
 
+def exact_jaccard(text_a: bytes, text_b: bytes) -> float:
+    """J_W of two texts on their words themselves: words are numbered, shingles then ranked step by step."""
+    number: dict[bytes, int] = {}
+    sides = [np.fromiter((number.setdefault(w, len(number)) for w in text.split()), np.int64) for text in (text_a, text_b)]
+    size = [min(WORDS, len(x)) for x in sides]
+    if not min(size) or size[0] != size[1]:
+        return 0.0
+    code = np.concatenate([x[: len(x) - size[0] + 1] for x in sides])
+    for k in range(1, size[0]):
+        following = np.concatenate([x[k : len(x) - size[0] + 1 + k] for x in sides])
+        _, code = np.unique(code * len(number) + following, return_inverse=True)
+    n = len(sides[0]) - size[0] + 1
+    counts = [np.bincount(c, minlength=int(code.max()) + 1) for c in (code[:n], code[n:])]
+    shared = int(np.minimum(*counts).sum())
+    return shared / (len(code) - shared)
+
+
 def verified(similar: float):
     """Keeps the pairs (a, b, text_a, text_b) whose texts are similar enough."""
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text_a"):
-                good = [k for k, pair in enumerate(_pairs_of(batch)) if weighted_jaccard(*pair) >= similar - 1e-12]
+            for batch in slices(whole, "text_b"):
+                near = [k for k, pair in enumerate(_pairs_of(batch)) if weighted_jaccard(*pair) >= similar - 1e-12]
+                good = [k for k in near if exact_jaccard(*(batch.column(c)[k].as_buffer().to_pybytes() for c in ("text_a", "text_b"))) >= similar - 1e-12]
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
 
-def outside(similar: float):
+def outside(similar: float, whole: bool = False):
     """For pairs (leader a, member b) the shingles of b that a lacks, or has less often.
 
-    ``first``: among how many of them, in any one order for all, b shares at least one with any
-    text that it is linked to and that is no smaller than a.
+    Those come that b shares at least one of with any text that it is linked to and that is no
+    smaller than a; ``whole``: all of them. The order is by hash, but what is in ``common`` comes
+    last, in the order given there.
     """
 
     def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text_a"):
-                yield _outside(batch, similar)
+        for batch in batches:
+            for part in slices(batch, "text_b"):
+                yield _outside(part, similar, whole)
 
     return run
 
 
-def _outside(batch, similar):
-    items, first = [], []
-    for a, wa, b, wb in _pairs_of(batch):
+def _outside(batch, similar, whole):
+    items = []
+    late = [None] * batch.num_rows if whole else [x.values.to_numpy() if x.is_valid else None for x in batch.column("common")]
+    for (a, wa, b, wb), common in zip(_pairs_of(batch), late, strict=True):
         have = np.zeros(len(b), np.int64)
         _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
         have[ib] = wa[ia]
         more = np.maximum(wb - have, 0)
         which = np.repeat(np.arange(len(b)), more)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(more) - more, more) + have[which]
-        items.append(mix64(b[which] + mix64(nth.astype(np.uint64))).view(np.int64))
-        size, leader, shared = int(wb.sum()), int(wa.sum()), int(wb.sum() - more.sum())
-        need = int(np.ceil(similar / (1 + similar) * (size + max(leader, similar * size)) - 1e-9)) - shared
-        first.append(len(which) - max(1, need) + 1)
+        item = np.sort(mix64(b[which] + mix64(nth.astype(np.uint64))).view(np.int64))
+        if not whole:
+            size, leader, shared = int(wb.sum()), int(wa.sum()), int(wb.sum() - more.sum())
+            need = int(np.ceil(similar / (1 + similar) * (size + max(leader, similar * size)) - 1e-9)) - shared
+            if common is not None:
+                order = np.argsort(common, kind="stable")
+                at = np.minimum(np.searchsorted(common, item, sorter=order), len(common) - 1)
+                there = common[order[at]] == item
+                item = np.concatenate([item[~there], common[np.sort(order[at[there]])]])
+            item = item[: max(0, len(item) - max(1, need) + 1)]
+        items.append(item)
     ends = np.cumsum([0, *map(len, items)])
     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(items) if items else np.zeros(0, np.int64)))
-    return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(first, pa.int32()), lists], names=["a", "b", "first", "items"])
+    return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), lists], names=["a", "b", "items"])
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -170,103 +212,159 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _different(buckets: DataFrame) -> DataFrame:
-    """(bucket, node, size) with one bucket of those that hold the same members."""
-    marks = buckets.groupBy("bucket").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("_s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("_x"))
-    one = materialise(marks.groupBy("_n", "_s", "_x").agg(F.min("bucket").alias("bucket")).select("bucket"), "different")
-    return materialise(buckets.join(one, "bucket"), "buckets")
-
-
-def _classes(active: DataFrame, bodies: DataFrame, similar: float) -> DataFrame | None:
-    """node, label of all nodes that are linked to others, from buckets (bucket, node, size)."""
-    left = bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    texts = lambda pairs: pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    links = lambda pairs: materialise(texts(pairs).mapInArrow(verified(similar), "a long, b long"), "links")
-
-    def led(labels):
+class _Settling:
+    """Finds the classes of ``bodies(node, text)``, a table bucketed by node, from buckets of nodes."""
+
+    def __init__(self, bodies: DataFrame, similar: float, scratch: Scratch):
+        self.bodies, self.similar, self.scratch = bodies, similar, scratch
+
+    def texts(self, pairs: DataFrame, of_leader: DataFrame | None = None) -> DataFrame:
+        """``pairs``, a written table, with text_a and text_b, and what ``of_leader`` has by a.
+
+        The text of b is met where it lies. A leader of more than ``SHARED`` members goes to as
+        many tasks as it needs.
+        """
+        leaders = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARED).cast("int").alias("_parts"))
+        hot = self.scratch.table(leaders.filter("_parts > 1").withColumnRenamed("a", "_hot"), "hot")
+        parts = pairs.join(small(hot), F.col("a") == F.col("_hot"), "left")
+        pieces = parts.withColumn("_piece", F.pmod(F.xxhash64("b"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_hot", "_parts")
+        right = self.bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        left = leaders.hint("shuffle_hash").join(self.bodies, F.col("a") == F.col("node")).select("a", "_parts", F.col("text").alias("text_a"))
+        left = left if of_leader is None else left.join(of_leader, "a", "left")
+        spread = left.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+        return pieces.hint("shuffle_hash").join(right, "b").join(spread, ["a", "_piece"])
+
+    def linked(self, labels: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
+        """``labels`` after what is similar among ``pairs(a, b)`` is joined."""
+        table = self.scratch.table(pairs, "pairs")
+        links = self.scratch.table(self.texts(table).select("a", "b", "text_a", "text_b").mapInArrow(verified(self.similar), "a long, b long"), "links")
+        labels = merged(labels, links, self.scratch)
+        self.scratch.drop(table, links)
+        return labels
+
+    def different(self, buckets: DataFrame) -> DataFrame:
+        """(bucket, node, size) with one bucket of those that hold the same members."""
+        marks = buckets.groupBy("bucket").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("_s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("_x"))
+        one = self.scratch.table(marks.groupBy("_n", "_s", "_x").agg(F.min("bucket").alias("bucket")).select("bucket"), "different")
+        out = self.scratch.table(buckets.join(one, "bucket"), "buckets")
+        self.scratch.drop(one)
+        return out
+
+    def led(self, active: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Buckets of several classes, with their leader."""
         rows = _labelled(active, labels).groupBy("bucket").agg(F.min(F.struct("size", "node", "label")).alias("l"), F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("n"))
-        return materialise(rows.filter("_low <> _high").select("bucket", F.col("l.node").alias("a"), F.col("l.label").alias("of"), "n"), "leaders")
-
-    active = _different(active)
-    # most members meet the same few leaders in many buckets; one leader each is a start
-    lead = led(None)
-    if is_empty(lead):
-        return None
-    start = active.join(lead, "bucket").filter("node <> a").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
-    labels = merged(None, links(start))
-    for level in range(LEVELS + 1):
-        lead = led(labels)
+        return self.scratch.table(rows.filter("_low <> _high").select("bucket", F.col("l.node").alias("a"), F.col("l.label").alias("of"), "n"), "leaders")
+
+    def paired(self, few: DataFrame) -> DataFrame:
+        """The pairs of different classes within small buckets, each met in the first bucket that both are in."""
+        few = few.select("bucket", "node", "size", "label")
+        few = self.scratch.table(few.join(few.groupBy("node").agg(F.collect_set("bucket").alias("all")), "node"), "few")
+        other = few.select("bucket", F.col("node").alias("b"), F.col("size").alias("_size"), F.col("label").alias("_other"), F.col("all").alias("_all"))
+        alike = (F.least("size", "_size") >= self.similar * F.greatest("size", "_size") - 1e-9) & (F.col("label") != F.col("_other")) & (F.col("a") < F.col("b"))
+        once = F.expr("array_min(array_intersect(all, _all)) = bucket")
+        return few.withColumnRenamed("node", "a").join(other, "bucket").filter(alike & once).select("a", "b")
+
+    def common(self, many: DataFrame) -> DataFrame:
+        """For each leader of more than SAMPLE members the shingles that several of a sample of them have outside it, the rarest first."""
+        nth = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))
+        full = many.groupBy("a").agg(F.count("*").alias("_m")).filter(F.col("_m") > SAMPLE).select("a")
+        some = self.scratch.table(many.select("a", "b").withColumn("_k", nth).filter(F.col("_k") <= SAMPLE).join(full, "a").select("a", "b"), "sample")
+        items = self.texts(some).select("a", "b", "text_a", "text_b").mapInArrow(outside(self.similar, whole=True), "a long, b long, items array<long>")
+        counts = items.select("a", F.explode("items").alias("item")).groupBy("a", "item").agg(F.count("*").alias("c")).filter("c > 1")
+        out = counts.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "item"))), lambda x: x["item"]).alias("common"))
+        out = self.scratch.table(out, "common")
+        self.scratch.drop(some)
+        return out
+
+    def split(self, many: DataFrame) -> DataFrame:
+        """New buckets (bucket, node, size) of the members ``many(a, b, size, label)`` that their leaders a don't settle."""
+        common = self.common(many)
+        with_text = self.texts(many, common).select("a", "b", "text_a", "text_b", "common")
+        parts = with_text.mapInArrow(outside(self.similar), "a long, b long, items array<long>")
+        items = parts.select("a", "b", F.explode("items").alias("item")).join(many, ["a", "b"])
+        items = self.scratch.table(items.select(F.xxhash64("a", "item").alias("bucket"), F.col("b").alias("node"), "size", "label"), "outside")
+        shared = items.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("bucket")
+        shared = self.scratch.table(shared, "open")
+        out = self.different(items.join(shared, "bucket").select("bucket", "node", "size"))
+        self.scratch.drop(common, items, shared)
+        return out
+
+    def classes(self, active: DataFrame) -> DataFrame | None:
+        """node, label of all nodes that are linked to others, from buckets (bucket, node, size)."""
+        active = self.different(active)
+        # most members meet the same few leaders in many buckets; one leader each is a start
+        lead = self.led(active, None)
         if is_empty(lead):
-            return labels
-        members = _labelled(active.join(lead, "bucket"), labels).filter("node <> a")
-        pairs = members.filter("label <> of").select("a", F.col("node").alias("b")).distinct()
-        labels = merged(labels, links(pairs))
-        # leaders have met all others of their bucket; what is still open is between the others
-        members = _labelled(active.join(lead.select("bucket", "a", "n"), "bucket"), labels).filter("node <> a")
-        open_ = members.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("bucket")
-        members = materialise(members.join(materialise(open_, "open"), "bucket"), "members")
-        most = SMALL if level < LEVELS else (1 << 62)
-        few = members.filter(F.col("n") <= most).select("bucket", "node", "label")
-        # a pair is met in the first bucket that both are in, not in every one
-        few = materialise(few.join(few.groupBy("node").agg(F.collect_set("bucket").alias("all")), "node"), "few")
-        other = few.select("bucket", F.col("node").alias("b"), F.col("label").alias("_other"), F.col("all").alias("_all"))
-        once = F.expr("a < b AND label <> _other AND array_min(array_intersect(all, _all)) = bucket")
-        pairs = few.withColumnRenamed("node", "a").join(other, "bucket").filter(once).select("a", "b")
-        labels = merged(labels, links(pairs))
-        if level == LEVELS:
-            return labels
-        many = _labelled(members.filter(F.col("n") > SMALL).drop("label"), labels)
-        many = materialise(many.select("a", F.col("node").alias("b"), "size", "label").distinct(), "many")
-        if is_empty(many):
-            return labels
-        parts = texts(many.select("a", "b")).mapInArrow(outside(similar), "a long, b long, first int, items array<long>").filter("first > 0")
-        items = parts.select("a", "b", "first", F.explode("items").alias("item")).join(many, ["a", "b"])
-        items = materialise(items.select(F.xxhash64("a", "item").alias("bucket"), "a", F.col("b").alias("node"), "first", "size", "label"), "outside")
-        counts = items.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_n")).filter("_n > 1")
-        counts = materialise(counts.select("bucket", "_n", (F.col("_low") != F.col("_high")).alias("_open")), "counts")
-        # shingles that no other member has come first, and number what is left of ``first``
-        common = items.join(counts, "bucket")
-        alone = items.groupBy("a", "node").agg(F.count("*").alias("_all")).join(common.groupBy("a", "node").agg(F.count("*").alias("_common")), ["a", "node"])
-        room = alone.select("a", "node", (F.col("_all") - F.col("_common")).alias("_alone"))
-        nth = F.row_number().over(Window.partitionBy("a", "node").orderBy("_n", "bucket"))
-        ranked = common.join(materialise(room, "room"), ["a", "node"]).withColumn("_nth", nth + F.col("_alone"))
-        active = _different(materialise(ranked.filter("_nth <= first AND _open").select("bucket", "node", "size"), "split"))
-    return labels
+            return None
+        start = active.join(lead, "bucket").filter("node <> a").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
+        labels, most = self.linked(None, start), SMALL
+        while True:
+            self.scratch.drop(lead)
+            lead = self.led(active, labels)
+            if is_empty(lead):
+                return labels
+            led = self.scratch.table(active.join(lead, "bucket").select("bucket", "node", "size", "a", "of", "n"), "led")
+            rows = _labelled(led, labels)
+            large = (F.col("n") > most) & (F.col("node") != F.col("a"))
+            to_leaders = rows.filter(large & (F.col("label") != F.col("of"))).select("a", F.col("node").alias("b"))
+            labels = self.linked(labels, to_leaders.union(self.paired(rows.filter(F.col("n") <= most))).distinct())
+            # leaders have met all others of their bucket; what is still open is between the others
+            members = self.scratch.table(_labelled(led.filter(large), labels).select("bucket", "node", "size", "a", "label"), "members")
+            still = self.scratch.table(members.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("bucket"), "still")
+            many = self.scratch.table(members.join(still, "bucket").select("a", F.col("node").alias("b"), "size", "label").distinct(), "many")
+            self.scratch.drop(still)
+            self.scratch.drop(led, members, active)
+            if is_empty(many):
+                return labels
+            active, most = self.split(many), most * GROWTH
+            self.scratch.drop(many)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """One row per row of ``docs``: id_col, class_id, class_size, kept and the text's ``_digest``.
+    """One row per row of ``docs``: id_col, class_id, class_size, kept, the text's ``_digest`` and the class as ``_label``.
 
-    class_id is the least id of the class, and the row that has it is kept.
+    class_id is the least id of the class, and the row that has it is kept. ``similar`` may be
+    0.8 or more: the bands are laid out for that (a pair of similarity s shares no bucket with
+    probability (1 - s^5)^30, so of pairs at 0.7 alike 0.4 percent would be missed).
     """
+    if not SIMILAR <= similar <= 1:
+        raise ValueError(f"similar must be from {SIMILAR} to 1, for which the bands are laid out")
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), digest(text_col).alias("_digest"))
-    signs = materialise(texts.mapInArrow(signed, f"_id {id_type}, _digest binary, size long, bands array<long>"), "signatures")
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), text_or_empty(text_col).alias("_text"), digest(text_col).alias("_digest"))
+    signs = scratch.table(texts.mapInArrow(signed, f"_id {id_type}, _digest binary, size long, bytes long, bands array<long>"), "signatures")
     # equal texts are one node
-    nodes = signs.groupBy("_digest").agg(F.min(F.struct("_id")).alias("_first"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.count("*").alias("_n"))
-    nodes = materialise(nodes.select("_digest", F.col("_first._id").alias("_first"), "bands", "size", "_n").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = signs.groupBy("_digest").agg(F.min(F.struct("_id")).alias("_first"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("bytes").alias("bytes"), F.count("*").alias("_n"))
+    nodes = scratch.table(nodes.select("_digest", F.col("_first._id").alias("_first"), "bands", "size", "bytes", "_n").withColumn("node", F.monotonically_increasing_id()), "nodes")
     in_bands = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     # written out, so that both sides of the join are dealt anew and a hot bucket can be split
-    shared = materialise(in_bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "shared")
-    active = materialise(in_bands.join(shared, "bucket").select("bucket", "node", "size"), "buckets")
+    shared = scratch.table(in_bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "shared")
+    active = scratch.table(in_bands.join(shared, "bucket").select("bucket", "node", "size"), "buckets")
+    scratch.drop(shared)
     some = active.select("node").distinct()
-    wanted = nodes.join(some, "node").select("node", F.col("_first"), F.col("_digest").alias("_g"))
-    found = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_digest") == F.col("_g")))
-    bodies = materialise(found.select("node", F.col("_text").alias("text")).dropDuplicates(["node"]), "texts")
-    labels = _classes(active, bodies, similar)
+    wanted = scratch.table(nodes.join(some, "node").select("node", "bytes", F.col("_first").alias("_f"), F.col("_digest").alias("_g")), "wanted")
+    size = wanted.agg(F.sum("bytes")).first()[0] or 0
+    found = texts.join(small(wanted), F.col("_id").eqNullSafe(F.col("_f")) & (F.col("_digest") == F.col("_g"))).select("node", F.col("_text").alias("text"))
+    bodies = scratch.bucketed(found, "node", buckets_for(spark, size), "texts")
+    scratch.drop(wanted)
+    labels = _Settling(bodies, similar, scratch).classes(active)
     classed = nodes.select("node", "_digest", "_first", "_n")
     classed = classed.join(labels, "node", "left") if labels is not None else classed.withColumn("label", F.col("node"))
-    classed = materialise(classed.select("_digest", "_first", "_n", F.coalesce("label", "node").alias("label")), "classes")
-    totals = materialise(classed.groupBy("label").agg(F.sum("_n").alias("class_size"), F.min(F.struct("_first")).alias("_least")), "totals")
-    named = materialise(classed.join(totals, "label").select("_digest", F.col("_least._first").alias("class_id"), "class_size"), "named")
-    out = signs.select("_id", "_digest").join(named, "_digest")
-    return out.select(F.col("_id").alias(id_col), "class_id", "class_size", F.col("_id").eqNullSafe(F.col("class_id")).alias("kept"), "_digest")
+    classed = scratch.table(classed.select("_digest", "_first", "_n", F.coalesce("label", "node").alias("label")), "classes")
+    totals = scratch.table(classed.groupBy("label").agg(F.sum("_n").alias("class_size"), F.min(F.struct("_first")).alias("_least")), "totals")
+    named = scratch.table(classed.join(totals, "label").select("_digest", F.col("_least._first").alias("class_id"), "class_size", F.col("label").alias("_label")), "named")
+    rows = signs.select("_id", "_digest")
+    scratch.clear(signs, named)
+    out = rows.join(named, "_digest")
+    return out.select(F.col("_id").alias(id_col), "class_id", "class_size", F.col("_id").eqNullSafe(F.col("class_id")).alias("kept"), "_digest", "_label")
 
 
-def near_dedup(docs: DataFrame, **options) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with their columns."""
-    groups = near_groups(docs, **options).filter("kept").groupBy("class_id").agg(F.min("_digest").alias("_digest"))
-    kept = groups.select(F.col("class_id").alias("doc_id"), "_digest", F.lit(1).alias("_copies"))
-    return keep_rows(docs, kept)
+    groups = near_groups(docs, id_col=id_col, text_col=text_col, **options)
+    # of the rows with the least id of a class, those with the least text stay, and one of these
+    firsts = groups.filter("kept").groupBy("_label").agg(F.min("_digest").alias("_keep"))
+    of_row = groups.filter("class_size > 1").groupBy(F.col(id_col).alias("_id"), "_label", "_digest", "kept").agg(F.count("*").alias("_copies"))
+    first = F.col("kept") & (F.col("_digest") == F.col("_keep"))
+    gone = of_row.join(firsts, "_label").withColumn("_stay", first.cast("int")).filter("_copies > _stay")
+    return drop_rows(docs, gone, id_col, text_col)

@@ -8,12 +8,15 @@ a chi-square limit.
 
 The concentration steps never bring a group together: a step counts documents by group and by
 bin of distance, with the sums that mean and covariance need, and adds up the bins of each
-group from the centre outwards until they hold ``share`` of it. A group with few documents
-takes the estimates of its language, a language with few those of all.
-
-Defined cases: a null text has no words and fails; null language and source are groups of
-their own; groups in which a statistic doesn't vary get a floor under its variance (``FLOORS``),
-so equal documents aren't outliers; an empty table gives an empty table.
+group from the centre outwards until they hold ``share`` of it. Steps are repeated until no
+group's centre or determinant moves any more. A group with few documents takes the estimates of its
+language, a language with few those of all.
+
+Defined cases: a null text has no words and fails; very long texts are counted whole; null
+language and source are groups of their own; a variance below a floor (``FLOORS``) is raised to
+it, so equal documents and single repeated lines aren't outliers in groups that have none; rows
+that agree in id are judged one by one; other columns, whatever their names, aren't read; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,19 +24,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, materialise, text_or_empty, keep_rows, digest
+from .common import SPACE, beside, let, materialise, text_or_empty, drop_rows, digest
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 SYMBOLS = "#*$%&|<>"
 #: The vector of a document, as statistics that are near normal in ordinary prose, and the least
-#: standard deviation that each is taken to have.
+#: standard deviation that each is taken to have: with these a lone statistic is beyond the limit
+#: if 46 percent of the lines are repeats, or there is a symbol to every 17 words.
 FEATURES = ["f_word", "f_symbol", "f_lines", "f_repeat"]
-FLOORS = {"f_word": 0.08, "f_symbol": 0.10, "f_lines": 0.16, "f_repeat": 0.16}
-STEPS, SHARE, LEAST = 4, 0.75, 60
+FLOORS = {"f_word": 0.04, "f_symbol": 0.05, "f_lines": 0.14, "f_repeat": 0.16}
+STEPS, SHARE, LEAST, STILL = 12, 0.5, 60, 1e-6
 #: Chi-square with 4 degrees of freedom: 0.9999 quantile. The covariance of the closest SHARE of a
 #: normal sample is too small by the factor P(chi2_6 <= q) / SHARE, q the SHARE quantile.
-LIMIT, SHRINKAGE = 23.51, 0.4988 / 0.75
+LIMIT, SHRINKAGE = 23.51, 0.2371 / 0.5
 #: Bins of log distance: 16 to a doubling, from 2^-20 to 2^40.
 BINS, LOW = 16, -20
 
@@ -154,12 +158,13 @@ def _distance(df: DataFrame, alias: str = "d2") -> DataFrame:
 
 
 def _estimates(sums: DataFrame, shrinkage: float) -> DataFrame:
-    """Mean and covariance of each group from n, s_<a>, s_<a>_<b>."""
-    out = sums.select(
-        "_group",
-        *[(F.col(f"s_{a}") / F.col("n")).alias(f"m_{a}") for a in FEATURES],
-        *[((F.col(f"s_{a}_{b}") / F.col("n") - F.col(f"s_{a}") / F.col("n") * F.col(f"s_{b}") / F.col("n")) / shrinkage + (F.lit(FLOORS[a] ** 2) if a == b else F.lit(0.0))).alias(f"c_{a}_{b}") for a, b in _pairs()],
-    )
+    """Mean and covariance of each group from n, s_<a>, s_<a>_<b>; variances are no less than their floors."""
+
+    def covariance(a: str, b: str) -> Column:
+        own = (F.col(f"s_{a}_{b}") / F.col("n") - F.col(f"s_{a}") / F.col("n") * F.col(f"s_{b}") / F.col("n")) / shrinkage
+        return F.greatest(own, F.lit(FLOORS[a] ** 2)) if a == b else own
+
+    out = sums.select("_group", *[(F.col(f"s_{a}") / F.col("n")).alias(f"m_{a}") for a in FEATURES], *[covariance(a, b).alias(f"c_{a}_{b}") for a, b in _pairs()])
     return _with_factor(out)
 
 
@@ -174,18 +179,33 @@ def _medians(rows: DataFrame) -> DataFrame:
         mid.select(
             "_group",
             *[F.col(a)[1].alias(f"m_{a}") for a in FEATURES],
-            *[(F.pow((F.col(a)[2] - F.col(a)[0]) / 2, F.lit(2.0)) + F.lit(FLOORS[a] ** 2) if a == b else F.lit(0.0)).alias(f"c_{a}_{b}") for a, b in _pairs()],
+            *[(F.greatest(F.pow((F.col(a)[2] - F.col(a)[0]) / 2, F.lit(2.0)), F.lit(FLOORS[a] ** 2)) if a == b else F.lit(0.0)).alias(f"c_{a}_{b}") for a, b in _pairs()],
         )
     )
 
 
+def _with_model(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """``rows`` with the estimates of their group; groups are few beside rows, and no group meets in one task."""
+    return beside(rows, now.withColumnRenamed("_group", "_of"), F.col("_group") == F.col("_of")).drop("_of")
+
+
+def _moved(before: DataFrame, after: DataFrame) -> float:
+    """By how much any group's log determinant, or its centre in standard deviations, has changed."""
+    log_det = sum((F.log(f"l_{a}_{a}") for a in FEATURES), F.lit(0.0))
+    spread = [(F.col(f"m_{a}") / FLOORS[a]).alias(f"x_{a}") for a in FEATURES]
+    left = before.select("_group", log_det.alias("d"), *spread)
+    right = after.select(F.col("_group").alias("_of"), log_det.alias("e"), *[x.alias(f"y_{a}") for a, x in zip(FEATURES, spread, strict=True)])
+    moves = [F.abs(F.col("d") - F.col("e")), *[F.abs(F.col(f"x_{a}") - F.col(f"y_{a}")) for a in FEATURES]]
+    return left.join(right, F.col("_group") == F.col("_of")).agg(F.max(F.greatest(*moves))).first()[0] or 0.0
+
+
 def _concentrate(rows: DataFrame, now: DataFrame, share: float) -> DataFrame:
     """One step: estimates from the ``share`` of each group that is closest under the present ones.
 
     What is brought together is a row of sums for each group and bin of distance, however large
     the group.
     """
-    near = _distance(rows.join(now, "_group")).withColumn("_bin", F.floor(F.log2(F.greatest("d2", F.lit(2.0**LOW))) * BINS).cast("int"))
+    near = _distance(_with_model(rows, now)).withColumn("_bin", F.floor(F.log2(F.greatest("d2", F.lit(2.0**LOW))) * BINS).cast("int"))
     # written out, so that the sums of a bin meet by group and bin, and only a row for each bin meets by group
     bins = materialise(near.groupBy("_group", "_bin").agg(*_sums()), "bins")
     outwards = Window.partitionBy("_group").orderBy("_bin")
@@ -205,7 +225,7 @@ def group_models(stats: DataFrame, steps: int = STEPS, share: float = SHARE, lea
     levels = materialise(sizes.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), level.alias("_level")), "levels")
     name = lambda lang, source: F.to_json(F.struct(lang.alias("l"), source.alias("s")))
     own = {2: name(F.col("lang"), F.col("source")), 1: name(F.col("lang"), F.lit("*")), 0: F.lit("*")}
-    with_level = stats.join(levels, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
+    with_level = beside(stats, levels, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
     chosen = with_level.withColumn("_group", F.when(F.col("_level") == 2, own[2]).when(F.col("_level") == 1, own[1]).otherwise(own[0]))
     # a document counts in its own group, and in those of its language and of all that small groups turn to
     needed = levels.agg(F.min("_level").alias("m")).collect()[0]["m"]
@@ -213,7 +233,9 @@ def group_models(stats: DataFrame, steps: int = STEPS, share: float = SHARE, lea
     rows = with_level.select(F.explode(F.array_compact(F.array(*groups))).alias("_group"), *FEATURES)
     now = materialise(_medians(rows), "start")
     for k in range(steps):
-        now = materialise(_concentrate(rows, now, share), f"step{k}")
+        before, now = now, materialise(_concentrate(rows, now, share), f"step{k}")
+        if _moved(before, now) < STILL:
+            break
     return chosen, now
 
 
@@ -222,14 +244,14 @@ def judged(docs: DataFrame, id_col: str = "doc_id", limit: float = LIMIT, steps:
     stats = text_stats(docs.withColumn("_digest", digest()), [id_col, "lang", "source", "_digest"])
     stats = materialise(stats.withColumn("base_failed", base_failed()).withColumns(features()), "stats")
     chosen, models = group_models(stats.filter(~F.col("base_failed")), steps)
-    scored = _distance(chosen.join(models, "_group")).withColumn("kept", F.col("d2") <= limit)
+    scored = _distance(_with_model(chosen, models)).withColumn("kept", F.col("d2") <= limit)
     columns = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     good = scored.select(*columns, F.col("d2").alias("distance"), "kept", "_digest")
     bad = stats.filter("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"), "_digest")
     return good.unionByName(bad)
 
 
-def quality_filter(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
-    kept = judged(docs, **options).filter("kept").groupBy("doc_id", "_digest").agg(F.count("*").alias("_copies"))
-    return keep_rows(docs, kept)
+def quality_filter(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns; rows that agree in id and text share their fate but for a difference in language or source."""
+    rows = judged(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("_id"), "_digest").agg(F.count("*").alias("_copies"), F.count_if("kept").alias("_stay"))
+    return drop_rows(docs, rows.filter("_copies > _stay"), id_col)

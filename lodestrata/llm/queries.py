@@ -53,7 +53,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_groups(table(spark, sf_dir, "documents")).drop("_digest")
+    return minhash_dedup.near_groups(table(spark, sf_dir, "documents")).drop("_digest", "_label")
 
 
 _ALL = (op1_quality_classifier, op2_pii, op3_line_dedup, op4_quality_rules, op5_exact_dedup, op6_packing, op7_warc, op8_html_extraction, op9_mixing, op10_minhash_dedup)

@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, _row int, _key double"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, _row int, _key double, _id string, _text string, _digest int, _group string, _i int, _g double, _source int, _copy string, spans int, class_id string"
 
 
 @pytest.fixture(scope="session")
@@ -24,7 +24,8 @@ def odd(spark):
         (9, "another text under that id", "en", "c", 1, "q", 1, 1.0),
         (10, "\n\n \t\n", "en", "c", 1, "q", 1, 1.0),
     ]
-    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+    clashing = ("a", "b", 1, "c", 2, 0.5, 3, "d", 4, None)
+    return spark.createDataFrame([(*r, *clashing) for r in rows], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="session")

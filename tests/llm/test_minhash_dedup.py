@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lodestrata.llm import common, minhash_dedup
 from lodestrata.llm.components import components
@@ -101,6 +102,66 @@ def test_one_document_of_each_class_stays(spark, odd, empty):
     assert minhash_dedup.near_dedup(empty).count() == 0
 
 
+def test_slices_of_a_few_words(spark):
+    """Tables, and slices of them, that hold 0 to 6 words in total."""
+    for n in range(7):
+        text = " ".join("abcdef"[:n])
+        data, at = common.text_bytes(pa.array([text]))
+        row, _, count = common.shingles(data, at)
+        assert len(row) == count.sum() == (1 if n else 0) + max(0, n - 5)
+    rows = [(k, " ".join("abcdef"[:k])) for k in range(7)]
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string").repartition(7), spark.createDataFrame([(1, "a b")], "doc_id long, text string")):
+        got = minhash_dedup.near_groups(docs).collect()
+        assert all(r.class_size == 1 and r.kept for r in got)
+
+
+def test_long_words_that_swap_blocks_differ(spark):
+    x, y = "x" * 1023 + "a", "y" * 1023 + "b"
+    _, word = common.words(*common.text_bytes(pa.array([x + y, y + x, x + y])))
+    assert word[0] != word[1] and word[0] == word[2]
+    docs = spark.createDataFrame([(1, x + y), (2, y + x)], "doc_id long, text string")
+    assert {r.class_size for r in minhash_dedup.near_groups(docs).collect()} == {1}
+
+
+def test_links_are_checked_on_words():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = (" ".join(rng.choice("abc") for _ in range(rng.randrange(30))) for _ in range(2))
+        b = a if rng.random() < 0.2 else b
+        assert abs(minhash_dedup.exact_jaccard(a.encode(), b.encode()) - similarity(multiset(a), multiset(b))) < 1e-9
+
+
+def test_a_large_bucket_below_the_limit(spark, monkeypatch):
+    """Many texts 0.75 to 0.8 alike in one bucket, a few links among them, over several splits."""
+    monkeypatch.setattr(minhash_dedup, "SMALL", 3)
+    monkeypatch.setattr(minhash_dedup, "GROWTH", 2)
+    monkeypatch.setattr(minhash_dedup, "SAMPLE", 6)
+    rng = random.Random(21)
+    base, rows = [f"w{k}" for k in range(200)], []
+    for k in range(60):
+        text = list(base)
+        for j in range(rng.choice([3, 4, 5])):
+            text[rng.randrange(200)] = f"n{k}-{j}"
+        rows.append((k, " ".join(text)))
+        if k % 6 == 0:
+            text[rng.randrange(200)] = "once"
+            rows.append((100 + k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash_dedup.near_groups(docs).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == sorted(classes(rows))
+
+
+def test_other_thresholds_are_refused(documents):
+    with pytest.raises(ValueError):
+        minhash_dedup.near_groups(documents, similar=0.5)
+
+
+def test_rows_that_share_an_id_keep_one_of_each_class(spark):
+    rows = [(9, "one two three four five six"), (9, "quite another text of some more words"), (9, "one two three four five six"), (10, "quite another text of some more words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text for r in minhash_dedup.near_dedup(docs).collect()) == sorted({t for _, t in rows})
+
+
 def test_exact_similarity():
     rng = np.random.default_rng(1)
     for _ in range(60):

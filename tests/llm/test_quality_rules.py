@@ -2,6 +2,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 from lodestrata.llm import quality_rules
 
@@ -57,13 +59,85 @@ def test_factor_is_that_of_the_covariance(spark):
     names = list(quality_rules.FEATURES)
     df = spark.createDataFrame([("g", *map(float, r)) for r in x], "_group string, " + ", ".join(f"{n} double" for n in names))
     got = quality_rules._estimates(df.groupBy("_group").agg(*quality_rules._sums()), 1.0).first()
-    cov = np.cov(x.T, bias=True) + np.diag([quality_rules.FLOORS[n] ** 2 for n in names])
+    cov = np.cov(x.T, bias=True)
     low = np.linalg.cholesky(cov)
     for i, a in enumerate(names):
         for j, b in enumerate(names[: i + 1]):
             assert abs(got[f"l_{a}_{b}"] - low[i, j]) < 1e-6
 
 
+def _verdicts(spark, x):
+    names = list(quality_rules.FEATURES)
+    stats = spark.createDataFrame([(k, "en", "s", *map(float, r)) for k, r in enumerate(x)], "doc_id long, lang string, source string, " + ", ".join(f"{n} double" for n in names))
+    chosen, models = quality_rules.group_models(stats)
+    scored = quality_rules._distance(quality_rules._with_model(chosen, models)).collect()
+    return {r.doc_id for r in scored if r.d2 > quality_rules.LIMIT}
+
+
+def test_concentration_with_much_contamination(spark):
+    rng = np.random.default_rng(8)
+    for bad in (300, 450):
+        x = np.vstack([rng.normal(2, 0.5, (1000 - bad, 4)), rng.normal(7, 0.2, (bad, 4))])
+        out = _verdicts(spark, x)
+        assert set(range(1000 - bad, 1000)) <= out and len(out) <= bad + 15
+
+
+def test_outliers_in_a_tight_group(spark):
+    """A group without variance has that of the floors, no more: half the lines repeated is an outlier."""
+    x = np.tile([1.8, 0.0, 0.0, 0.0], (400, 1))
+    x[:3, 2] = np.sqrt(0.5)
+    x[3:6, 1] = np.sqrt(0.1)
+    x[6:9, 0] += 0.3
+    x[9:12, 2] = np.sqrt(0.2)
+    assert _verdicts(spark, x) == set(range(9))
+
+
+def test_distance_matches_brute_force(spark, documents):
+    """The whole of ``judged`` against plain concentration steps over the same bins, in numpy."""
+    rows = [(r.doc_id, r.lang, r.source, *brute(r.text), r.text or "") for r in documents.collect()]
+    names, floors = list(quality_rules.FEATURES), np.array([quality_rules.FLOORS[n] for n in quality_rules.FEATURES])
+    good = [r for r in rows if r[3] >= 20 and 100 * r[7] <= 30 * r[3]]
+    vector = {}
+    for d, _, _, n, chars, symbols, dup, rep, text in good:
+        lines = max(1, sum(bool(WORDS.search(x)) for x in text.split("\n")))
+        vector[d] = np.array([np.log1p(chars / n), np.sqrt(symbols / n), np.sqrt(dup / lines), np.sqrt(rep / n)])
+    size = Counter((r[1], r[2]) for r in good)
+    of_lang = Counter(r[1] for r in good)
+    least = quality_rules.LEAST
+    level = {k: 2 if n >= least else 1 if of_lang[k[0]] >= least else 0 for k, n in size.items()}
+    home = lambda r: [(r[1], r[2]), (r[1], "*"), ("*", "*")][2 - level[r[1], r[2]]]
+    members = {}
+    for r in good:
+        members.setdefault(("*", "*"), []).append(vector[r[0]])
+        members.setdefault((r[1], "*"), []).append(vector[r[0]])
+        members.setdefault((r[1], r[2]), []).append(vector[r[0]])
+    want = {}
+    for group in {home(r) for r in good}:
+        x = np.array(members[group])
+        columns = spark.createDataFrame(pd.DataFrame(x, columns=names))
+        start = columns.agg(*[F.percentile_approx(n, [0.1587, 0.5, 0.8413], 2000).alias(n) for n in names]).first()
+        low, mid, high = np.array([start[n] for n in names]).T
+        m, cov = mid, np.diag(np.maximum(((high - low) / 2) ** 2, floors**2))
+        for _ in range(quality_rules.STEPS):
+            y = np.linalg.solve(np.linalg.cholesky(cov), (x - m).T)
+            bins = np.floor(np.log2(np.maximum((y**2).sum(0), 2.0**quality_rules.LOW)) * quality_rules.BINS)
+            last = np.sort(bins)[int(np.ceil(quality_rules.SHARE * len(x))) - 1]
+            inner = x[bins <= last]
+            cov = np.cov(inner.T, bias=True) / quality_rules.SHRINKAGE
+            m, cov = inner.mean(0), cov + np.diag(np.maximum(0, floors**2 - np.diag(cov)))
+        for r in good:
+            if home(r) == group:
+                y = np.linalg.solve(np.linalg.cholesky(cov), vector[r[0]] - m)
+                want[r[0]] = (y**2).sum()
+    got = {r.doc_id: r for r in quality_rules.judged(documents).collect()}
+    assert names == quality_rules.FEATURES and len(want) > 100
+    for d, r in got.items():
+        assert (r.distance is None) == (d not in want)
+        if d in want:
+            assert abs(r.distance - want[d]) < 1e-3 * max(1, want[d]), (d, r.distance, want[d])
+            assert r.kept == (want[d] <= quality_rules.LIMIT)
+
+
 def test_filter_keeps_rows_and_columns(odd, empty, documents):
     out = quality_rules.quality_filter(odd)
     assert out.columns == odd.columns
