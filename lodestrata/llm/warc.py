@@ -106,7 +106,10 @@ def _writer(folder: str, names: tuple[str, str], kind: pa.DataType, archive_byte
 
 
 def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    known = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}
+    if kind not in known:
+        raise ValueError(f"record ids are whole numbers or strings, not {kind}; cast them")
+    return known[kind]
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -181,8 +184,9 @@ def _reader(folder: str, id_col: str, kind: pa.DataType, with_payload: bool):
 def read_records(index: DataFrame, folder: str, id_col: str = "page_id", with_payload: bool = True) -> DataFrame:
     """The records that ``index`` lists: id_col, payload_bytes, payload_digest, record_type, refers_to, url, payload (null for revisits)."""
     kind = index.schema[id_col].dataType.simpleString()
-    stretch = F.floor(F.col("offset") / STRETCH)
-    sorted_ = index.select("archive", "offset", "length").repartition("archive", stretch).sortWithinPartitions("archive", "offset")
+    places = index.select("archive", "offset", "length", F.floor(F.col("offset") / STRETCH).alias("stretch"))
+    stretches = places.select("archive", "stretch").distinct().count()  # as many tasks, however small the index is
+    sorted_ = places.repartition(max(1, stretches), "archive", "stretch").drop("stretch").sortWithinPartitions("archive", "offset")
     return sorted_.mapInArrow(_reader(folder, id_col, _arrow(kind), with_payload), f"{id_col} {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, url string, payload binary")
 
 
