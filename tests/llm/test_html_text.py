@@ -15,7 +15,7 @@ CASES = [
     ("<ol start=3><li>c<li>d</ol>", "3. c\n4. d"),
     ("<table><tr><th>Name<th>Age<tr><td>Al<td>5<tr><td>Barbara<td>41</table>", "Name     Age\nAl       5\nBarbara  41"),
     ("<table><caption>Cap</caption><tbody><tr><td>a</td><td>b</td></tr></tbody></table>x", "Cap\na  b\n\nx"),
-    ("<table><tr><td colspan=2>wide<td>z<tr><td>1<td>2<td>3</table>", "wide     z\n1     2  3"),
+    ("<table><tr><td colspan=2>wide<td>z<tr><td>1<td>2<td>3</table>", "wide  z\n1  2  3"),
     ("<table><tr><td>a<br>b<td>c</table>", "a  c\nb"),
     ("<table><tr><td><table><tr><td>in<td>ner</table><td>out</table>", "in  ner  out"),
     ("<head><title>T</title><style>.x{display:none} #y, p.z{visibility:hidden}</style></head><body>see<p class=x>no</p><p class='a x'>no</p><p>yes</p>", "see\n\nyes"),
@@ -75,6 +75,47 @@ def test_text_outside_cells_is_kept(page, want):
     assert visible_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p style='backface-visibility:hidden'>a", "a"),
+        ("<style>@media print{p{display:none}}</style><p>a", "a"),
+        ("<style media=print>p{display:none}</style><p>a", "a"),
+        ("<style>@media screen and (min-width:1px){p{display:none}} @media not print{b{display:none}}</style><p>a</p><b>b</b>i", "i"),
+        ("<style>@media (max-width:600px){p{display:none}}</style><p>a", "a"),
+        ("<style>@font-face{font-family:x;src:url(y)} @import 'z'; .x{display:none}</style><p class=x>a</p>b", "b"),
+        ("<style>.x{display:none} .x{display:block}</style><p class=x>a", "a"),
+        ("<style>.x{display:none!important} .x{display:block}</style><p class=x style='display:block'>a</p>b", "b"),
+        ("<style>#i{display:block} .x{display:none}</style><p id=i class=x>a", "a"),
+        ("<style>/* .y{ */ p.z{visibility:hidden}</style><p class=z>a</p><p>b</p><b class=z>c", "b\n\nc"),
+        ("<style>div .x > b{display:none}</style><div><p class=x><b>a</b><i><b>c</b></i></p></div><p class=x><b>d", "c\n\nd"),
+        ("<style>[data-off]{display:none} [role=note]{display:none}</style><p data-off>a</p><p role=note>b</p><p role=x>c", "c"),
+        ("<style>p:hover{display:none} a + p{display:none}</style><p>a", "a"),
+        ("<p style='visibility:hidden'>a <b style='visibility:visible'>b</b> c</p>d", "b\n\nd"),
+        ("<p hidden style='display:block'>a", "a"),
+        ("<dialog>a</dialog><dialog open>b</dialog>", "b"),
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>", "x=2"),
+        ("<svg><title>no</title><defs><text>no</text></defs>no<text>one</text><g><text>two <tspan>three</tspan></text></g></svg>end", "one\ntwo three\nend"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td>a<td rowspan=0>b<tbody><tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><tr><td colspan=2 rowspan=2>ab<td>c<tr><td>d<tr><td>1<td>2<td>3</table>", "ab    c\n      d\n1  2  3"),
+        ("<table><tr><td>" + "w" * 60 + "<td>b<tr><td>c<td>d</table>", "w" * 60 + "  b\nc" + " " * 61 + "d"),
+        ("<table><tr style='visibility:hidden'><td>a<td style='visibility:visible'>b<tr><td>c<td>d</table>", "   b\nc  d"),
+    ],
+)
+def test_what_is_visible(page, want):
+    assert visible_text(page) == want
+
+
+def test_wide_cells_and_spans_cost_no_more_than_their_text():
+    page = "<table><tr><td>" + "w" * 200_000 + "<td>x" + "<tr><td>a<td>b" * 20_000 + "</table>"
+    assert len(visible_text(page)) < 2_000_000
+    assert len(visible_text("<table>" + "<tr><td colspan=1000>a<td>b" * 20_000 + "</table>")) < 2_000_000
+    start = time.time()
+    visible_text("<style>" + ".x p{display:none}" * 2_000 + "</style>" + "<p>a" * 2_000)
+    assert time.time() - start < 30
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<table>", "</table>", "<tr>", "<td>", "<ul>", "<li>", "</ul>", "<div hidden>", "</div>", "<pre>", "</pre>", "<h1>", "</h1>", "<br>", "text", " ", "\n", "<!--", "-->", "<script>", "</script>", "&amp;", "<", ">", "<b", '"', "<dd>", "<thead>", "<style>p{display:none}</style>"]), max_size=40))
 def test_any_soup_gives_text(parts):
