@@ -12,7 +12,8 @@ Bayes model over a span's kind, length, neighbours and digits, which decides on
 Patterns are written so that matching takes time in proportion to a text: a run of characters
 is entered at its start only, and never given back.
 
-Defined cases: a null text counts as empty; without candidates the model has its start values;
+Defined cases: a null text counts as empty; very long texts are searched whole; other columns,
+whatever their names, aren't read; without candidates the model has its start values;
 rows that agree in id are treated one by one; a null id is kept; an empty table gives an empty
 table. Offsets count code points, ends are exclusive.
 """
@@ -37,7 +38,7 @@ PATTERNS = {
     # whole runs of digits with at most one separator between two, of the lengths that can be valid
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+",
+    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+(?:={1,2}+(?![A-Za-z0-9_/+=-]))?+",
     "idnum": r"(?<![0-9A-Za-z+.-])[0-9](?:[ ()./-]{0,2}[0-9]){6,}+(?![A-Za-z])",
     "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}[\p{L}'-]++(?: \p{Lu}[\p{L}'-]++)?",
     "hidden_email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]++)++",
@@ -48,7 +49,7 @@ _HINT = {
     "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
     "card": lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){13}"),
     "phone": lambda t: t.contains("+"),
-    "secret": lambda t: t.rlike(r"[A-Za-z0-9_/+=-]{20}"),
+    "secret": lambda t: t.rlike(r"[A-Za-z0-9_/+-]{16}"),
     "idnum": lambda t: t.rlike(r"[0-9](?:[ ()./-]{0,2}[0-9]){6}"),
     "name": lambda t: t.rlike(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora?)\.? \p{Lu}"),
     "hidden_email": lambda t: t.rlike(r"[\[(](?:at|AT)[\])]"),
@@ -114,7 +115,7 @@ def _valid(kind: str):
     if kind == "phone":
         return lambda s: F.length(_digits(s["m"])).between(10, 15)
     if kind == "secret":
-        return lambda s: s["m"].rlike("[0-9]") & s["m"].rlike("[A-Za-z]")
+        return lambda s: s["m"].rlike("^(?:AKIA|ASIA)[0-9A-Z]{16}$") | (s["m"].rlike("[0-9]") & s["m"].rlike("[A-Za-z]"))
     if kind == "idnum":
         return lambda s: F.length(_digits(s["m"])).between(7, 18)
     return lambda s: F.lit(True)
@@ -137,7 +138,7 @@ GAZETTEER = {
     "ip": r"^(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6)",
     "phone": r"^\+(?:1|7|2[07]|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
-    "secret": r"^(?:ghp_|sk-|xox[abp]-|AKIA|eyJ|[0-9a-f]{32,}$)",
+    "secret": r"^(?:gh[opsu]_|sk-|xox[abp]-|AKIA|ASIA|AIza|eyJ|[0-9a-f]{16,}$|[0-9A-F]{32,}$)",
     "idnum": r"^(?:0|[1-9][0-9]{2}[- ][0-9]{2}[- ][0-9]{4}$)",
     "name": r"^(?:Mrs?|Dr|Prof|Herr|Frau|Señora?)\b",
     "hidden_email": r"(?:com|org|net|edu|gov|de|fr|es|uk|io|info|eu)$",
@@ -147,7 +148,7 @@ FORMAT = {
     "ip": r"^[1-9][0-9]{0,2}(?:\.[0-9]{1,3}){3}$",
     "card": r"^(?:[0-9]{4}[ -]?){3}[0-9]{2,7}$",
     "phone": r"^\+[0-9]{1,3}[ (.-]",
-    "secret": r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=[^A-Z]*+[A-Z])(?=[^a-z]*+[a-z])(?=[^0-9]*+[0-9]).{24,})$",
+    "secret": r"^(?:[0-9a-f]{16,}|[0-9A-F]{16,}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?=[^A-Z]*+[A-Z])(?=[^a-z]*+[a-z])(?=[^0-9]*+[0-9]).{24,})$",
     "idnum": r"^(?:[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}|\(?0[0-9]{1,4}\)?[ /-].*)$",
     "name": r"^\p{L}+\.? \p{Lu}\p{Ll}+",
     "hidden_email": r"(?:\.|[\[(](?:dot|DOT)[\])])",
@@ -167,7 +168,7 @@ def _votes(kind: str, s: Column) -> Column:
     if kind in ("name", "hidden_email"):
         makeup = _vote(F.length(m).between(6, 40), F.length(m) > 80)
     elif kind == "secret":
-        makeup = _vote((varied >= 10) & m.rlike("[0-9][^0-9]+[0-9]"), varied < 8)
+        makeup = _vote((varied >= 9) & m.rlike("[0-9A-Z][^0-9]+[0-9A-Z]"), varied < 7)
     else:
         makeup = _vote(varied >= 5, varied < 4)
     none = F.lit(False)
@@ -205,6 +206,9 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # ---------------------------------------------------------------- expectation-maximisation
 
 ROUNDS, SMOOTH = 25, 1.0
+#: The start values count as so large a share of all candidates in every round: labelers are better
+#: than chance, so a corpus in which nearly every candidate is personal data doesn't turn them round.
+HELD = 0.05
 _START_YES = [0.10, 0.30, 0.60]
 _START_NO = [0.50, 0.40, 0.10]
 
@@ -226,6 +230,7 @@ def reliabilities(patterns: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0.5).alias("prior"), F.array(*[F.lit(x) for _ in LABELERS for x in _START_YES]).alias("yes"), F.array(*[F.lit(x) for _ in LABELERS for x in _START_NO]).alias("no"))
     zero = F.lit(0.0)
     total = lambda xs, f: F.aggregate(xs, zero, lambda a, x: a + f(x))
+    held = HELD * total(F.col("rows"), lambda x: x["n"])
 
     def step(state, _):
         judged = F.transform(F.col("rows"), lambda r: F.struct(r["votes"].alias("votes"), (r["n"] * _posterior(state, r["votes"])).alias("q"), r["n"].alias("n")))
@@ -235,8 +240,8 @@ def reliabilities(patterns: DataFrame) -> DataFrame:
             part = lambda f, k: total(j, lambda x: F.when(F.get(x["votes"], F.lit(k // 3)) == k % 3 - 1, f(x)).otherwise(0.0))
             return F.struct(
                 ((yes + SMOOTH) / (yes + no + 2 * SMOOTH)).alias("prior"),
-                F.array(*[(part(lambda x: x["q"], k) + SMOOTH) / (yes + 3 * SMOOTH) for k in range(3 * len(LABELERS))]).alias("yes"),
-                F.array(*[(part(lambda x: x["n"] - x["q"], k) + SMOOTH) / (no + 3 * SMOOTH) for k in range(3 * len(LABELERS))]).alias("no"),
+                F.array(*[(part(lambda x: x["q"], k) + SMOOTH + held * _START_YES[k % 3]) / (yes + 3 * SMOOTH + held) for k in range(3 * len(LABELERS))]).alias("yes"),
+                F.array(*[(part(lambda x: x["n"] - x["q"], k) + SMOOTH + held * _START_NO[k % 3]) / (no + 3 * SMOOTH + held) for k in range(3 * len(LABELERS))]).alias("no"),
             )
 
         return let(judged, better)

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -90,6 +92,73 @@ def test_secrets_are_found_and_plain_words_left(spark):
     assert want > 5 and got == want
 
 
+def test_keys_and_passwords_are_found(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    rows, want = [], {}
+    for k in range(600):
+        words = [word() for _ in range(40)]
+        planted = [
+            "password=" + "".join(rng.choice("0123456789abcdef") for _ in range(18)),
+            "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)),
+            'token = "' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '"',
+            f"{rng.randrange(1, 224)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}",
+            f"{word()}.{k}@mail{k % 9}.example.com",
+            "",
+        ][k % 6]
+        words.insert(20, planted)
+        text = " ".join(words)
+        rows.append((k, text))
+        if k % 6 < 3:
+            m = re.search(r"(?<=password=)[0-9a-f]{18}|AKIA[0-9A-Z]{16}|(?<=\")[0-9a-f]{40}", text)
+            want[k] = m.span()
+    found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(any((s.start, s.end) == span for s in found[k]) for k, span in want.items())
+    assert not any(found[k] for k in range(5, 600, 6))
+
+
+def em(patterns):
+    """Expectation-maximisation as published, in plain Python: votes -> probability."""
+    total = sum(patterns.values())
+    held, prior = pii.HELD * total, 0.5
+    yes = [list(pii._START_YES) for _ in range(4)]
+    no = [list(pii._START_NO) for _ in range(4)]
+
+    def posterior(votes):
+        a, b = prior, 1 - prior
+        for j, v in enumerate(votes):
+            a, b = a * yes[j][v + 1], b * no[j][v + 1]
+        return a / (a + b)
+
+    for _ in range(pii.ROUNDS):
+        q = {v: n * posterior(v) for v, n in patterns.items()}
+        s_yes, s_no = sum(q.values()), total - sum(q.values())
+        new_yes = [[(sum(q[v] for v in q if v[j] == k - 1) + pii.SMOOTH + held * pii._START_YES[k]) / (s_yes + 3 * pii.SMOOTH + held) for k in range(3)] for j in range(4)]
+        new_no = [[(sum(patterns[v] - q[v] for v in q if v[j] == k - 1) + pii.SMOOTH + held * pii._START_NO[k]) / (s_no + 3 * pii.SMOOTH + held) for k in range(3)] for j in range(4)]
+        prior, yes, no = (s_yes + pii.SMOOTH) / (total + 2 * pii.SMOOTH), new_yes, new_no
+    return {v: posterior(v) for v in patterns}
+
+
+def test_added_spans_match_brute_force(spark):
+    """EM, the soft labels and the naive Bayes decision of ``find`` against plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = pii.candidates(docs, "doc_id", "text").collect()
+    counts = Counter(tuple(s.votes) for r in rows for s in r.spans)
+    p = em(counts)
+    yes, no, sums = 0.0, 0.0, {}
+    for r in rows:
+        for s in r.spans:
+            q = p[tuple(s.votes)]
+            yes, no = yes + q, no + 1 - q
+            for t in s.traits:
+                a, b = sums.get(t, (0.0, 0.0))
+                sums[t] = (a + q, b + 1 - q)
+    odds = lambda s: math.log((yes + 1) / (no + 1)) + sum(math.log((sums[t][0] + 1) / (yes + 8)) - math.log((sums[t][1] + 1) / (no + 8)) for t in s.traits)
+    want = {r._id: [(s.start, s.end, s.kind) for s in r.spans if s.kind in pii.BASE or odds(s) > 0] for r in rows}
+    got = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in pii.find(docs).collect()}
+    assert got == want and sum(map(len, want.values())) > 50
+
+
 def test_reliable_labelers_are_told_from_noise(spark):
     rng = random.Random(2)
     rows = []
