@@ -8,7 +8,8 @@ sent with the model. A score is the logistic function of the difference of the t
 densities, each from a Mahalanobis distance by forward substitution, plus the log ratio of the
 class sizes.
 
-Defined cases: a null or empty text has the statistics of an empty text and gets a score; a
+Defined cases: a null or empty text has the statistics of an empty text and gets a score; very
+long texts are measured whole, in segments; other columns, whatever their names, aren't read; a
 null id is held out; labels other than 0 and 1 (null too) are left out, and of several labels for
 one id the largest counts; if a class has no rows all scores are the share of label 1, or 0.5
 without labels; rows that agree in id are scored one by one; an empty table gives an empty table.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_bytes, text_or_empty, words
+from .common import SEGMENT, materialise, slices, text_bytes, text_or_empty, words
 
 STATISTICS = ["words", "word_length", "upper", "digit", "symbol", "shout", "stop", "comma", "other", "beyond_ascii", "newline", "dup_lines", "distinct", "stutter"]
 _KINDS = {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "symbol": "#*$%&|<>", "shout": "!?", "stop": ".", "comma": ",;:", "newline": "\n", "blank": " \t\r\v\f", "lower": "abcdefghijklmnopqrstuvwxyz"}
@@ -39,8 +40,13 @@ def statistics(column) -> np.ndarray:
     data, at = text_bytes(column)
     n = len(at) - 1
     size = np.diff(at)
-    row = np.repeat(np.arange(n), size)
-    count = np.bincount(row * len(_NAMES) + _KIND[data], minlength=n * len(_NAMES)).reshape(n, -1).astype(float)
+    count = np.zeros(n * len(_NAMES))
+    for low in range(0, len(data), SEGMENT):  # some bytes at a time, so a very long text needs little more than its size
+        part = data[low : low + SEGMENT]
+        row = np.searchsorted(at, np.arange(low, low + len(part)), side="right") - 1
+        kinds, many = np.unique(row * len(_NAMES) + _KIND[part], return_counts=True)
+        count[kinds] += many
+    count = count.reshape(n, -1)
     of, word = words(data, at)
     total = np.bincount(of, minlength=n).astype(float)
     same = np.bincount(of[1:][(word[1:] == word[:-1]) & (of[1:] == of[:-1])], minlength=n)
