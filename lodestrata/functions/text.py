@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What counts as a token of a text and of a label.
 TOKEN = r"[a-z0-9]+(?:-[a-z0-9]+)*"
 LABEL_TOKEN = r"[A-Za-z0-9][A-Za-z0-9._'\-/%]*"
 
@@ -12,7 +13,7 @@ LABEL_TOKEN = r"[A-Za-z0-9][A-Za-z0-9._'\-/%]*"
 STOPWORDS = "a an and are as at be by can do does for from has have how i in is it its many much must of on or our that the their there these this to was we what when where which who why will with you your".split()
 SUBTOPIC_STOP = "design summarise summarize explain describe outline give provide complete entire whole overview workflow process steps list extract group all every".split()
 ENGLISH_FUNCTION_WORDS = "a an the is are was were be do does did how what which who when where why many much of for to in on at and or not can must should would will have has get gets there their my our i we you if than then with from".split()
-COMMON_CAPITALISED = "I Acme HR IT Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December".split()
+COMMON_CAPITALISED = "I HR IT Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December".split()
 ENUMERATION_STOP = "a all an and any are as at available be by can complete different do does each every everything exist exists for from full get give has have how in is it kind kinds list many me my of on or our please provide show some tell that the there these they this those to type types us we what which with you your".split()
 NUMERIC_CUES = ["score", "scores", "scored", "marks", "mark", "grade", "grades", "how much", "how many", "amount", "rate", "rates", "days", "highest", "lowest", "total", "count", "maximum", "minimum", "max", "min", "top", "above", "below", "over", "under"]
 MULTI_ANSWER_CUES = ["all", "every", "each", "list", "lists", "compare", "comparison", "why", "explain", "summarize", "summarise", "summary", "breakdown", "overview", "tell me about", "describe"]
@@ -51,8 +52,8 @@ def squeeze(text: Column) -> Column:
 
 
 def normalise_label(text: Column) -> Column:
-    """Brackets to spaces, spaces squeezed, edge punctuation cut, lower case."""
-    return F.lower(F.regexp_replace(squeeze(F.regexp_replace(text, r"[()\[\]{}\n]", " ")), r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
+    """Brackets to spaces, spaces squeezed, edge punctuation cut (letters and digits of any script stay), lower case."""
+    return F.lower(F.regexp_replace(squeeze(F.regexp_replace(text, r"[()\[\]{}\n]", " ")), r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", ""))
 
 
 def normalise_item(text: Column) -> Column:
@@ -73,10 +74,19 @@ def word_count_tokens(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"), F.lit(0)))
 
 
+def let(value: Column, body) -> Column:
+    """``body(x)`` with ``value`` computed once and bound to x, not spelt out wherever x stands."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n words joined by spaces; a shorter text is one run, an empty one none."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) > 0, grams).otherwise(F.array().cast("array<string>"))
+
+    def of(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.when(F.size(w) > 0, grams).otherwise(F.array().cast("array<string>"))
+
+    return let(words, of)
 
 
 def shingles(text: Column, n: int = 8) -> Column:
@@ -110,11 +120,11 @@ def looks_english(question: Column) -> Column:
     return (F.size(tokens) < 4) | F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in ENGLISH_FUNCTION_WORDS]))
 
 
-def mentions_entity(question: Column) -> Column:
-    """A capitalised run that neither opens the question nor is a common one."""
+def mentions_entity(question: Column, own_names: list[str] | None = None) -> Column:
+    """A capitalised run that neither opens the question nor is a common one; ``own_names``: of the house itself, common too."""
     runs = F.regexp_extract_all(question, F.lit(r"\b[A-Z][a-zA-Z]{2,}(?:\s+[A-Z][a-zA-Z]{2,})*\b"), F.lit(0))
     opening = F.regexp_replace(F.get(F.split(strip(question), r"\s+"), F.lit(0)), r"^[?,.]+|[?,.]+$", "")
-    return F.exists(runs, lambda r: (F.get(F.split(r, r"\s+"), F.lit(0)) != opening) & ~r.isin(COMMON_CAPITALISED))
+    return F.exists(runs, lambda r: (F.get(F.split(r, r"\s+"), F.lit(0)) != opening) & ~r.isin([*COMMON_CAPITALISED, *(own_names or [])]))
 
 
 def looks_simple(question: Column) -> Column:
@@ -142,8 +152,16 @@ def keywords(question: Column) -> Column:
     """Identifier-like tokens as written, then content words in lower case, first occurrences only."""
     rare = F.regexp_extract_all(question, F.lit(RARE_TOKEN), F.lit(0))
     words = F.filter(F.transform(F.regexp_extract_all(question, F.lit(r"[A-Za-z][A-Za-z0-9'-]+"), F.lit(0)), F.lower), lambda w: ~w.isin(STOPWORDS) & (F.length(w) > 2))
-    both = F.concat(rare, words)
-    return F.filter(F.transform(both, lambda w, i: F.when(F.array_position(F.transform(both, F.lower), F.lower(w)) == i + 1, w)), lambda w: w.isNotNull())
+    return _first_in_any_case(F.concat(rare, words))
+
+
+def _first_in_any_case(values: Column) -> Column:
+    """The strings of an array without those that differ from an earlier one in case only."""
+
+    def firsts(v: Column, low: Column) -> Column:
+        return F.filter(F.transform(v, lambda w, i: F.when(F.array_position(low, F.get(low, i)) == i + 1, w)), lambda w: w.isNotNull())
+
+    return let(values, lambda v: let(F.transform(v, F.lower), lambda low: firsts(v, low)))
 
 
 def subject_terms(question: Column, limit: int = 6) -> Column:
@@ -208,9 +226,7 @@ def clean_text(text: Column) -> Column:
 
 def breadcrumb(parts: Column) -> Column:
     """The parts joined by ' > ', without blanks and without repeats in any case."""
-    full = F.filter(parts, lambda p: strip(p) != "")
-    lowered = F.transform(full, F.lower)
-    return F.array_join(F.filter(F.transform(full, lambda p, i: F.when(F.array_position(lowered, F.lower(p)) == i + 1, p)), lambda p: p.isNotNull()), " > ")
+    return F.array_join(_first_in_any_case(F.filter(parts, lambda p: strip(p) != "")), " > ")
 
 
 def is_refusal(text: Column) -> Column:

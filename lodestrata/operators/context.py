@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +38,7 @@ def adjacency(df: DataFrame, by: str, index: str, page: str | None = None, most:
     return marked.withColumn("run_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def budget_fill(items: Column, cap: int) -> Column:
+def budget_fill(items: Column, cap: int | Column) -> Column:
     """Which of an ordered array of (tokens, ...) fit a budget: one that doesn't is skipped, smaller ones are
     still tried, and the first always fits. A fold, as it isn't a prefix sum."""
     start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(True).alias("first"), F.array().cast("array<boolean>").alias("out"))
@@ -63,30 +62,31 @@ def containment_pairs(left: DataFrame, right: DataFrame, left_key: str, right_ke
 
     An equi-join on runs of words; runs that stand in one side only are never paired.
     """
-    grams = lambda df, key, name: df.select(F.col(key), F.explode(text.shingles(F.col("text"), n)).alias("gram")).distinct()
-    a, b = grams(left, left_key, "a"), grams(right, right_key, "b")
-    sizes = b.groupBy(right_key).agg(F.count("*").alias("_size"))
-    shared = a.join(b, "gram").groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
-    return shared.join(sizes, right_key).withColumn("containment", F.round(F.col("shared") / F.col("_size"), 6)).filter(F.col("containment") >= least).drop("_size")
+    # runs travel as 64-bit hashes with the side's number of runs; few enough pairs come out to check them on words
+    hashed = lambda df, key, size: df.select(F.col(key), F.explode(text.let(F.transform(text.shingles(F.col("text"), n), lambda x: F.xxhash64(x)), lambda g: F.transform(g, lambda x: F.struct(x.alias("gram"), F.size(g).alias(size))))).alias("g")).select(key, "g.*")
+    a, b = hashed(left, left_key, "_n").drop("_n"), hashed(right, right_key, "_size")
+    near = a.join(b, "gram").groupBy(left_key, right_key, "_size").agg(F.count("*").alias("_shared")).filter(F.round(F.col("_shared") / F.col("_size"), 6) >= least).select(left_key, right_key)
+    texts = near.join(left.select(left_key, F.col("text").alias("_l")), left_key).join(right.select(right_key, F.col("text").alias("_r")), right_key)
+    both = text.let(text.shingles(F.col("_r"), n), lambda r: F.struct(F.size(F.array_intersect(r, text.shingles(F.col("_l"), n))).cast("long").alias("shared"), F.size(r).alias("size")))
+    exact = texts.select(left_key, right_key, both.alias("_x")).select(left_key, right_key, "_x.shared", F.round(F.col("_x.shared") / F.col("_x.size"), 6).alias("containment"))
+    return exact.filter(F.col("containment") >= least)
 
 
 def greedy_dedup(units: DataFrame, by: str, order: str, key: str, n: int = 8, least: float = 0.8) -> DataFrame:
-    """Units in order, without those an earlier kept one repeats or contains. One group is one question's pool."""
-    schema = f"{by} {units.schema[by].dataType.simpleString()}, {key} {units.schema[key].dataType.simpleString()}"
+    """Units in order, without those an earlier kept one repeats or contains. One group is one question's pool, so it is short.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, seen, out = [], set(), []
-        for _, r in pdf.sort_values(order).iterrows():
-            words = " ".join((r["text"] or "").split()).lower().split()
-            runs = frozenset(tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))) if words else frozenset()
-            if " ".join(words) in seen or (runs and any(len(runs & k) >= least * len(runs) for k in kept)):
-                continue
-            seen.add(" ".join(words))
-            kept.append(runs)
-            out.append((r[by], r[key]))
-        return pd.DataFrame(out, columns=[by, key])
+    A fold over the pool in order, with each unit's runs of words worked out once before it.
+    """
+    runs = text.shingles(F.coalesce("text", F.lit("")), n)
+    prepared = units.select(F.col(by), F.struct(F.col(order).alias("o"), F.col(key).alias("k"), text.normalise_context(F.coalesce("text", F.lit(""))).alias("t"), F.transform(runs, lambda x: F.xxhash64(x)).alias("r")).alias("u"))
+    pools = prepared.groupBy(by).agg(F.array_sort(F.collect_list("u")).alias("us"))
+
+    def step(kept, u):
+        repeats = F.exists(kept, lambda x: (x["t"] == u["t"]) | ((F.size(u["r"]) > 0) & (F.size(F.array_intersect(u["r"], x["r"])) >= least * F.size(u["r"]))))
+        return F.when(repeats, kept).otherwise(F.concat(kept, F.array(u)))
 
-    return units.select(*dict.fromkeys([by, key, order, "text"])).groupBy(by).applyInPandas(one, schema)
+    kept = F.aggregate("us", F.slice(F.col("us"), F.lit(1), F.lit(0)), step)
+    return pools.select(by, F.explode(kept).alias("u")).select(by, F.col("u.k").alias(key))
 
 
 def table_assembly(parts: DataFrame, matched: DataFrame, most_parts: int = 6, most_tokens: int = 3000) -> DataFrame:
@@ -117,3 +117,82 @@ def section_coverage(openers: DataFrame, present: DataFrame, doc: str, section:
 def shared_provenance(used: DataFrame, by: str) -> DataFrame:
     """How many different places an answer draws on, and whether from more than one."""
     return used.groupBy(by).agg(F.countDistinct("source", "section").alias("n_places"), F.countDistinct("source").alias("n_sources")).withColumn("multi_hop", F.col("n_places") > 1)
+
+
+def expand(hits: DataFrame, chunks: DataFrame, parents: DataFrame, parts: DataFrame, plans: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Hits widened in three steps, in this order: neighbours, parents, the rest of their tables.
+
+    ``hits``: query_id, key, rank, score; ``chunks``: key, prev_id, next_id, parent_id, table_id,
+    text; ``parents``: parent_id, text; ``parts``: table_id, part, rows, tokens, page and key;
+    ``plans``: query_id, neighbours. Gives query_id, unit (what it is), text, rank. A table's parts
+    stand in the place of the first of them and have neither neighbours nor parents.
+    """
+    of = chunks.select(key, "parent_id", "table_id", "text")
+    wide = hits.join(plans.filter("neighbours").select("query_id"), "query_id", "left_semi")
+    near = neighbour_expand(wide.join(of.filter("table_id IS NULL").select(key), key), chunks, key).join(hits.select("query_id", F.col(key).alias("expanded_from"), "rank"), ["query_id", "expanded_from"])
+    rows = hits.select("query_id", key, "rank", F.lit(0).alias("_after")).unionByName(near.select("query_id", key, "rank", F.lit(1).alias("_after")))
+    rows = rows.join(of, key)
+    prose, tables = rows.filter("table_id IS NULL"), rows.filter("table_id IS NOT NULL")
+    whole = prose.join(parents.select("parent_id", F.col("text").alias("_parent")), "parent_id", "left")
+    unit = F.coalesce(F.when(F.col("_parent").isNotNull(), F.concat(F.lit("p:"), F.col("parent_id").cast("string"))), F.concat(F.lit("c:"), F.col(key).cast("string")))
+    prose_units = whole.select("query_id", unit.alias("unit"), F.coalesce("_parent", "text").alias("text"), "rank", "_after")
+    matched = tables.join(parts.select(key, "part"), key).select("query_id", "table_id", "part")
+    at = tables.groupBy("query_id", "table_id").agg(F.min("rank").alias("rank"))
+    assembled = table_assembly(parts, matched).join(at, ["query_id", "table_id"])
+    table_units = assembled.select("query_id", F.concat(F.lit("t:"), F.col("table_id").cast("string")).alias("unit"), F.array_join("rows", "\n").alias("text"), "rank", F.lit(0).alias("_after"))
+    first = Window.partitionBy("query_id", "unit").orderBy("rank", "_after")
+    once = prose_units.unionByName(table_units).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return once.select("query_id", "unit", "text", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "_after", "unit")).alias("rank"))
+
+
+def outline_lines(outline: DataFrame, most: int = 40) -> DataFrame:
+    """query_id, outline: the first ``most`` sections of a question's documents, as a block of lines."""
+    place = Window.partitionBy("query_id").orderBy("source", "page", "section")
+    rows = outline.withColumn("_n", F.row_number().over(place))
+    line = F.concat(F.lit("  - "), "section", F.lit(" (page "), F.col("page").cast("string"), F.lit(")"))
+    shown = rows.filter(F.col("_n") <= most).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", line.alias("l")))), lambda x: x["l"]), "\n").alias("_lines"))
+    titles = outline.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("_titles"))
+    return shown.join(titles, "query_id").select("query_id", F.concat(F.lit("[Document outline: "), "_titles", F.lit("]\n"), "_lines").alias("outline"))
+
+
+def assemble(units: DataFrame, plans: DataFrame, outline: DataFrame | None = None, n: int = 8, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The context of each question, and the units that it was made from: (query_id, text, n_blocks), (query_id, unit, block).
+
+    ``units``: query_id, unit, source, section, page, page_end, chunk_index, content_type, text,
+    relevance; ``plans``: query_id, context_tokens, document_order, merge (join what stands
+    together). Repeats go, what stands together is joined, the best that fit the budget stay, and
+    units of one section form a block. Blocks stand in order of the document, or the best at both ends.
+    """
+    order = F.struct(-F.col("relevance"), F.col("unit"))
+    rows = units.withColumn("_order", order)
+    kept = rows.join(greedy_dedup(rows, "query_id", "_order", "unit", n, least), ["query_id", "unit"], "left_semi").join(plans, "query_id")
+    w = Window.partitionBy("query_id", "source", "section").orderBy("chunk_index", "unit")
+    apart = ~(F.coalesce(F.col("merge") & (F.col("chunk_index") - F.lag("chunk_index").over(w)).between(1, 2), F.lit(False)))
+    run = kept.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "unit", "text")))
+    merged = run.groupBy("query_id", "source", "section", "_run").agg(
+        F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"), F.transform(ordered, lambda x: x["unit"]).alias("members"), F.max("relevance").alias("relevance"),
+        F.min("page").alias("page"), F.max("page_end").alias("page_end"), F.min("chunk_index").alias("chunk_index"), F.when(F.countDistinct("content_type") == 1, F.min("content_type")).otherwise("").alias("content_type"),
+        F.first("context_tokens").alias("context_tokens"), F.first("document_order").alias("document_order"),
+    )
+    ranked = merged.withColumn("tokens", text.word_count_tokens(F.col("text")).cast("long")).withColumn("_at", F.struct((-F.col("relevance")).alias("r"), "source", "section", "_run"))
+    pools = ranked.groupBy("query_id", "context_tokens").agg(F.array_sort(F.collect_list(F.struct("_at", "tokens", F.struct(*ranked.columns).alias("row")))).alias("_i"))
+    fits = pools.select(F.explode(F.arrays_zip("_i", budget_fill(F.col("_i"), F.col("context_tokens")).alias("fits"))).alias("z")).filter("z.fits").select("z._i.row.*")
+    blocks = fits.groupBy("query_id", "source", "section", "document_order").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "_run", "text"))), lambda x: x["text"]), "\n\n").alias("text"), F.flatten(F.collect_list("members")).alias("members"), F.max("relevance").alias("relevance"),
+        F.min("page").alias("page"), F.max("page_end").alias("page_end"), F.min("chunk_index").alias("chunk_index"), F.when(F.countDistinct("content_type") == 1, F.min("content_type")).otherwise("").alias("content_type"),
+    )
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "source", "section"))
+    placed = blocks.withColumn("_best", best).withColumn("_n", F.count("*").over(Window.partitionBy("query_id")))
+    ends = F.when((F.col("_n") <= 2) | (F.col("_best") % 2 == 1), F.col("_best")).otherwise(F.lit(1 << 30) - F.col("_best"))
+    place = Window.partitionBy("query_id").orderBy(F.when(F.col("document_order"), F.col("source")), F.when(F.col("document_order"), F.col("chunk_index")), ends)
+    numbered = placed.withColumn("block", F.row_number().over(place))
+    kind = F.when((F.col("content_type") != "") & (F.col("content_type") != "other"), F.concat(F.lit(" ["), "content_type", F.lit("]"))).otherwise("")
+    trail = F.when(F.col("section") != "", F.concat(F.lit(", section: "), "section")).otherwise("")
+    label = F.concat(F.lit("["), F.col("block").cast("string"), F.lit("] "), text.citation_label(F.col("source"), F.lit(""), F.col("page"), F.col("page_end")), trail, kind)
+    part = F.concat(label, F.lit("\n"), text.strip(F.col("text")))
+    whole = numbered.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", part.alias("p")))), lambda x: x["p"]).alias("_parts"), F.count("*").alias("n_blocks"))
+    if outline is not None:
+        whole = whole.join(outline_lines(outline), "query_id", "left").withColumn("_parts", F.concat(F.when(F.col("outline").isNotNull(), F.array("outline")).otherwise(F.array().cast("array<string>")), "_parts"))
+    used = numbered.select("query_id", F.explode("members").alias("unit"), "block")
+    return whole.select("query_id", F.array_join("_parts", "\n\n---\n\n").alias("text"), "n_blocks"), used

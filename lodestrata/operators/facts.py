@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, text
 from ..functions.fuzzy import fuzzy_score, plain_ratio
 
+# What looks like an identifier, and words that don't name anything.
 ID_CODE = r"^[A-Za-z]{1,6}[-_]?\d{2,10}$"
 FILLER = ["in", "on", "at", "of", "the", "a", "an", "for", "to", "is", "are", "and"]
 
@@ -28,7 +29,7 @@ def cells(table: DataFrame, table_id: str, entity: str, columns: dict[str, str],
     long = table.select(F.lit(table_id).alias("table_id"), F.lit(title).alias("table_title"), F.col(order).alias("row_index"), F.col(entity).alias("entity"), F.explode(F.array(*pairs)).alias("c"))
     full = long.filter((text.strip(F.coalesce("c.value", F.lit(""))) != "") & (text.strip(F.coalesce("entity", F.lit(""))) != ""))
     if cap is not None:
-        full = full.withColumn("_k", F.row_number().over(Window.partitionBy("table_id").orderBy("row_index", "c.n"))).filter(F.col("_k") <= cap)
+        full = full.orderBy("row_index", "c.n").limit(cap)  # the best of each task, then of all: no window over the whole table
     return full.select("table_id", "table_title", "row_index", "entity", text.normalise_label(F.col("entity")).alias("entity_norm"), "c.column_name", text.normalise_label(F.col("c.column_name")).alias("column_norm"), "c.value")
 
 
@@ -43,10 +44,14 @@ def alias_cells(rows: DataFrame) -> DataFrame:
 
     ``rows``: table_id, row_index, header (array), cells (array).
     """
-    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("table_id").orderBy("row_index"))).filter("_r <= 200")
-    shape = first.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_index", F.get("cells", F.lit(0)).alias("v")))), lambda x: x["v"]).alias("_a"), F.transform(F.array_sort(F.collect_list(F.struct("row_index", F.get("cells", F.lit(1)).alias("v")))), lambda x: x["v"]).alias("_b"), F.max(F.size("header")).alias("_w"))
+    leading = rows.select("table_id", "row_index", F.posexplode(F.slice("cells", 1, 2)).alias("_c", "v")).filter(text.strip(F.coalesce("v", F.lit(""))) != "")
+    # the first 50 filled values of either column, however many blank ones stand before them
+    first = leading.withColumn("_r", F.row_number().over(Window.partitionBy("table_id", "_c").orderBy("row_index"))).filter("_r <= 50")
+    values = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("_c") == c, F.struct("row_index", "v")))), lambda x: x["v"])
+    widths = rows.groupBy("table_id").agg(F.max(F.size("header")).alias("_w"))
+    shape = first.groupBy("table_id").agg(values(0).alias("_a"), values(1).alias("_b")).join(widths, "table_id")
     both = shape.select("table_id", ((F.col("_w") > 2) & looks_like_ids(F.col("_a")) & ~looks_like_ids(F.col("_b"))).alias("_alias"))
-    labelled = rows.join(both, "table_id").select("table_id", "row_index", "header", "cells", F.explode(F.when(F.col("_alias"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_e"))
+    labelled = rows.join(both, "table_id", "left").select("table_id", "row_index", "header", "cells", F.explode(F.when(F.coalesce("_alias", F.lit(False)), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_e"))
     long = labelled.select("table_id", "row_index", F.get("cells", F.col("_e")).alias("entity"), "_e", F.posexplode(F.arrays_zip("header", "cells")).alias("_c", "x"))
     full = long.filter((F.col("_c") != F.col("_e")) & (text.strip(F.coalesce("x.cells", F.lit(""))) != "") & (text.strip(F.coalesce("entity", F.lit(""))) != ""))
     name = F.coalesce(F.nullif(text.strip(F.col("x.header")), F.lit("")), F.concat(F.lit("col"), (F.col("_c") + 1).cast("string")))

@@ -80,3 +80,104 @@ def citations(units_: DataFrame, by: str, order: str) -> DataFrame:
     w = Window.partitionBy(by, "source", "page", "section").orderBy(order)
     first = units_.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
     return first.select(by, F.row_number().over(Window.partitionBy(by).orderBy(order)).alias("citation_no"), "source", "page", "section", text.snippet(F.col("text")).alias("snippet"))
+
+
+# ---------------------------------------------------------------- verdict and repair
+
+# What an answer says when the documents don't hold all of it.
+INCOMPLETE = r"(?i)\b(do(?:es)?\s+not\s+(?:cover|specify|state|mention|provide|include)|not\s+specified|no\s+information\s+(?:about|on)|documents?\s+do\s+not)\b"
+
+
+def says_incomplete(answer: Column) -> Column:
+    return answer.rlike(INCOMPLETE)
+
+
+def verdicts(answers: DataFrame, context: DataFrame, by: str, judged: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """by, faithful, unverified (figures that the context lacks), unsupported (claims), note, one row per answer.
+
+    ``judged``: by, claims (array of what a judge finds unsupported; no row: not judged). A claim
+    that stands in a cell of ``cells`` (by, value) is supported after all. Without a judgement the
+    figures decide.
+    """
+    missing = unsupported(answers, context, by).groupBy(by).agg(F.array_sort(F.collect_set("claim")).alias("unverified"))
+    out = answers.select(by).distinct().join(missing, by, "left").withColumn("unverified", F.coalesce("unverified", F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    if judged is None:
+        return out.select(by, (F.size("unverified") == 0).alias("faithful"), "unverified", none.alias("unsupported"), F.lit("structural check only").alias("note"))
+    claims = judged.select(by, F.posexplode_outer("claims").alias("_k", "claim"))
+    if cells is not None:
+        saved = rescued(claims.select(by, "claim").filter("claim IS NOT NULL").distinct(), cells, by).withColumn("_saved", F.lit(True))
+        claims = claims.join(saved, [by, "claim"], "left")
+    else:
+        claims = claims.withColumn("_saved", F.lit(None).cast("boolean"))
+    left = F.when(F.col("claim").isNotNull() & F.col("_saved").isNull(), F.struct("_k", "claim"))
+    per = claims.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(left)), lambda x: x["claim"]).alias("unsupported"), F.count_if("_saved").alias("_dropped"))
+    both = out.join(per, by, "left")
+    judged_ = F.col("unsupported").isNotNull()
+    note = F.when(~judged_, "no judgement; structural check only").when(F.col("_dropped") > 0, "dropped claims that a table cell states").otherwise("")
+    return both.select(by, F.when(judged_, F.size("unsupported") == 0).otherwise(F.size("unverified") == 0).alias("faithful"), "unverified", F.coalesce("unsupported", none).alias("unsupported"), note.alias("note"))
+
+
+def repair_is_safe(answers: DataFrame, repaired: DataFrame, context: DataFrame, by: str) -> DataFrame:
+    """by, safe: whether a repaired answer keeps every figure of the first one that the context supports."""
+    claims = lambda df: df.select(by, F.explode(F.concat(numeric_claims(F.col("text")), ident_claims(F.col("text")))).alias("claim")).distinct()
+    supported = claims(answers).join(claims(context), [by, "claim"], "left_semi")
+    lost = supported.join(claims(repaired), [by, "claim"], "left_anti").select(by).distinct().withColumn("_lost", F.lit(True))
+    return repaired.select(by).distinct().join(lost, by, "left").select(by, F.col("_lost").isNull().alias("safe"))
+
+
+def fenced(answer: Column, unsupported_: Column) -> Column:
+    """The answer with a note that names what the documents don't confirm."""
+    note = F.concat(F.lit("\n\n[Unverified -- not confirmed by the documents: "), F.array_join(unsupported_, "; "), F.lit("]"))
+    return F.when(F.size(unsupported_) > 0, F.concat(text.strip(answer), note)).otherwise(answer)
+
+
+def enforce(answers: DataFrame, context: DataFrame, verdicts_: DataFrame, by: str, refusal: str, repaired: DataFrame | None = None) -> DataFrame:
+    """by, text, action: what may be said. Only answers with unsupported claims change.
+
+    A safe ``repaired`` answer (by, text) comes first. Otherwise the units with the claims are
+    pruned; if that loses a supported figure the answer stays with a note, and if nothing is left
+    it becomes the refusal.
+    """
+    bad = verdicts_.filter(~F.col("faithful") & (F.size("unsupported") > 0)).select(by, "unsupported")
+    wrong = answers.join(bad.select(by), by, "left_semi")
+    pruned = prune(wrong, bad.select(by, F.explode("unsupported").alias("claim")), by).select(by, F.col("text").alias("_pruned"))
+    cut = wrong.select(by).join(pruned, by, "left").select(by, F.coalesce("_pruned", F.lit("")).alias("text"))
+    keeps = repair_is_safe(wrong, cut, context, by).select(by, F.col("safe").alias("_cut_safe"))
+    out = answers.select(by, "text").join(bad, by, "left").join(pruned, by, "left").join(keeps, by, "left")
+    if repaired is not None:
+        safe = repair_is_safe(wrong, repaired, context, by).filter("safe").select(by)
+        out = out.join(repaired.join(safe, by, "left_semi").select(by, F.col("text").alias("_repaired")), by, "left")
+    else:
+        out = out.withColumn("_repaired", F.lit(None).cast("string"))
+    left = text.strip(F.coalesce("_pruned", F.lit(""))) != ""
+    fine, mended, cut_ok = F.col("unsupported").isNull(), F.col("_repaired").isNotNull(), F.col("_cut_safe") & left
+    action = F.when(fine, "kept").when(mended, "repaired").when(cut_ok, "pruned").when(~F.col("_cut_safe"), "fenced").otherwise("refused")
+    said = F.when(fine, F.col("text")).when(mended, F.col("_repaired")).when(cut_ok, F.col("_pruned")).when(~F.col("_cut_safe"), fenced(F.col("text"), F.col("unsupported"))).otherwise(F.lit(refusal))
+    return out.select(by, said.alias("text"), action.alias("action"))
+
+
+def with_fact_sources(citations_: DataFrame, facts: DataFrame, by: str) -> DataFrame:
+    """Citations, and one more for every fact whose place (source, page, section) isn't cited yet.
+
+    ``facts``: by, source, page, table_title, entity, column, value.
+    """
+    place = [by, "source", "page", "section"]
+    snippet = F.concat(F.col("entity"), F.lit(" - "), F.col("column"), F.lit(": "), F.col("value"))
+    new = facts.select(by, "source", "page", F.col("table_title").alias("section"), snippet.alias("snippet")).join(citations_.select(*place), place, "left_anti")
+    first = new.withColumn("_n", F.row_number().over(Window.partitionBy(*place).orderBy("snippet"))).filter("_n = 1").drop("_n")
+    count = citations_.groupBy(by).agg(F.max("citation_no").alias("_last"))
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("source", "page", "section")) + F.coalesce("_last", F.lit(0))
+    added = first.join(count, by, "left").withColumn("citation_no", nth).drop("_last")
+    return citations_.unionByName(added, allowMissingColumns=True)
+
+
+def merged_candidates(found: DataFrame, by: str, least: int = 2, most: int = 10) -> DataFrame:
+    """by, position, item: what passages name, each once in any case, in order of first mention.
+
+    ``found``: by, unit_no, items (array). Nothing comes of fewer than ``least`` or more than ``most`` passages.
+    """
+    sizes = found.groupBy(by).agg(F.countDistinct("unit_no").alias("_n")).filter(F.col("_n").between(least, most)).select(by)
+    rows = found.join(sizes, by, "left_semi").select(by, "unit_no", F.posexplode("items").alias("_k", "item"))
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(by, F.lower("item")).orderBy("unit_no", "_k"))).filter("_n = 1")
+    return first.select(by, F.row_number().over(Window.partitionBy(by).orderBy("unit_no", "_k")).alias("position"), "item")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -115,3 +115,79 @@ def calibration(results: DataFrame, by: str) -> DataFrame:
 
 def below_minimum(gold: DataFrame, least: int) -> DataFrame:
     return gold.groupBy("category").agg(F.count("*").alias("n")).withColumn("enough", F.col("n") >= least)
+
+
+# Which rule decides whether an answer of a category passes, where it isn't the plain one.
+SCORING = {
+    "edge": "behaviour", "out_of_scope": "refusal", "out_of_scope_partial": "refusal+exact", "consistency_pair": "self_similarity",
+    "completeness": "similarity+completeness", "table_format": "similarity+table",
+}
+
+
+def scored(results: DataFrame, modes: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Results with mode and passed. ``modes``: category, mode (a small table; no row: similarity+exact).
+
+    ``results``: category, similarity, refused, exact (all expected values named), complete,
+    table_ok, stable; a rule looks at those that its name lists.
+    """
+    named = results.join(modes.select("category", "mode"), "category", "left").withColumn("mode", F.coalesce("mode", F.lit("similarity+exact")))
+    near = F.col("similarity") >= threshold
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rules = F.when(F.col("mode") == "behaviour", yes("stable") | yes("refused")).when(F.col("mode") == "refusal", yes("refused")).when(F.col("mode") == "refusal+exact", yes("refused") & yes("exact"))
+    rules = rules.when(F.col("mode") == "self_similarity", yes("stable") & near).when(F.col("mode") == "similarity+completeness", near & yes("complete")).when(F.col("mode") == "similarity+table", near & yes("table_ok"))
+    return named.withColumn("passed", rules.otherwise(near & yes("exact")))
+
+
+def latest_runs(runs: DataFrame, by: str = "user_id") -> DataFrame:
+    """The last run of each owner; run ids begin with their time, so the greatest is the last."""
+    return runs.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("run_id")))).filter("_n = 1").drop("_n")
+
+
+def run_id(at: Column) -> Column:
+    """A run's name from its time, as YYYYmmddTHHMMSSZ."""
+    return F.date_format(at, "yyyyMMdd'T'HHmmss'Z'")
+
+
+def newest_first(documents: DataFrame, by: str = "user_id") -> DataFrame:
+    """Documents of each owner numbered from the newest, by name where times agree."""
+    return documents.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("created_at"), "filename")))
+
+
+def owners(cells: DataFrame, documents: DataFrame) -> DataFrame:
+    """user_id, has_cells, has_documents, n_cells of everyone who owns something."""
+    a = cells.groupBy("user_id").agg(F.count("*").alias("n_cells"))
+    b = documents.select("user_id").distinct().withColumn("_d", F.lit(True))
+    both = a.join(b, "user_id", "full_outer")
+    return both.select("user_id", F.col("n_cells").isNotNull().alias("has_cells"), F.col("_d").isNotNull().alias("has_documents"), F.coalesce("n_cells", F.lit(0)).cast("long").alias("n_cells"))
+
+
+def ingest_summary(documents: DataFrame) -> DataFrame:
+    """Totals of an ingest by mode: documents, chunks, stitched tables, cells, skipped."""
+    return documents.groupBy("extraction_mode").agg(F.count("*").alias("n_documents"), F.sum("n_chunks").alias("n_chunks"), F.sum("n_tables").alias("n_tables"), F.sum("n_cells").alias("n_cells"), F.count_if("skipped").alias("n_skipped"))
+
+
+def sources_of(chunks: DataFrame, user: str = "user_id") -> DataFrame:
+    """Every owner's sources once, blank names left out."""
+    return chunks.filter(text.strip(F.coalesce("source", F.lit(""))) != "").select(user, "source").distinct()
+
+
+def document_chunks(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All chunks of the wanted documents (query_id, source) with their place in order of source and index."""
+    own = chunks.join(wanted.select("query_id", "source").distinct(), "source")
+    return own.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("source", "chunk_index")))
+
+
+def with_size(documents: DataFrame, files: DataFrame, key: str = "filename") -> DataFrame:
+    """Unknown sizes from the files' lengths (key, length), else null."""
+    return documents.join(files.select(key, F.col("length").alias("_length")), key, "left").withColumn("size_bytes", F.coalesce("size_bytes", "_length")).drop("_length")
+
+
+def delete_sessions(sessions_: DataFrame, messages: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions and messages without those of ``gone`` (session_id, user_id); only the owner's go."""
+    own = sessions_.join(gone.select("session_id", "user_id"), ["session_id", "user_id"], "left_semi").select("session_id")
+    return sessions_.join(own, "session_id", "left_anti"), messages.join(own, "session_id", "left_anti")
+
+
+def newest_entries(cache: DataFrame, by: str, most: int = 400) -> DataFrame:
+    """The newest ``most`` cached answers of each owner."""
+    return cache.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("saved_at"), "entry_key"))).filter(F.col("_n") <= most).drop("_n")

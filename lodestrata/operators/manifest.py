@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-# What opens a list item, a labelled item, an enumeration, a section reference.
+# What opens a list item, a labelled item, an enumeration, a section reference. The
+# last stands in two parts, tried in turn, as an extraction gives one group only.
 LIST_LEAD = r"(?i)^\s*(?:[-•*+]|\(?\d{1,2}[.)]|\(?[a-z][.)])\s+(\S.{2,120}?)\s*$"
 LABELLED = r"^([^:–-]{2,60})\s*[:–-]\s+\S"
 ENUMERATION = r"(?i)\b(all|every|each|list|enumerate|complete list|full list|types? of|kinds? of|what are the|which are the|how many)\b"
@@ -18,6 +19,10 @@ COVER_FILLER = ["and", "or", "of", "the", "a", "an", "for", "to", "in", "by"]
 
 def list_items(lines: DataFrame, key: str, order: str, line: str = "line", most: int = 12) -> DataFrame:
     """key, item_no, item of lines that look like list items, up to ``most`` of a chunk, repeats left out."""
+    # a chunk's first line that is its breadcrumb, with a blank line after it, is no item
+    after = F.lead(line).over(Window.partitionBy(key).orderBy(order))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    lines = lines.withColumn("_crumb", (place == 1) & F.col(line).contains(" > ") & F.coalesce(text.strip(after) == "", F.lit(False))).filter("NOT _crumb").drop("_crumb")
     body = F.regexp_extract(line, LIST_LEAD, 1)
     label = F.regexp_extract(body, LABELLED, 1)
     item = text.squeeze(F.when(label != "", label).otherwise(body))
@@ -41,9 +46,12 @@ def frequent_labels(labels: DataFrame, by: str, label: str, most: int = 40) -> D
 def enumeration_terms(question: Column, most: int = 8) -> Column:
     """Content words of a question as terms: pairs first, then single words, at most ``most``."""
     words = F.filter(F.regexp_extract_all(question, F.lit(r"[A-Za-z][\w-]{2,}|\b[A-Z]{2}\b"), F.lit(0)), lambda w: ~F.lower(w).isin(text.ENUMERATION_STOP))
-    singles = F.transform(words, text.singular)
-    pairs = F.transform(F.filter(F.transform(singles, lambda w, i: F.struct(w.alias("a"), F.get(singles, i + 1).alias("b"))), lambda p: p["b"].isNotNull()), lambda p: F.concat(p["a"], F.lit(" "), p["b"]))
-    return F.slice(F.filter(F.array_distinct(F.concat(pairs, singles)), lambda t: F.length(t) >= 3), 1, most)
+
+    def terms(singles: Column) -> Column:
+        pairs = F.filter(F.transform(singles, lambda w, i: F.concat(w, F.lit(" "), F.get(singles, i + 1))), lambda p: p.isNotNull())
+        return F.slice(F.filter(F.array_distinct(F.concat(pairs, singles)), lambda t: F.length(t) >= 3), 1, most)
+
+    return text.let(F.transform(words, text.singular), terms)
 
 
 def head_noun(question: Column) -> Column:
@@ -106,3 +114,68 @@ def covers(label: Column, answer: Column) -> Column:
 def missing_items(expected: DataFrame, answers: DataFrame) -> DataFrame:
     """query_id, item of expected items (query_id, item) that the answer (query_id, answer) doesn't mention."""
     return expected.join(answers, "query_id").filter(~covers(F.col("item"), F.col("answer"))).select("query_id", "item")
+
+
+def build(headings: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame:
+    """A document's manifest: document_id, kind, group_label, group_context, item, heading_path, page, chunk_index, table_id.
+
+    ``headings``: document_id, heading_path, page, chunk_index; ``rows``: document_id, source,
+    table_id, section, header, row_index, page, cells; ``items``: document_id, heading_path, page,
+    chunk_index, item. Of entries that agree in kind, group and normalised item the first counts.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    leaf = text.strip(F.element_at(F.split("heading_path", ">"), -1))
+    above = F.array_join(F.slice(F.split("heading_path", " > "), F.lit(1), F.greatest(F.size(F.split("heading_path", " > ")) - 1, F.lit(0))), " > ")
+    sections = headings.filter("heading_path <> ''").select("document_id", F.lit("section").alias("kind"), above.alias("group_label"), F.lit("").alias("group_context"), leaf.alias("item"), "heading_path", "page", "chunk_index", F.lit("").alias("table_id"), F.col("chunk_index").cast("long").alias("_o"))
+    label = text.strip(F.translate(F.coalesce(F.get("cells", F.lit(0)), F.lit("")), "\n", " "))
+    context = F.array_join(F.filter("header", lambda c: F.coalesce(c, F.lit("")) != ""), " | ")
+    tables = rows.withColumn("_item", label).filter("_item <> ''").select("document_id", F.lit("table_row").alias("kind"), F.coalesce(F.nullif("section", F.lit("")), "source").alias("group_label"), context.alias("group_context"), F.col("_item").alias("item"), F.lit("").alias("heading_path"), "page", none("int").alias("chunk_index"), "table_id", F.col("row_index").cast("long").alias("_o"))
+    listed = items.select("document_id", F.lit("list_item").alias("kind"), F.col("heading_path").alias("group_label"), F.lit("").alias("group_context"), "item", "heading_path", "page", "chunk_index", F.lit("").alias("table_id"), F.col("chunk_index").cast("long").alias("_o"))
+    every = sections.unionByName(tables).unionByName(listed)
+    first = Window.partitionBy("document_id", "kind", "group_label", text.normalise_item(F.col("item"))).orderBy("_o", "page", "item")
+    return every.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_o")
+
+
+def find_items(items: DataFrame, asked: DataFrame, kinds: list[str] | None = None, most: int = 300) -> DataFrame:
+    """Items whose text, group or context holds a term of the question (query_id, term), in any case; ``most`` of a question.
+
+    Terms are a stated set, checked to be small, that every task holds against its items.
+    """
+    n = asked.count()
+    if n > 100_000:
+        raise ValueError(f"{n} terms are too many to send out at once; ask in parts")
+    rows = items if kinds is None else items.filter(F.col("kind").isin(kinds))
+    hay = rows.withColumn("_hay", F.lower(F.concat_ws("\n", "item", "group_label", "group_context")))
+    pairs = hay.join(F.broadcast(asked.select("query_id", F.lower("term").alias("_t"))), F.expr("contains(_hay, _t)"))
+    hits = pairs.select("query_id", *items.columns).distinct()
+    place = Window.partitionBy("query_id").orderBy("document_id", "group_label", F.col("page").asc_nulls_last(), "item")
+    return hits.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= most).drop("_n")
+
+
+def group_items(items: DataFrame, groups: DataFrame) -> DataFrame:
+    """All items of the asked groups (query_id, document_id, group_label), numbered in order of page and text."""
+    own = items.join(groups, ["document_id", "group_label"])
+    return own.withColumn("position", F.row_number().over(Window.partitionBy("query_id", "group_label").orderBy(F.col("page").asc_nulls_last(), "item")))
+
+
+def without_elaborations(items: DataFrame, by: list[str], item: str = "item") -> DataFrame:
+    """Of items that share what stands before a dash the shortest, then of equal ones the first."""
+    prefix = text.normalise_item(F.get(F.split(item, r"\s*[-–]\s*"), F.lit(0)))
+    short = items.withColumn("_p", prefix).withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_p").orderBy(F.length(item), item))).filter("_n = 1")
+    same = Window.partitionBy(*by, text.normalise_item(F.col(item))).orderBy(item)
+    return short.withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_n", "_p")
+
+
+def targets(plan_items: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """query_id, key of the chunks that hold the items of a plan: by table, else by place, else by heading.
+
+    ``plan_items``: query_id, document_id, table_id, chunk_index, heading_path. Summaries of tables
+    are no targets. Places are those of the item's own document.
+    """
+    body = chunks.filter(~F.coalesce("is_table_summary", F.lit(False)))
+    table, place = F.coalesce("table_id", F.lit("")) != "", F.col("chunk_index").isNotNull()
+    by_table = plan_items.filter(table).select("query_id", "document_id", "table_id").distinct().join(body, ["document_id", "table_id"])
+    by_place = plan_items.filter(~table & place).select("query_id", "document_id", "chunk_index").distinct().join(body, ["document_id", "chunk_index"])
+    by_path = plan_items.filter(~table & ~place & (F.coalesce("heading_path", F.lit("")) != "")).select("query_id", "document_id", "heading_path").distinct().join(body, ["document_id", "heading_path"])
+    pick = lambda df: df.select("query_id", key)
+    return pick(by_table).union(pick(by_place)).union(pick(by_path)).distinct()

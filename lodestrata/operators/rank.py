@@ -33,7 +33,12 @@ def term_stats(counts: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, key: str, k: int, text_col: str = "text") -> DataFrame:
-    """query_id, key, score, rank of the best ``k`` chunks with a score over 0.
+    """query_id, key, score, rank of the best ``k`` chunks with a score over 0."""
+    return top(bm25_scores(chunks, queries, key, text_col), ["query_id"], [F.desc("score"), key], k)
+
+
+def bm25_scores(chunks: DataFrame, queries: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """query_id, key, score of all chunks with a score over 0, unranked.
 
     ``queries``: query_id, text. Terms that a question repeats count again. Corpus counts come
     from all chunks; only terms that are asked for are scored.
@@ -44,8 +49,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str, k: int, text_col: str
     idf = term_stats(counts, stats)
     hits = counts.join(asked, "term").join(idf.select("term", "idf"), "term").withColumn("_one", F.lit(1)).join(stats.select(F.lit(1).alias("_one"), "avgdl"), "_one")
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", key).agg(F.round(F.sum(F.col("qtf") * gain), 6).alias("score")).filter("score > 0")
-    return top(scored, ["query_id"], [F.desc("score"), key], k)
+    return hits.groupBy("query_id", key).agg(F.round(F.sum(F.col("qtf") * gain), 6).alias("score")).filter("score > 0")
 
 
 def top(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
@@ -57,6 +61,25 @@ def top(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -
 MOST_QUERY_BYTES = 256 << 20
 
 
+def _against(rows: DataFrame, queries: DataFrame, numbers_in: Column) -> DataFrame:
+    """Each of ``rows`` beside each of a stated set of ``queries`` (as q); the set's size is checked first."""
+    n, size = queries.agg(F.count("*"), F.sum(numbers_in)).first()
+    if (size or 0) * 8 > MOST_QUERY_BYTES:
+        raise ValueError(f"{n} query vectors are too many to send out at once; ask in parts")
+    listed = queries.agg(F.collect_list(F.struct(*queries.columns)).alias("_queries")).select(F.lit(1).alias("_one"), "_queries")
+    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(listed), "_one").select(*rows.columns, F.explode("_queries").alias("q"))
+
+
+def max_sim(items: DataFrame, queries: DataFrame, key: str, k: int, parts_col: str = "parts") -> DataFrame:
+    """query_id, key, score, rank by late interaction: every part of a question finds its best part of an item.
+
+    ``queries``: query_id and parts, a stated set that is checked to be small.
+    """
+    pairs = _against(items.select(key, F.col(parts_col).alias("_p")), queries.select("query_id", F.col(parts_col).alias("parts")), F.size(F.flatten(parts_col)))
+    scored = pairs.select(F.col("q.query_id").alias("query_id"), key, F.round(numbers.max_sim(F.col("q.parts"), F.col("_p")), 6).alias("score"))
+    return top(scored, ["query_id"], [F.desc("score"), key], k)
+
+
 def knn(vectors: DataFrame, queries: DataFrame, key: str, k: int, vector_col: str = "embedding") -> DataFrame:
     """query_id, key, distance, rank: the exact ``k`` nearest by cosine distance.
 
@@ -64,11 +87,7 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str, k: int, vector_col: st
     task, against all vectors in blocks. Each task keeps ``k`` rows of a query before anything
     is shuffled.
     """
-    n, size = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
-    if n * (size or 0) * 8 > MOST_QUERY_BYTES:
-        raise ValueError(f"{n} query vectors are too many to send out at once; ask in parts")
-    listed = queries.agg(F.collect_list(F.struct("query_id", "vector")).alias("_queries")).select(F.lit(1).alias("_one"), "_queries")
-    pairs = vectors.select(key, F.col(vector_col).alias("_v"), F.lit(1).alias("_one")).join(F.broadcast(listed), "_one").select(key, "_v", F.explode("_queries").alias("q"))
+    pairs = _against(vectors.select(key, F.col(vector_col).alias("_v")), queries.select("query_id", "vector"), F.size("vector"))
     scored = pairs.select(F.col("q.query_id").alias("query_id"), key, (F.round(numbers.cosine_distance(F.col("_v"), F.col("q.vector")), 6) + 0.0).alias("distance")).filter("distance IS NOT NULL")
     return top(scored, ["query_id"], ["distance", key], k)
 
@@ -116,14 +135,17 @@ def interleave(df: DataFrame, rank: str = "rank", by: str = "query_id") -> DataF
     return df.withColumn("_o", order).withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy("_o"))).drop("_o")
 
 
-def sweep(chunks: DataFrame, routed: DataFrame, keyword_ranked: DataFrame, key: str, most: int = 60, source: str = "source") -> DataFrame:
-    """All chunks of the routed documents in order; beyond ``most``, the best by keyword, marked as truncated."""
+def sweep(chunks: DataFrame, routed: DataFrame, keyword_scores: DataFrame, key: str, most: int = 60, source: str = "source") -> DataFrame:
+    """All chunks of the routed documents in order; beyond ``most``, the best by keyword, marked as truncated.
+
+    ``keyword_scores``: query_id, key, score. Only chunks of routed documents are ranked, and each
+    task keeps no more than ``most`` of them for a question.
+    """
     pool = chunks.join(routed.select("query_id", source), source)
-    pool = pool.withColumn("_n", F.count("*").over(Window.partitionBy("query_id")))
-    ranked = pool.join(keyword_ranked.select("query_id", key, F.col("rank").alias("_k")), ["query_id", key], "left")
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("_k").asc_nulls_last(), key))
-    kept = ranked.withColumn("_nth", nth).filter((F.col("_n") <= most) | ((F.col("_nth") <= most) & F.col("_k").isNotNull()))
-    return kept.select("query_id", source, key, (F.col("_n") > most).alias("truncated"))
+    sizes = pool.groupBy("query_id").agg(F.count("*").alias("_n"))
+    ranked = pool.join(keyword_scores.select("query_id", key, F.col("score").alias("_k")), ["query_id", key], "left")
+    best = top(ranked, ["query_id"], [F.col("_k").desc_nulls_last(), key], most, "_nth").join(sizes, "query_id")
+    return best.filter((F.col("_n") <= most) | F.col("_k").isNotNull()).select("query_id", source, key, (F.col("_n") > most).alias("truncated"))
 
 
 def rerank_window(fused: DataFrame, key: str, final_k: int, by: str = "query_id") -> DataFrame:

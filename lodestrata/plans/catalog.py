@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import facts_queries, library_queries, retrieval_queries, structure_queries
+from . import answer_queries, facts_queries, library_queries, retrieval_queries, structure_queries
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _part in (retrieval_queries, structure_queries, facts_queries, library_queries):
+for _part in (retrieval_queries, structure_queries, facts_queries, library_queries, answer_queries):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE

@@ -38,7 +38,8 @@ def cells_unpivot(spark, sf_dir):
 
 @add("""WITH t AS (SELECT p_size AS table_id, p_partkey AS row_index, 'PRT' || lpad(p_partkey::VARCHAR, 6, '0') AS a, p_name AS b, p_brand AS c FROM part)
     SELECT table_id, row_index, a AS entity, lower(a) AS entity_norm, unnest(['Part', 'Brand']) AS column_name, unnest(['part', 'brand']) AS column_norm, unnest([b, c]) AS value FROM t WHERE (SELECT count(*) FROM part q WHERE q.p_size = table_id) >= 3
-    UNION ALL SELECT table_id, row_index, b, lower(b), unnest(['Code', 'Brand']), unnest(['code', 'brand']), unnest([a, c]) FROM t WHERE (SELECT count(*) FROM part q WHERE q.p_size = table_id) >= 3""")
+    UNION ALL SELECT table_id, row_index, b, lower(b), unnest(['Code', 'Brand']), unnest(['code', 'brand']), unnest([a, c]) FROM t WHERE (SELECT count(*) FROM part q WHERE q.p_size = table_id) >= 3
+    UNION ALL SELECT table_id, row_index, a, lower(a), unnest(['Part', 'Brand']), unnest(['part', 'brand']), unnest([b, c]) FROM t WHERE (SELECT count(*) FROM part q WHERE q.p_size = table_id) < 3""")
 def cells_alias(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     code = F.concat(F.lit("PRT"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
@@ -106,12 +107,12 @@ def fact_filter(spark, sf_dir):
     return facts.beyond(_beyond(spark, rows), _customers(spark, sf_dir)).withColumn("entities", F.array_join("entities", ";"))
 
 
-@add(r"""WITH c AS (SELECT c_custkey, lower(replace(c_name, '#', ' ')) AS label FROM customer), q AS (SELECT c_custkey AS query_id, 'costumer ' || regexp_extract(label, '\d+') AS span FROM c WHERE c_custkey % 10 = 0)
+@add(r"""WITH c AS (SELECT c_custkey, lower(replace(c_name, '#', ' ')) AS label FROM customer), q AS (SELECT c_custkey AS query_id, 'costumer ' || regexp_extract(label, '\d+') AS span FROM c WHERE c_custkey % 100 = 0)
     SELECT query_id, span, label FROM q JOIN c ON regexp_extract_all(span, '\d+') = regexp_extract_all(label, '\d+')""")
 def digit_guard_join(spark, sf_dir):
     """Misspelt names meet the rows with the same digits only."""
     c = table(spark, sf_dir, "customer").select("c_custkey", F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit(" "))).alias("label"))
-    asked = c.filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("costumer "), F.regexp_extract("label", r"\d+", 0)).alias("span"))
+    asked = c.filter("c_custkey % 100 = 0").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("costumer "), F.regexp_extract("label", r"\d+", 0)).alias("span"))
     key = lambda df, col: df.withColumn("_d", F.array_join(facts.digit_runs(F.col(col)), "|"))
     return key(asked, "span").join(key(c, "label"), "_d").select("query_id", "span", "label")
 
@@ -135,11 +136,11 @@ def fact_ask(spark, sf_dir):
     return facts.ask(spark.createDataFrame(_ASKED, "query_id int, text string"), _customers(spark, sf_dir))
 
 
-@add(r"""WITH t AS (SELECT conv_id * 1000 + turn AS query_id, list_filter(list_transform(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9._''\-/%]*'), lambda x: regexp_replace(x, '''s$|''$', '')), lambda x: x <> '') AS t FROM conversations WHERE role = 'user'),
+@add(r"""WITH t AS (SELECT conv_id * 1000 + turn AS query_id, list_filter(list_transform(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9._''\-/%]*'), lambda x: regexp_replace(x, '''s$|''$', '')), lambda x: x <> '') AS t FROM conversations),
     n AS (SELECT query_id, t, unnest([1, 2, 3, 4]) AS n FROM t), p AS (SELECT query_id, t, n, unnest(range(0, len(t) - n + 1)) AS s FROM n WHERE len(t) >= n)
     SELECT query_id, array_to_string(t[s + 1:s + n], ' ') AS span, s::INTEGER AS start, (s + n)::INTEGER AS "end" FROM p""")
 def spans(spark, sf_dir):
-    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    asked = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
     return facts.spans(asked)
 
 

@@ -69,29 +69,40 @@ def knn_topk_cosine(spark, sf_dir):
     return _dense(spark, sf_dir, 20)
 
 
-_FUSED = f"""{_DENSE},
-    other AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), vec_id) AS k FROM pairs),
+#: The question to a vector that asks: the first six words of the document with its number.
+_FUSED = rf"""{_BM25},
+    questions AS (SELECT vec_id AS query_id, unnest(list_slice({_TOKENS}, 1, 6)) AS term FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0),
+    asked AS (SELECT query_id, term, count(*) AS qtf FROM questions GROUP BY ALL),
+    scores AS (
+        SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+        FROM counts JOIN asked USING (term) JOIN idfs USING (term), stats GROUP BY ALL HAVING score > 0
+    ),
+    keyword AS (SELECT query_id, doc_id AS vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores),
+    {_DENSE},
     lists AS (SELECT query_id, vec_id, 'dense' AS list, rank FROM dense WHERE rank <= 40
-              UNION ALL SELECT query_id, vec_id, 'keyword', k FROM other WHERE k <= 40),
+              UNION ALL SELECT query_id, vec_id, 'keyword', rank FROM keyword WHERE rank <= 40),
     fused AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused,
                      min(rank) FILTER (WHERE list = 'dense')::INTEGER AS dense_rank, min(rank) FILTER (WHERE list = 'keyword')::INTEGER AS keyword_rank FROM lists GROUP BY ALL),
-    hits AS (SELECT f.*, e.label AS source FROM fused f JOIN embeddings e USING (vec_id))"""
+    hits AS (SELECT f.*, d.source, d.lang FROM fused f JOIN documents d ON d.doc_id = f.vec_id)"""
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """query_id, text: every 100th vector asks in words too, by the opening of the document with its number."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(text.bm25_tokens(F.col("text")), 1, 6), " ").alias("text"))
+    return docs.join(table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id")), "query_id")
 
 
 def _fused(spark, sf_dir) -> DataFrame:
-    """Nearest vectors fused with a second list: the nearest by id, in place of a keyword list."""
-    vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
-    # the 40 nearest ids of a question stand within 80 of it: an equi-join on id
-    near = asked.select("query_id", F.explode(F.sequence(F.col("query_id") - 80, F.col("query_id") + 80)).alias("vec_id")).join(vectors.select("vec_id"), "vec_id")
-    other = rank.top(near, ["query_id"], [F.abs(F.col("vec_id") - F.col("query_id")), "vec_id"], 40)
-    lists = _dense(spark, sf_dir, 40).select("query_id", F.lit("dense").alias("list"), "vec_id", "rank").unionByName(other.select("query_id", F.lit("keyword").alias("list"), "vec_id", "rank"))
-    return rank.fuse(lists, "vec_id").join(vectors.select("vec_id", F.col("label").alias("source")), "vec_id")
+    """Nearest vectors and best documents by BM25, 40 of each, fused by their ranks."""
+    docs = table(spark, sf_dir, "documents")
+    keyword = rank.bm25(docs, _asked(spark, sf_dir), "doc_id", 40).select("query_id", F.lit("keyword").alias("list"), F.col("doc_id").alias("vec_id"), "rank")
+    lists = _dense(spark, sf_dir, 40).select("query_id", F.lit("dense").alias("list"), "vec_id", "rank").unionByName(keyword)
+    return rank.fuse(lists, "vec_id").join(docs.select(F.col("doc_id").alias("vec_id"), "source", "lang"), "vec_id")
 
 
 @add(f"WITH {_FUSED} SELECT query_id, vec_id, fused, dense_rank, keyword_rank, source FROM hits")
 def rrf_fusion(spark, sf_dir):
-    return _fused(spark, sf_dir)
+    return _fused(spark, sf_dir).drop("lang")
 
 
 _ROUTED = f"""{_FUSED},
@@ -114,15 +125,6 @@ def gate_documents(spark, sf_dir):
     return rank.gate(rank.score_documents(_fused(spark, sf_dir), "vec_id"))
 
 
-@add(f"""WITH {_ROUTED}, s AS (SELECT *, (hits / 80.0)::DOUBLE AS a, (source % 2)::DOUBLE AS b, max(score) OVER (PARTITION BY query_id) AS best FROM routed),
-    m AS (SELECT *, score * (1 + 0.35 * (2 * ((a + b) / 2) - 1)) AS moved FROM s)
-    SELECT query_id, source, round(CASE WHEN score >= 0.85 * best THEN greatest(score, moved) ELSE moved END, 9) AS refined FROM m""")
-def router_refine(spark, sf_dir):
-    scores = rank.score_documents(_fused(spark, sf_dir), "vec_id")
-    signals = scores.withColumn("a", F.col("hits") / 80.0).withColumn("b", (F.col("source") % 2).cast("double"))
-    return rank.refine_documents(signals, ["a", "b"]).select("query_id", "source", "refined")
-
-
 @add(f"WITH {_FUSED}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY fused DESC, vec_id) AS n FROM hits) SELECT query_id, vec_id, source, fused FROM c WHERE n <= 3")
 def diversity_cap(spark, sf_dir):
     return rank.cap(_fused(spark, sf_dir), ["query_id", "source"], [F.desc("fused"), "vec_id"], 3).select("query_id", "vec_id", "source", "fused")
@@ -163,7 +165,7 @@ def interleave_order(spark, sf_dir):
 def sweep_or_prefilter(spark, sf_dir):
     docs, asked = table(spark, sf_dir, "documents"), _questions(spark)
     routed = asked.select("query_id", F.concat(F.lit("src"), "query_id").alias("source"))
-    return rank.sweep(docs.select("doc_id", "source"), routed, rank.bm25(docs, asked, "doc_id", 1 << 30), "doc_id")
+    return rank.sweep(docs.select("doc_id", "source"), routed, rank.bm25_scores(docs, asked, "doc_id"), "doc_id")
 
 
 @add(f"""WITH {_FUSED}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, vec_id) AS r FROM hits),
@@ -182,19 +184,17 @@ def rerank_survivors(spark, sf_dir):
     n AS (SELECT query_id, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, vec_id) AS rank FROM sims)
     SELECT query_id, vec_id, score, rank::INTEGER AS rank FROM n WHERE rank <= 10""")
 def maxsim(spark, sf_dir):
-    """Late interaction over two half vectors a row; every 100th row asks, in one list that all tasks hold."""
+    """Late interaction over two half vectors a row; every 100th row asks, in lists of a checked size that all tasks hold."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)).alias("parts"))
-    asked = vectors.filter("vec_id % 100 = 0").agg(F.collect_list(F.struct("vec_id", "parts")).alias("_q")).withColumn("_one", F.lit(1))
-    pairs = vectors.withColumn("_one", F.lit(1)).join(asked, "_one").select("vec_id", "parts", F.explode("_q").alias("q"))
-    scored = pairs.select(F.col("q.vec_id").alias("query_id"), "vec_id", F.round(numbers.max_sim(F.col("q.parts"), F.col("parts")), 6).alias("score"))
-    return rank.top(scored, ["query_id"], [F.desc("score"), "vec_id"], 10)
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "parts")
+    return rank.max_sim(vectors, asked, "vec_id", 10, "parts")
 
 
 # ---------------------------------------------------------------- context
 
 
 _NEAR = """conv AS (SELECT conv_id * 1000 + turn AS chunk_id, *, lag(conv_id * 1000 + turn) OVER w AS prev_id, lead(conv_id * 1000 + turn) OVER w AS next_id FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-    hits AS (SELECT (conv_id % 3)::INTEGER AS query_id, chunk_id, round(1.0::DOUBLE / (60 + turn), 9) AS score FROM conv WHERE length(text) % 5 = 0)"""
+    hits AS (SELECT (conv_id % 3)::INTEGER AS query_id, chunk_id, round(1.0::DOUBLE / (60 + turn), 9) AS score FROM conv WHERE contains(lower(text), 'the'))"""
 
 
 def _turns(spark, sf_dir) -> DataFrame:
@@ -205,7 +205,7 @@ def _turns(spark, sf_dir) -> DataFrame:
 
 
 def _turn_hits(conv: DataFrame) -> DataFrame:
-    return conv.filter(F.length("text") % 5 == 0).select((F.col("conv_id") % 3).cast("int").alias("query_id"), "chunk_id", F.round(1.0 / (60 + F.col("turn")), 9).alias("score"))
+    return conv.filter(F.lower("text").contains("the")).select((F.col("conv_id") % 3).cast("int").alias("query_id"), "chunk_id", F.round(1.0 / (60 + F.col("turn")), 9).alias("score"))
 
 
 @add(f"""WITH {_NEAR}, out AS (SELECT h.query_id, h.chunk_id AS f, h.score, unnest([c.prev_id, c.next_id]) AS t FROM hits h JOIN conv c USING (chunk_id)),
@@ -216,24 +216,24 @@ def neighbour_expand(spark, sf_dir):
     return context.neighbour_expand(_turn_hits(conv), conv, "chunk_id")
 
 
-@add("""WITH d AS (SELECT doc_id, text, doc_id // 4 AS parent_id FROM documents), p AS (SELECT parent_id, string_agg(substr(text, 1, 40), '|' ORDER BY doc_id) AS text FROM d WHERE parent_id % 3 <> 0 GROUP BY parent_id),
-    hits AS (SELECT (doc_id % 5)::INTEGER AS query_id, doc_id, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY length(text) DESC, doc_id) AS rank FROM documents),
+@add("""WITH d AS (SELECT doc_id, text, doc_id // 4 AS parent_id FROM documents), p AS (SELECT parent_id, string_agg(text, '|' ORDER BY doc_id) AS text FROM d WHERE parent_id % 3 <> 0 GROUP BY parent_id),
+    hits AS (SELECT (doc_id // 20)::INTEGER AS query_id, doc_id, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY length(text) DESC, doc_id) AS rank FROM documents),
     j AS (SELECT h.query_id, h.doc_id, h.rank::INTEGER AS rank, p.text AS parent_text, d.parent_id, coalesce('p:' || p.parent_id, 'c:' || h.doc_id) AS unit FROM hits h JOIN d USING (doc_id) LEFT JOIN p USING (parent_id)),
     n AS (SELECT *, row_number() OVER (PARTITION BY query_id, unit ORDER BY rank) AS n FROM j)
     SELECT query_id, doc_id, rank, parent_id, parent_text FROM n WHERE n = 1""")
 def parent_substitute(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 4).alias("parent_id"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 40).alias("t")))), lambda x: x["t"]), "|")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.col("text").alias("t")))), lambda x: x["t"]), "|")
     parents = docs.filter("parent_id % 3 <> 0").groupBy("parent_id").agg(body.alias("text"))
-    hits = docs.select((F.col("doc_id") % 5).cast("int").alias("query_id"), "doc_id", F.row_number().over(Window.partitionBy(F.col("doc_id") % 5).orderBy(F.desc(F.length("text")), "doc_id")).alias("rank"))
+    hits = docs.select(F.floor(F.col("doc_id") / 20).cast("int").alias("query_id"), "doc_id", F.row_number().over(Window.partitionBy(F.floor(F.col("doc_id") / 20)).orderBy(F.desc(F.length("text")), "doc_id")).alias("rank"))
     return context.to_parents(hits, docs, parents, "doc_id")
 
 
-@add("""WITH t AS (SELECT conv_id, turn, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS apart FROM conversations WHERE length(text) % 3 <> 0),
+@add("""WITH t AS (SELECT conv_id, turn, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS apart FROM conversations WHERE contains(lower(text), 'the')),
     r AS (SELECT conv_id, turn, sum(CASE WHEN apart BETWEEN 1 AND 2 THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run_no FROM t)
     SELECT conv_id, run_no::BIGINT AS run_no, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n FROM r GROUP BY ALL""")
 def adjacency_merge(spark, sf_dir):
-    hits = table(spark, sf_dir, "conversations").filter(F.length("text") % 3 != 0)
+    hits = table(spark, sf_dir, "conversations").filter(F.lower("text").contains("the"))
     return context.adjacency(hits, "conv_id", "turn").groupBy("conv_id", "run_no").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n"))
 
 
@@ -273,9 +273,7 @@ def section_blocks(spark, sf_dir):
     from ..operators import structure
 
     turns = structure.runs(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "user", "section")
-    first = F.first("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    turns = turns.withColumn("section", F.when(first == "user", F.col("section")).otherwise(F.col("section") - 0)).withColumn("page", F.col("turn"))
-    return context.group_blocks(turns, ["conv_id", "section"], "turn", ["role"])
+    return context.group_blocks(turns.withColumn("page", F.col("turn")), ["conv_id", "section"], "turn", ["role"])
 
 
 _PARTS = """p AS (SELECT p_size AS table_id, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS k, p_name, p_partkey FROM part),

@@ -17,16 +17,15 @@ _TOK = "len(regexp_extract_all({c}, '[A-Za-z0-9]+|[^A-Za-z0-9\\s]'))"
 _LINES = """lines AS (SELECT doc_id, (unnest(range(0, len(l))))::INTEGER AS block_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
 
 
-@add(f"""WITH {_LINES}, m AS (SELECT d.source, l.doc_id, trim(l.line) AS line, row_number() OVER (PARTITION BY l.doc_id ORDER BY l.block_no) AS u, row_number() OVER (PARTITION BY l.doc_id ORDER BY l.block_no DESC) AS d
-        FROM lines l JOIN documents d USING (doc_id)),
-    margin AS (SELECT * FROM m WHERE (u <= 2 OR d <= 3) AND length(line) <= 120 AND line <> ''),
-    pages AS (SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY 1)
-    SELECT source, line, count(DISTINCT doc_id) AS n_pages FROM margin JOIN pages USING (source) WHERE n >= 3 GROUP BY source, line, n HAVING count(DISTINCT doc_id) >= greatest(2, floor(n * 0.02))""")
+@add(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, string_split(html, '><') AS l FROM pages),
+    lines AS (SELECT page_id, host, unnest(range(0, len(l))) AS line_no, unnest(l) AS line FROM p),
+    m AS (SELECT page_id, host, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line, row_number() OVER (PARTITION BY host, page_id ORDER BY line_no) AS u, row_number() OVER (PARTITION BY host, page_id ORDER BY line_no DESC) AS d FROM lines),
+    n AS (SELECT host, count(DISTINCT page_id) AS n FROM p GROUP BY host)
+    SELECT host, line, count(DISTINCT page_id) AS n_pages FROM m JOIN n USING (host) WHERE n >= 3 AND (u <= 2 OR d <= 3) AND length(line) <= 120 AND line <> '' GROUP BY host, line, n HAVING count(DISTINCT page_id) >= greatest(2, floor(n * 0.6))""")
 def running_line_filter(spark, sf_dir):
-    """Margin lines that come back; every text is a page of its source."""
-    docs = table(spark, sf_dir, "documents")
-    lines = structure.blocks(docs.select("doc_id", "source", "text"), "doc_id").join(docs.select("doc_id", "source"), "doc_id").withColumnRenamed("block_no", "line_no")
-    return structure.running_lines(lines, "source", "doc_id", 0.02)
+    """Margin lines that come back on most pages of a host; a tag is a line."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"), F.posexplode(F.split("html", "><")).alias("line_no", "line"))
+    return structure.running_lines(pages, "host", "page_id")
 
 
 _HEADING = r"""length(line) > 0 AND length(line) <= 90 AND CASE WHEN regexp_matches(line, '^\d+(?:\.\d+)*\.?\s+\S.{0,80}$') THEN NOT ends_with(line, '.') OR len(w) <= 6
@@ -100,11 +99,11 @@ def stitch_tables(spark, sf_dir):
     return structure.stitch(fragments, "doc").groupBy("doc", "table_no").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.count("*").alias("fragments"))
 
 
-@add("""WITH l AS (SELECT *, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 END AS level, substr(text, 1, 12) AS title FROM conversations),
+@add("""WITH l AS (SELECT *, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 END AS level, string_split(text, chr(10))[1] AS title FROM conversations),
     h AS (SELECT *, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER w AS h1, last_value(CASE WHEN level = 2 THEN title WHEN level = 1 THEN '' END IGNORE NULLS) OVER w AS h2 FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))
     SELECT conv_id, turn, array_to_string(list_filter([coalesce(h1, ''), coalesce(h2, '')], lambda x: x <> ''), ' > ') AS heading_path FROM h""")
 def heading_paths(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").withColumn("level", F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2)).withColumn("title", F.substring("text", 1, 12))
+    turns = table(spark, sf_dir, "conversations").withColumn("level", F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2)).withColumn("title", F.get(F.split("text", "\n"), F.lit(0)))
     return structure.heading_levels(turns, "conv_id", "turn", "level", "title").select("conv_id", "turn", "heading_path")
 
 
@@ -173,23 +172,23 @@ def heading_filter(spark, sf_dir):
 
 
 @add(r"""WITH a AS (SELECT doc_id, lower(regexp_replace(text, '\s+', ' ', 'g')) AS hay FROM documents),
-    e AS (SELECT DISTINCT lower(p_name) AS item FROM part WHERE p_partkey <= 50)
-    SELECT doc_id, item FROM a, e WHERE NOT (contains(hay, item) OR len(list_filter(string_split(item, ' '), lambda w: NOT regexp_matches(hay, '\b' || w || '\b'))) = 0)""")
+    e AS (SELECT DISTINCT lower(p_name) AS item, p_partkey AS doc_id FROM part)
+    SELECT doc_id, item FROM a JOIN e USING (doc_id) WHERE NOT (contains(hay, item) OR len(list_filter(string_split(item, ' '), lambda w: NOT regexp_matches(hay, '\b' || w || '\b'))) = 0)""")
 def coverage_missing(spark, sf_dir):
-    """Which of some part names each text leaves out; names and texts meet by a list that every row holds."""
-    listed = table(spark, sf_dir, "part").filter("p_partkey <= 50").select(F.lower("p_name").alias("item")).distinct().agg(F.collect_list("item").alias("_i")).withColumn("_one", F.lit(1))
-    answers = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("answer"), F.lit(1).alias("_one")).join(listed, "_one")
-    return answers.select("doc_id", F.explode(F.filter("_i", lambda i: ~manifest.covers(i, F.col("answer")))).alias("item"))
+    """Which names expected of each text it leaves out; every part is expected in the text with its number."""
+    expected = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.lower("p_name").alias("item")).distinct()
+    answers = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"))
+    return manifest.missing_items(expected, answers).withColumnRenamed("query_id", "doc_id")
 
 
-@add(r"""WITH o AS (SELECT source, lang AS section, min(doc_id) AS opener, count(*) AS n FROM documents GROUP BY ALL), present AS (SELECT DISTINCT source, lang AS section FROM documents WHERE doc_id % 20 = 0)
+@add(r"""WITH o AS (SELECT source, lang AS section, min(doc_id) AS opener, count(*) AS n FROM documents GROUP BY ALL), present AS (SELECT DISTINCT source, lang AS section FROM documents WHERE doc_id % 100 = 0)
     SELECT o.* FROM o ANTI JOIN present p ON o.source = p.source AND o.section = p.section""")
 def section_coverage_gap(spark, sf_dir):
     from ..operators import context
 
     docs = table(spark, sf_dir, "documents").select("source", F.col("lang").alias("section"), "doc_id")
     openers = docs.groupBy("source", "section").agg(F.min("doc_id").alias("opener"), F.count("*").alias("n"))
-    return context.section_coverage(openers, docs.filter("doc_id % 20 = 0"), "source", "section")
+    return context.section_coverage(openers, docs.filter("doc_id % 100 = 0"), "source", "section")
 
 
 @add(r"""WITH b AS (SELECT l_orderkey AS page_id, l_linenumber AS block_no, min(l_quantity) AS x0, min(l_quantity) + 10 AS x1, l_linenumber * 5.0 AS y0, l_linenumber * 5.0 + 5 AS y1 FROM lineitem GROUP BY ALL),

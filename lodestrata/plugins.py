@@ -21,8 +21,9 @@ def hashed_vector(value: Column, dimensions: int = DIMENSIONS) -> Column:
     """A vector of length 1 from the hashes of a text's tokens (null for a text without tokens)."""
     tokens = text.bm25_tokens(value)
     slots = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-    return F.transform(F.array(counts), lambda v: F.when(numbers.norm(v) > 0, F.transform(v, lambda x: (x / numbers.norm(v)).cast("float"))))[0]
+    counts = lambda found: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.size(F.filter(found, lambda s: s == k)).cast("double"))
+    scaled = lambda v, size: F.when(size > 0, F.transform(v, lambda x: (x / size).cast("float")))
+    return text.let(slots, lambda found: text.let(counts(found), lambda v: text.let(numbers.norm(v), lambda size: scaled(v, size))))
 
 
 def overlap_score(question: Column, passage: Column) -> Column:

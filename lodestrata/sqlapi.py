@@ -9,7 +9,7 @@ FUNCTIONS = {
     "bm25_tokens(t STRING) RETURNS ARRAY<STRING>": "regexp_extract_all(lower(t), '[a-z0-9]+(?:-[a-z0-9]+)*', 0)",
     "normalise_context(t STRING) RETURNS STRING": r"lower(regexp_replace(regexp_replace(t, '\\s+', ' '), '^\\s+|\\s+$', ''))",
     "normalise_item(t STRING) RETURNS STRING": r"lower(trim(regexp_replace(regexp_replace(t, '^\\s*\\d+(?:\\.\\d+)*[.)]?\\s+', ''), '\\s+', ' ')))",
-    "normalise_label(t STRING) RETURNS STRING": r"lower(regexp_replace(trim(regexp_replace(regexp_replace(t, '[()\\[\\]{}\\n]', ' '), '\\s+', ' ')), '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', ''))",
+    "normalise_label(t STRING) RETURNS STRING": r"lower(regexp_replace(trim(regexp_replace(regexp_replace(t, '[()\\[\\]{}\\n]', ' '), '\\s+', ' ')), '^[^\\p{L}\\p{M}\\p{N}]+|[^\\p{L}\\p{M}\\p{N}]+$', ''))",
     "leading_number(t STRING) RETURNS DOUBLE": r"try_cast(replace(regexp_extract(t, '(-?\\d[\\d,]*(?:\\.\\d+)?)', 1), ',', '') AS DOUBLE)",
 }
 
@@ -26,7 +26,7 @@ class Spans:
                 yield " ".join(tokens[start : start + size]), start, start + size
 
 
-#: Where a text may be cut, from the best place to the last resort.
+# Where a text may be cut, from the best place to the last resort.
 SEPARATORS = ["\n\n", "\n", ". ", "; ", ", ", " ", ""]
 
 
