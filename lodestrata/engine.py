@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import EngineConfig
 from .functions import text
-from .operators import context, facts, ground, library, rank, structure
+from .operators import context, facts, ground, library, rank, routing, structure
 from .plugins import Plugins
 from .scope import Scope
 from .sources.store import Store
 
+# Fixed value: what is said where the documents hold no answer.
+REFUSAL = "I don't know based on the available documents."
+
 
 class Engine:
     """All reads and writes of one user. Every verb takes and gives DataFrames; questions come in batches."""
@@ -24,6 +29,12 @@ class Engine:
         df = self.store.read(name)
         return None if df is None else self.scope.apply(df)
 
+    def _settled(self, df: DataFrame) -> DataFrame:
+        """``df`` written beside the tables and read again, so that what follows doesn't work it out anew."""
+        path = f"{self.store.root}/_work/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def chunk(self, pages: DataFrame) -> DataFrame:
         """Chunks of pages (source, page, text): sections by headings, packed to the token limit, linked."""
         lines = pages.select("source", "page", F.posexplode(F.split(text.clean_text(F.col("text")), "\n")).alias("line_no", "line")).filter(text.strip(F.col("line")) != "")
@@ -74,13 +85,22 @@ class Engine:
         spare = rank.reserve(pool, chosen, "chunk_id", self.config.reserve_slots)
         return rank.top(inside.unionByName(spare.drop("rank")), ["query_id"], [F.desc("fused"), "chunk_id"], k)
 
+    def plan(self, questions: DataFrame) -> DataFrame:
+        """Kind and retrieval profile of each question."""
+        return routing.plans(questions)
+
     def ask(self, questions: DataFrame, k: int = 4) -> DataFrame:
-        """query_id, fact, answer, citations for questions (query_id, text)."""
+        """query_id, fact, answer, action, citations for questions (query_id, text).
+
+        Figures and codes of an answer must stand in what it is based on: units that hold others
+        are pruned, or named in a note where pruning would lose what is supported, and an answer of
+        which nothing is left is withdrawn (``action`` says which).
+        """
         chunks, cells = self._table("chunks"), self._table("cells")
         hits = self.retrieve(questions, k).join(chunks.select("chunk_id", "page", "section_title", "text", "tokens"), "chunk_id")
         kept = context.fill(hits, "query_id", "rank", "tokens", self.config.context_tokens)
         asked = questions.select("query_id", F.col("text").alias("question"))
-        used = kept.join(asked, "query_id").withColumn("relevance", self.plugins.rerank(F.col("question"), F.col("text"))).filter("relevance > 0")
+        used = self._settled(kept.join(asked, "query_id").withColumn("relevance", self.plugins.rerank(F.col("question"), F.col("text"))).filter("relevance > 0"))
         quoted = ground.citations(used.withColumnRenamed("section_title", "section"), "query_id", "rank")
         gathered = quoted.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("citation_no", "source", "page", "section", "snippet"))).alias("citations"))
         out = asked.join(gathered, "query_id", "left")
@@ -91,18 +111,95 @@ class Engine:
         else:
             out = out.withColumn("fact", F.lit(None).cast("string"))
         answer = self.plugins.generate(F.col("fact"), F.transform(F.coalesce("citations", F.array()), lambda c: c["snippet"]))
-        refusal = F.lit("I don't know based on the available documents.")
-        return out.select("query_id", "fact", F.when(F.length(answer) > 0, answer).otherwise(refusal).alias("answer"), "citations")
+        out = self._settled(out)
+        said = out.select("query_id", "fact", F.when(F.length(answer) > 0, answer).otherwise(F.lit(REFUSAL)).alias("text"), "citations")
+        sources = used.select("query_id", "text").unionByName(out.filter("fact IS NOT NULL").select("query_id", F.col("fact").alias("text")))
+        bad = ground.unsupported(said.select("query_id", "text"), sources, "query_id").groupBy("query_id").agg(F.array_sort(F.collect_set("claim")).alias("claims"))
+        verdicts = ground.verdicts(said.select("query_id", "text"), sources, "query_id", judged=bad)
+        final = ground.enforce(said.select("query_id", "text"), sources, verdicts, "query_id", REFUSAL).select("query_id", F.col("text").alias("answer"), "action")
+        return said.select("query_id", "fact", "citations").join(final, "query_id").select("query_id", "fact", "answer", "action", "citations")
 
     def documents(self) -> DataFrame:
         return library.document_list(self._table("hashes").select("source"), self._table("chunks"), "source")
 
     def delete(self, sources: list[str]) -> None:
         gone = self.spark.createDataFrame([(self.scope.user_id, s) for s in sources], "user_id string, source string")
-        for name in ("chunks", "hashes"):
-            table = self.store.read(name)
-            if table is not None:
-                self.store.write(name, table.join(gone, ["user_id", "source"], "left_anti"))
+        self.store.delete_document(["chunks", "hashes"], gone, ["user_id", "source"])
+
+    # ------------------------------------------------------------ sessions
+
+    def start_session(self, title: str = "") -> str:
+        """A new session's id."""
+        session = uuid.uuid4().hex
+        row = self.spark.range(1).select(F.lit(session).alias("session_id"), F.lit(self.scope.user_id).alias("user_id"), F.lit(title).alias("title"), F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("last_document"), F.date_trunc("second", F.current_timestamp()).alias("created_at"))
+        self.store.replace("sessions", row, ["user_id", "session_id"])
+        return session
+
+    def say(self, messages: DataFrame) -> None:
+        """Appends messages (session_id, seq, role, content) to sessions of this user; others' are left out."""
+        own = self._table("sessions")
+        if own is None:
+            return
+        new = messages.withColumn("user_id", F.lit(self.scope.user_id)).withColumn("created_at", F.date_trunc("second", F.current_timestamp()))
+        allowed = new.join(own.select("session_id"), "session_id", "left_semi").select("user_id", "session_id", "seq", "role", "content", "created_at")
+        self.store.replace("messages", allowed, ["user_id", "session_id", "seq"])
+
+    def sessions(self, most: int | None = None) -> DataFrame:
+        """Sessions of this user, the last active first."""
+        own, said = self._table("sessions"), self._table("messages")
+        said = said if said is not None else own.select("session_id", "created_at").limit(0)
+        return library.sessions(own, said, most)
+
+    def messages(self, session: str) -> DataFrame:
+        """A session's messages in order."""
+        own, said = self._table("sessions").filter(F.col("session_id") == session), self._table("messages")
+        return library.session_messages(said, own, self.scope.user_id)
+
+    def remember(self, session: str, summary: str | None = None, last_document: str | None = None) -> None:
+        """Sets what is given of a session's memory and leaves the rest."""
+        own = self._table("sessions").filter(F.col("session_id") == session)
+        change = own.select("session_id", "user_id", F.lit(summary).cast("string").alias("summary"), F.lit(last_document).cast("string").alias("last_document"))
+        changed = library.update_sessions(own, change, ["summary", "last_document"])
+        self.store.replace("sessions", changed, ["user_id", "session_id"])
+
+    def end_session(self, session: str) -> None:
+        """Deletes a session with its messages."""
+        gone = self._table("sessions").filter(F.col("session_id") == session).select("user_id", "session_id")
+        said = self._table("messages")
+        if said is not None:
+            self.store.delete("messages", said.join(gone, ["user_id", "session_id"], "left_semi").select("user_id", "session_id", "seq"), ["user_id", "session_id", "seq"])
+        self.store.delete("sessions", gone, ["user_id", "session_id"])
+
+    # ------------------------------------------------------------ evaluation
+
+    def record_run(self, results: DataFrame, modes: DataFrame, threshold: float = 0.75) -> str:
+        """Scores results (see ``library.scored``), keeps them as a run and gives its id."""
+        run = self.spark.range(1).select(library.run_id(F.current_timestamp()).alias("r")).first()["r"] + "-" + uuid.uuid4().hex[:6]
+        rows = library.scored(results, modes, threshold).withColumn("user_id", F.lit(self.scope.user_id)).withColumn("run_id", F.lit(run))
+        self.store.replace("runs", rows, ["user_id", "run_id"])
+        return run
+
+    def runs(self) -> DataFrame:
+        """Totals of every run of this user, the newest first."""
+        return library.summary(self._table("runs"), ["run_id"]).orderBy(F.desc("run_id"))
+
+    def run_results(self, run: str | None = None) -> DataFrame:
+        """Results of a run, of the latest one if none is named."""
+        rows = self._table("runs")
+        wanted = library.latest_runs(rows.select("user_id", "run_id").distinct()).select("run_id") if run is None else self.spark.createDataFrame([(run,)], "run_id string")
+        return rows.join(wanted, "run_id", "left_semi")
+
+    def by_category(self, run: str | None = None) -> DataFrame:
+        return library.weakest_first(library.summary(self.run_results(run), ["category"]))
+
+    def failures(self, run: str | None = None) -> DataFrame:
+        return self.run_results(run).filter(~F.col("passed"))
+
+    def calibration(self, run: str | None = None) -> DataFrame:
+        return library.calibration(self.run_results(run), "passed")
+
+    def delete_run(self, run: str) -> None:
+        self.store.delete("runs", self.spark.createDataFrame([(self.scope.user_id, run)], "user_id string, run_id string"), ["user_id", "run_id"])
 
     def stats(self) -> DataFrame:
         return library.collection_stats(self._table("chunks"))
