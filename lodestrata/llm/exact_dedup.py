@@ -7,7 +7,8 @@ name that two contents share get an ordinal besides. A document's recipe is the
 of its identifiers, and documents are equal exactly when their recipes are. Chunk bytes are
 moved once, each distinct one once per map task; after that only recipes move.
 
-Defined cases: a null text counts as empty; all empty texts are equal (an empty recipe); a null
+Defined cases: a null text counts as empty; very long texts are cut like others; other columns,
+whatever their names, are carried along and never read; all empty texts are equal (an empty recipe); a null
 id is smaller than any other; of rows that agree in id and text one stays; an empty table gives
 an empty table.
 """

@@ -9,7 +9,7 @@ a chi-square limit.
 The concentration steps never bring a group together: a step counts documents by group and by
 bin of distance, with the sums that mean and covariance need, and adds up the bins of each
 group from the centre outwards until they hold ``share`` of it. Steps are repeated until no
-group's centre or determinant moves any more. A group with few documents takes the estimates of its
+group's centre or determinant moves any more, ``STEPS`` at most. A group with few documents takes the estimates of its
 language, a language with few those of all.
 
 Defined cases: a null text has no words and fails; very long texts are counted whole; null
@@ -34,7 +34,7 @@ SYMBOLS = "#*$%&|<>"
 #: if 46 percent of the lines are repeats, or there is a symbol to every 17 words.
 FEATURES = ["f_word", "f_symbol", "f_lines", "f_repeat"]
 FLOORS = {"f_word": 0.04, "f_symbol": 0.05, "f_lines": 0.14, "f_repeat": 0.16}
-STEPS, SHARE, LEAST, STILL = 12, 0.5, 60, 1e-6
+STEPS, SHARE, LEAST, STILL = 6, 0.5, 60, 1e-6
 #: Chi-square with 4 degrees of freedom: 0.9999 quantile. The covariance of the closest SHARE of a
 #: normal sample is too small by the factor P(chi2_6 <= q) / SHARE, q the SHARE quantile.
 LIMIT, SHRINKAGE = 23.51, 0.2371 / 0.5

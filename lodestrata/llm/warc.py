@@ -15,7 +15,8 @@ SHA-256; the digest written is the SHA-1 that the format has by custom.
 
 Defined cases: a null payload counts as empty; a null url leaves its header out; a null id sorts
 before any other; rows that agree in id and payload are all responses if theirs is the smallest
-id; control characters in urls are percent-encoded; an empty table gives an empty index.
+id; very long payloads are one record each; ids are whole numbers or strings; other columns, whatever
+their names, aren't read, and the index has names of its own; control characters in urls are percent-encoded; an empty table gives an empty index.
 """
 
 from __future__ import annotations

@@ -1,4 +1,6 @@
+import re
 import time
+from html.parser import HTMLParser
 
 import pytest
 from hypothesis import given, settings
@@ -138,6 +140,35 @@ def test_table(spark):
     assert extract(pages.limit(0)).count() == 0
 
 
+class Plain(HTMLParser):
+    """Words of a page by another library's tokenizer: all but what scripts, styles, the head and hidden elements hold."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.words, self.off = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "title", "noscript", "template"):
+            self.off += 1
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "title", "noscript", "template"):
+            self.off -= 1
+
+    def handle_data(self, data):
+        if not self.off:
+            self.words += re.findall(r"[^\s|]+", data)
+
+
+def test_every_visible_word_of_the_pages_in_order(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        other = Plain()
+        other.feed(r.html or "")
+        other.close()
+        text = re.sub(r"(?m)^ *(?:- |\d+\. )", "", visible_text(r.html))
+        assert "".join(re.findall(r"[^\s|]+", text)) == "".join(other.words), r.page_id
+
+
 def test_pages_lose_scripts_and_keep_paragraphs(spark):
     for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
         text = visible_text(r.html)

@@ -52,10 +52,21 @@ def test_ids_equal_the_other_library(documents, odd):
     texts = [r.text or "" for d in (documents, odd) for r in d.select("text").collect()]
     texts += ["<|endoftext|> in a text", "a b c", "don't  stop\n\n\n now", "x" * 3000, " " * 500]
     for t in texts:
-        if len(t) < 100_000:
+        if len(t) < 400_000:
             assert packing.token_ids(t, PATH).tolist() == exact.encode(t, add_special_tokens=False).ids
 
 
+def test_both_libraries_serve_any_length(monkeypatch, documents):
+    texts = [r.text or "" for r in documents.limit(40).collect()] + ["été \U0001f600 " * 300]
+    fast = [packing.token_ids(t, PATH).tolist() for t in texts]
+    monkeypatch.setattr(packing, "FAST_UP_TO", 1)
+    assert [packing.token_ids(t, PATH).tolist() for t in texts] == fast
+    monkeypatch.setattr(packing, "FAST_UP_TO", 1_000_000)
+    long_text = "".join(f"w{k % 977} " for k in range(210_000))
+    assert len(long_text) > packing.FAST_UP_TO
+    assert packing.token_ids(long_text, PATH).tolist()[:50_000] == packing.token_ids(long_text[:300_000], PATH).tolist()[:50_000]
+
+
 def check(docs, out):
     rows = docs.select("doc_id", "text").collect()
     ids = {}

@@ -24,6 +24,35 @@ def test_held_out_accuracy_and_labels_left_alone(spark):
     assert np.mean([s >= 0.3 for s in good]) > 0.97
 
 
+def test_scores_match_brute_force(spark, documents):
+    """Sums, shrinkage, prior and densities rebuilt from the statistics with numpy's own inverse and determinant."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rows = documents.select("doc_id", "text").collect()
+    x = qc.statistics(pa.array([r.text for r in rows]))
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    train = [k for k, r in enumerate(rows) if r.doc_id in known and zlib.crc32(str(r.doc_id).encode()) % 5]
+    parts = [x[[k for k in train if known[rows[k].doc_id] == c]] for c in (0, 1)]
+    own = [np.cov(p.T, bias=True) for p in parts]
+    n = [len(p) for p in parts]
+    pooled = (n[0] * own[0] + n[1] * own[1]) / sum(n)
+    spread = np.diag(np.maximum(np.diag(pooled), 1e-6))
+    density = []
+    for c in (0, 1):
+        cov = 0.95 * (0.8 * own[c] + 0.2 * pooled) + 0.05 * spread + 1e-9 * np.eye(len(spread))
+        d = x - parts[c].mean(0)
+        density.append(np.log(n[c] / sum(n)) - 0.5 * (np.linalg.slogdet(cov)[1] + np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)))
+    want = dict(zip([r.doc_id for r in rows], 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700))), strict=True))
+    got = {r.doc_id: r.score for r in qc.classify(documents, labels).collect()}
+    assert min(n) > 5 and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_long_texts_are_counted_in_segments(monkeypatch, documents):
+    texts = pa.array([r.text for r in documents.select("text").limit(30).collect()])
+    whole = qc.statistics(texts)
+    monkeypatch.setattr(qc, "SEGMENT", 1000)
+    assert np.allclose(qc.statistics(texts), whole)
+
+
 def test_changed_held_out_labels_change_nothing(spark, documents):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     turned = labels.withColumn("quality", __import__("pyspark").sql.functions.when(qc.held_out("doc_id"), 1 - labels.quality).otherwise(labels.quality))
