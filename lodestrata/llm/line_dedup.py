@@ -6,7 +6,8 @@ one is covered, and a line goes if any covered window lies over it. What is coun
 per window; a hot window meets others as a partial minimum, and its later occurrences are found
 by a join that can split it.
 
-Defined cases: lines without a word are in no window and stay; texts of fewer than three lines
+Defined cases: lines without a word are in no window and stay; very long texts are read whole; other
+columns, whatever their names, are packed and never read; texts of fewer than three lines
 with words have no window; a null text gives null; rows that agree in id and text are the same
 document, so they aren't repeats of each other; a null id comes before any other; an empty
 table gives an empty table.

@@ -61,7 +61,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, buckets_for, digest, drop_rows, is_empty, mix64, shingles, slices, small, text_bytes, text_or_empty
+from .common import Scratch, beside, buckets_for, digest, drop_rows, is_empty, materialise, mix64, shingles, slices, small, text_bytes, text_or_empty
 from .components import merged
 
 WORDS, SIMILAR = 5, 0.8
@@ -363,8 +363,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, one of each class, with their columns."""
     groups = near_groups(docs, id_col=id_col, text_col=text_col, **options)
     # of the rows with the least id of a class, those with the least text stay, and one of these
-    firsts = groups.filter("kept").groupBy("_label").agg(F.min("_digest").alias("_keep"))
-    of_row = groups.filter("class_size > 1").groupBy(F.col(id_col).alias("_id"), "_label", "_digest", "kept").agg(F.count("*").alias("_copies"))
+    many = groups.filter("class_size > 1")
+    firsts = materialise(many.filter("kept").groupBy(F.col("_label").alias("_class")).agg(F.min("_digest").alias("_keep")), "firsts")
+    of_row = materialise(many.groupBy(F.col(id_col).alias("_id"), "_label", "_digest", "kept").agg(F.count("*").alias("_copies")), "members")
     first = F.col("kept") & (F.col("_digest") == F.col("_keep"))
-    gone = of_row.join(firsts, "_label").withColumn("_stay", first.cast("int")).filter("_copies > _stay")
+    gone = beside(of_row, firsts, F.col("_label") == F.col("_class")).withColumn("_stay", first.cast("int")).filter("_copies > _stay")
     return drop_rows(docs, gone, id_col, text_col)
