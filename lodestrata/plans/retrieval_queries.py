@@ -23,12 +23,14 @@ def _questions(spark: SparkSession) -> DataFrame:
 
 _TOKENS = r"regexp_extract_all(lower(text), '[a-z0-9]+(?:-[a-z0-9]+)*')"
 _BM25 = rf"""
-    tokens AS (SELECT doc_id, len({_TOKENS}) AS dl, unnest({_TOKENS}) AS term FROM documents),
-    counts AS (SELECT doc_id, dl, term, count(*) AS tf FROM tokens GROUP BY ALL),
-    stats AS (SELECT count(*) AS n, avg(len({_TOKENS})) AS avgdl FROM documents),
+    lists_of AS MATERIALIZED (SELECT doc_id, {_TOKENS} AS l FROM documents),
+    tokens AS MATERIALIZED (SELECT doc_id, len(l) AS dl, unnest(l) AS term FROM lists_of),
+    counts AS MATERIALIZED (SELECT doc_id, dl, term, count(*) AS tf FROM tokens GROUP BY ALL),
+    stats AS MATERIALIZED (SELECT count(*) AS n, avg(len({_TOKENS})) AS avgdl FROM documents),
     dfs AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
-    raws AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, stats),
-    idfs AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
+    raws AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, stats),
+    mean AS MATERIALIZED (SELECT avg(raw) AS m FROM raws),
+    idfs AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raws, mean)"""
 _SCORES = rf"""
     questions(query_id, text) AS (VALUES {_VALUES}),
     asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOKENS}) AS term FROM questions) GROUP BY ALL),
