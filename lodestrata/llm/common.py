@@ -139,6 +139,25 @@ def beside(rows: DataFrame, keyed: DataFrame, condition: Column, salts: int = 64
     return salted.join(spread, condition & (F.col("_salt") == F.col("_salted"))).drop("_salt", "_salted")
 
 
+#: Rows that ask for one key beyond which its answer is sent to them.
+OFTEN = 100_000
+
+
+def looked_up(rows: DataFrame, key: str, keyed: DataFrame, on: str, asked: str, often: int = OFTEN) -> DataFrame:
+    """``rows`` joined to ``keyed``, a written table with a row for each key ``on``, without its column ``asked``.
+
+    ``asked`` says how many of ``rows`` have that key. Keys of more than ``often`` rows, which are
+    few for that reason, go to the rows by ``beside``; the others meet theirs by a shuffle that no
+    key can fill.
+    """
+    same, answer = F.col(key) == F.col(on), keyed.drop(asked)
+    hot = keyed.filter(F.col(asked) > often).drop(asked)
+    if is_empty(hot):
+        return rows.join(answer, same).drop(on)
+    rest = rows.join(small(hot.select(on)), same, "left_anti")
+    return beside(rows, hot, same).drop(on).unionByName(rest.join(keyed.filter(F.col(asked) <= often).drop(asked), same).drop(on))
+
+
 def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` but for those in ``gone(_id, _digest, _stay)``; texts move only if ``gone`` is large.
 

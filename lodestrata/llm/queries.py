@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, line_dedup, minhash_dedup, mixing, packing, pii, quality_classifier, quality_rules, token_counts, warc
+from . import alignment, exact_dedup, html_text, line_dedup, minhash_dedup, mixing, packing, pii, quality_classifier, quality_rules, token_counts, warc
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-_ALL = (op1_quality_classifier, op2_pii, op3_line_dedup, op4_quality_rules, op5_exact_dedup, op6_packing, op7_warc, op8_html_extraction, op9_mixing, op10_minhash_dedup, op11_token_counts)
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
+_ALL = (op1_quality_classifier, op2_pii, op3_line_dedup, op4_quality_rules, op5_exact_dedup, op6_packing, op7_warc, op8_html_extraction, op9_mixing, op10_minhash_dedup, op11_token_counts, op13_tokenizer_alignment)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE = {
