@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, exact_dedup, html_text, line_dedup, minhash_dedup, mixing, packing, pii, quality_classifier, quality_rules, token_counts, warc
+from . import alignment, exact_dedup, html_text, line_dedup, minhash_dedup, mixing, packing, pii, prefix_trie, quality_classifier, quality_rules, token_counts, warc
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,11 +61,16 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, members = prefix_trie.replanted(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(turns, members).drop("preorder", "subtree_end", "symbol")
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
 
 
-_ALL = (op1_quality_classifier, op2_pii, op3_line_dedup, op4_quality_rules, op5_exact_dedup, op6_packing, op7_warc, op8_html_extraction, op9_mixing, op10_minhash_dedup, op11_token_counts, op13_tokenizer_alignment)
+_ALL = (op1_quality_classifier, op2_pii, op3_line_dedup, op4_quality_rules, op5_exact_dedup, op6_packing, op7_warc, op8_html_extraction, op9_mixing, op10_minhash_dedup, op11_token_counts, op12_prefix_trie, op13_tokenizer_alignment)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE = {
@@ -119,4 +124,39 @@ ORACLE = {
                round(('0x' || substr(md5('mix-1:place:' || doc_id || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0, 9) AS place
         FROM copies
     """,
+    "op12_prefix_trie": """
+        WITH turns AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS txt,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS d
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        convs AS (
+            SELECT c, n, xor(list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda b, k: xor(b >> 1, 3988292384::BIGINT * (b & 1)))
+            ), 4294967295::BIGINT) % 6 AS h
+            FROM (SELECT c, max(d) AS n FROM turns GROUP BY c)
+        ),
+        heads AS (SELECT v.c, v.h, v.n, least(v.h, coalesce(b.n, 0)) AS k FROM convs v LEFT JOIN convs b ON b.c = v.c - v.c % 100),
+        rebuilt AS (
+            SELECT h.c, k + d - h.h AS d, role, txt FROM heads h JOIN turns t ON t.c = h.c AND t.d > h.h
+            UNION ALL
+            SELECT h.c, d, role, txt FROM heads h JOIN turns t ON t.c = h.c - h.c % 100 AND t.d <= h.h
+        ),
+        paths AS (SELECT h.c, coalesce(list({'r': role, 't': txt} ORDER BY d) FILTER (WHERE d IS NOT NULL), []) AS path FROM heads h LEFT JOIN rebuilt r ON r.c = h.c GROUP BY h.c),
+        steps AS (SELECT c, path, unnest(range(0, len(path) + 1)) AS d FROM paths),
+        nodes AS (
+            SELECT path[1:d] AS node, d, min(c) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len(path) = d), '')) AS ends_sha256
+            FROM steps GROUP BY ALL
+        ),
+        kept AS (
+            SELECT n.*, p.conv_id AS parent_conv_id, coalesce(k.n_children, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n.n_convs - 1) * length(n.node[n.d].t) END AS own
+            FROM nodes n LEFT JOIN nodes p ON n.d = p.d + 1 AND n.node[1:n.d - 1] = p.node
+            LEFT JOIN (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL) k ON n.node = k.node
+        ),
+        above AS (SELECT node[1:a] AS node, n_children, own FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM kept)),
+        sums AS (SELECT node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM above GROUP BY node)
+        SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM kept JOIN sums USING (node)
+    """,
 }
