@@ -71,3 +71,59 @@ def test_runs_are_scored_and_listed(spark, tmp_path):
     assert [r.id for r in engine.failures(run).collect()] == ["q2"]
     engine.delete_run(run)
     assert engine.runs().count() == 0
+
+
+def _rows(df):
+    df = df.select(*[c for c in ("user_id", "k", "v") if c in df.columns])
+    return sorted(map(tuple, df.collect()))
+
+
+def test_a_delta_committed_during_compaction_stays_in_force(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    frame = lambda rows: spark.createDataFrame(rows, "user_id string, k string, v int")
+    store.write("t", frame([("u", "a", 1), ("u", "b", 2), ("u", "c", 3)]))
+    store.replace("t", frame([("u", "b", 5)]), ["user_id", "k"])
+    save, busy = store._save, []
+
+    def meanwhile(name, df, kind):
+        folder = save(name, df, kind)
+        if not busy:
+            busy.append(True)
+            store.replace("t", frame([("u", "a", 9)]), ["user_id", "k"])
+            store.delete("t", frame([("u", "c", 0)]).select("user_id", "k"), ["user_id", "k"])
+        return folder
+
+    store._save = meanwhile
+    store.compact("t")
+    store._save = save
+    assert _rows(store.read("t")) == [("u", "a", 9), ("u", "b", 5)]
+    store.compact("t")
+    assert _rows(store.read("t")) == [("u", "a", 9), ("u", "b", 5)] and len(store._commits("t")) == 1
+
+
+def test_a_torn_commit_is_passed_over(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.write("t", spark.createDataFrame([("u", 1)], "user_id string, v int"))
+    (tmp_path / "t" / "_log" / "000000000002.json").write_text('{"kind": "del')
+    assert _rows(store.read("t")) == [("u", 1)]
+    store.replace("t", spark.createDataFrame([("u", 2)], "user_id string, v int"), ["user_id"])
+    assert _rows(store.read("t")) == [("u", 2)]
+
+
+def test_vacuum_removes_what_no_reader_needs(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for v in range(3):
+        store.replace("t", spark.createDataFrame([("u", v)], "user_id string, v int"), ["user_id"])
+    assert store.vacuum("t", 1) == 0
+    store.compact("t")
+    assert store.vacuum("t", 0) > 0
+    assert _rows(store.read("t")) == [("u", 2)]
+    assert len(list((tmp_path / "t" / "_log").glob("*.json"))) == 1 and len(list((tmp_path / "t" / "rows").iterdir())) == 1
+    assert store.vacuum("t", 0) == 0
+
+
+def test_layout_gives_folders(spark, tmp_path):
+    store = Store(spark, str(tmp_path), {"t": ["bucket"]})
+    store.write("t", spark.createDataFrame([(1, "a"), (2, "b")], "bucket int, v string"))
+    assert _rows(store.read("t").filter("bucket = 2").select("v")) == [("b",)]
+    assert len(store.read("t").filter("bucket = 2").inputFiles()) >= 1 and list((tmp_path / "t" / "rows").rglob("bucket=2"))
