@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import looked_up, materialise, slices, text_or_empty
-from .packing import _byte_letters
+from .packing import FAST_UP_TO, _byte_letters, encoders
 
 #: Bytes of text in a block, and of those encoded in one go.
 BLOCK, PART = 1 << 22, 1 << 18
@@ -45,14 +45,20 @@ _SPAN = re.compile(rb"[^|]*\|")
 
 
 class Aligner:
-    """Both vocabularies: A is byte-level (``tokenizers``), B has pieces with byte fallback (``sentencepiece``)."""
+    """Both vocabularies: A is byte-level, B has pieces with byte fallback (``sentencepiece``).
+
+    A's ids come from the faster of two libraries with the same vocabulary and merges (see
+    ``packing``), from ``tokenizers`` where a text is too long for that one; tests hold both
+    against each other.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.fast = encoders(path_a)[0]
+        self.exact = Tokenizer.from_file(path_a)
+        self.exact.encode_special_tokens = True  # their strings in a text are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         with open(path_a, encoding="utf-8") as f:
             spec = json.load(f)
@@ -61,6 +67,8 @@ class Aligner:
         self.bytes_a = [words.get(k, b"") for k in range(max(words) + 1)]
         self.bytes_b = [self._piece(k) for k in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(x) for x in of], np.int64) for of in (self.bytes_a, self.bytes_b))
+        # an id as it is written in a group: with what follows it there
+        self.inner, self.last_a, self.last_b = (np.array([f"{k}{c}" for k in range(max(len(self.bytes_a), len(self.bytes_b)))], object) for c in ",|;")
 
     def _piece(self, k: int) -> bytes:
         piece = self.b.id_to_piece(k)
@@ -68,18 +76,36 @@ class Aligner:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int], bytes] | None]:
-        """Ids of A, ids of B and the bytes of space and text; None where there is no text or the tokens don't give it back."""
+    def ids_a(self, text: str) -> np.ndarray:
+        if len(text) < FAST_UP_TO:
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+            except (ValueError, OverflowError):  # no stack left, or a character that it can't take
+                pass
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.int64)
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of A and of B for each text; None where there is no text or the tokens don't give back space and text."""
         there = [k for k, text in enumerate(texts) if text]
-        given = [texts[k] for k in there]
         out: list = [None] * len(texts)
-        for k, text, a, b in zip(there, given, self.a.encode_batch_fast([" " + t for t in given], add_special_tokens=False), self.b.encode(given, num_threads=1), strict=True):
-            whole = b" " + text.encode()
-            ids = a.ids
-            if b"".join([self.bytes_a[x] for x in ids]) == whole and b"".join([self.bytes_b[x] for x in b]) == whole:
-                out[k] = ids, b, whole
+        for k, b in zip(there, self.b.encode([texts[k] for k in there], num_threads=1), strict=True):
+            whole = " " + texts[k]
+            a, given = self.ids_a(whole), whole.encode()
+            # tokens of A are stretches of the text itself, so their bytes are the text's if they are as many
+            if b"".join(map(self.bytes_b.__getitem__, b)) == given and int(self.size_a[a].sum()) == len(given):
+                out[k] = a, np.array(b, np.int64)
         return out
 
+    def written(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> str:
+        """The groups as text: ids of A, then of B, comma-joined; ``sizes``: tokens of A and of B in each."""
+        ends_a, ends_b = sizes.cumsum(0).T
+        words_a, words_b = self.inner[a], self.inner[b]
+        words_a[ends_a - 1], words_b[ends_b - 1] = self.last_a[a[ends_a - 1]], self.last_b[b[ends_b - 1]]
+        out = np.empty(len(a) + len(b), object)
+        out[np.arange(len(a)) + np.repeat(ends_b - sizes[:, 1], sizes[:, 0])] = words_a
+        out[np.arange(len(b)) + np.repeat(ends_a, sizes[:, 1])] = words_b
+        return "".join(out.tolist())[:-1]
+
 
 @functools.lru_cache(maxsize=2)
 def aligner(path_a: str, path_b: str) -> Aligner:
@@ -95,10 +121,24 @@ def labels(ends_a: np.ndarray, ends_b: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def group_sizes(label: bytes) -> list[tuple[int, int]]:
+class _Sizes(dict):
+    """Tokens of A (times 2^32) and of B that end in a span of labels; spans of the common shapes are counted once."""
+
+    def __missing__(self, span: bytes) -> int:
+        out = (span.count(b"a") + 1 << 32) + span.count(b"b") + 1
+        if len(span) <= 32 and len(self) < 1 << 16:
+            self[span] = out
+        return out
+
+
+_SIZES = _Sizes()
+
+
+def group_sizes(label: bytes) -> np.ndarray:
     """Tokens of A and of B in each group: the labels of the spans up to each both-label."""
-    a, b = b"a", b"b"
-    return [(span.count(a) + 1, span.count(b) + 1) for span in _SPAN.findall(label)]
+    spans = _SPAN.findall(label)
+    both = np.fromiter(map(_SIZES.__getitem__, spans), np.int64, len(spans))
+    return np.stack((both >> 32, both & 0xFFFFFFFF), 1)
 
 
 def _expand(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -108,7 +148,10 @@ def _expand(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def _distinct(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct ids of each group and how often each occurs, in order of group."""
-    key, n = np.unique((group << SHIFT) + ids, return_counts=True)
+    key = np.sort((group << SHIFT) + ids, kind="stable")  # nearly in order as it is
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    n = np.diff(np.append(first, len(key)))
+    key = key[first]
     return key >> SHIFT, key & ((1 << SHIFT) - 1), n
 
 
@@ -136,14 +179,8 @@ def _aligned(path_a: str, path_b: str):
                     if found is None:
                         docs.append([0, 0, 0, 0, ""])
                         continue
-                    a, b, _ = found
-                    one, two = np.array(a, np.int64), np.array(b, np.int64)
-                    sizes = group_sizes(labels(np.cumsum(both.size_a[one]), np.cumsum(both.size_b[two])))
-                    text_a, text_b, parts, x, y = list(map(str, a)), list(map(str, b)), [], 0, 0
-                    for n, m in sizes:
-                        parts.append(f"{text_a[x]}|{text_b[y]}" if n == m == 1 else f"{','.join(text_a[x : x + n])}|{','.join(text_b[y : y + m])}")
-                        x, y = x + n, y + m
-                    of = np.array(sizes, np.int64)
+                    one, two = found
+                    of = group_sizes(labels(np.cumsum(both.size_a[one]), np.cumsum(both.size_b[two])))
                     numbers = np.arange(opened, opened + len(of))
                     ga.append(np.repeat(numbers, of[:, 0]))
                     gb.append(np.repeat(numbers, of[:, 1]))
@@ -151,15 +188,16 @@ def _aligned(path_a: str, path_b: str):
                     ib.append(two)
                     owner.append(np.full(len(of), k))
                     opened += len(of)
-                    docs.append([len(a), len(b), len(of), int((of[:, 0] * of[:, 1]).sum()), hashlib.sha256(";".join(parts).encode()).hexdigest()])
+                    docs.append([len(one), len(two), len(of), int((of[:, 0] * of[:, 1]).sum()), hashlib.sha256(both.written(one, two, of).encode()).hexdigest()])
                 pairs, held, at, times, cut = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(batch.num_rows + 1, np.int64)
                 if opened:
                     group, pair, n = links(*map(np.concatenate, (ga, ia, gb, ib)))
-                    doc = np.concatenate(owner)[group]
-                    order = np.lexsort((pair, doc))
-                    doc, pair, n = doc[order], pair[order], n[order]
-                    first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1]))))
-                    doc, pair, times = doc[first], pair[first], np.add.reduceat(n, first)
+                    key = (np.concatenate(owner)[group] << 2 * SHIFT) + pair  # a block's documents are fewer than 2^23
+                    order = np.argsort(key, kind="stable")
+                    key, n = key[order], n[order]
+                    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                    key, times = key[first], np.add.reduceat(n, first)
+                    doc, pair = key >> 2 * SHIFT, key & ((1 << 2 * SHIFT) - 1)
                     pairs, at, held = np.unique(pair, return_inverse=True, return_counts=True)
                     at, cut = at.astype("<i4"), np.searchsorted(doc, np.arange(batch.num_rows + 1))
                 rows = [(*d, at[cut[k] : cut[k + 1]].tobytes(), times[cut[k] : cut[k + 1]].astype("<i8").tobytes()) for k, d in enumerate(docs)]
