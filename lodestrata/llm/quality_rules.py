@@ -12,9 +12,9 @@ words of that kind stood beside them.
 
 The concentration steps never bring a group together: a step counts vectors by group and by
 bin of distance, with the sums that mean and covariance need, and adds up the bins of each
-group from the centre outwards until they hold ``share`` of it. Steps are repeated until no
-group's centre or determinant moves any more; should groups still move after ``STEPS``, by how
-much is logged as a warning. A group with few distinct vectors takes the estimates of its language, a
+group from the centre outwards until they hold ``share`` of it, the last bin in part. A group is
+done when a step doesn't lower the determinant of its covariance any more (``STILL`` of its
+logarithm), and keeps the least; steps go on with the other groups until all are done. A group with few distinct vectors takes the estimates of its language, a
 language with few those of all, and a corpus with few isn't judged by distance.
 
 Defined cases: a null text has no words and fails; very long texts are counted whole; null
@@ -26,12 +26,12 @@ columns, whatever their names, aren't read; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import logging
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, beside, digest, drop_rows, let, materialise, text_or_empty
+from .common import SPACE, Scratch, beside, digest, drop_rows, is_empty, let, materialise, text_or_empty
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -41,7 +41,7 @@ FEATURES = ["f_word", "f_mark", "f_distinct"]
 FEW = 50
 #: Share of a statistic's variance over all distinct vectors that a group's is at least.
 SINGULAR = 1e-6
-STEPS, SHARE, LEAST, STILL = 60, 0.5, 60, 1e-6
+SHARE, LEAST, STILL = 0.5, 60, 1e-4
 #: Chi-square with 3 degrees of freedom: 0.9999 quantile. The covariance of the closest SHARE of a
 #: normal sample is too small by the factor P(chi2_5 <= q) / SHARE, q the SHARE quantile of chi2_3.
 LIMIT, SHRINKAGE = 21.11, 0.2035 / 0.5
@@ -218,16 +218,11 @@ def _drawn(rows: DataFrame) -> DataFrame:
     return rows.withColumns({a: F.col(f"o_{a}") + weight * (F.col(a) - F.col(f"o_{a}")) for a in FEATURES})
 
 
-def _moved(before: DataFrame, after: DataFrame) -> float:
-    """By how much any group's log determinant, or its centre in standard deviations, has changed."""
-    log_det = sum((F.log(f"l_{a}_{a}") for a in FEATURES), F.lit(0.0))
-    left = before.select("_group", log_det.alias("d"), *[F.col(f"m_{a}").alias(f"x_{a}") for a in FEATURES])
-    right = after.select(F.col("_group").alias("_of"), log_det.alias("e"), *[F.col(f"m_{a}").alias(f"y_{a}") for a in FEATURES], *[F.col(f"l_{a}_{a}").alias(f"z_{a}") for a in FEATURES])
-    moves = [F.abs(F.col("d") - F.col("e")), *[F.abs(F.col(f"x_{a}") - F.col(f"y_{a}")) / F.col(f"z_{a}") for a in FEATURES]]
-    return left.join(right, F.col("_group") == F.col("_of")).agg(F.max(F.greatest(*moves))).first()[0] or 0.0
+def _log_det() -> Column:
+    return sum((F.log(f"l_{a}_{a}") for a in FEATURES), F.lit(0.0)) * 2
 
 
-def _concentrate(rows: DataFrame, now: DataFrame, floors: dict[str, float], share: float) -> DataFrame:
+def _concentrate(scratch: Scratch, rows: DataFrame, now: DataFrame, floors: dict[str, float], share: float) -> DataFrame:
     """One step: estimates from the ``share`` of each group that is closest under the present ones.
 
     What is brought together is a row of sums for each group and bin of distance, however large
@@ -235,17 +230,20 @@ def _concentrate(rows: DataFrame, now: DataFrame, floors: dict[str, float], shar
     """
     near = _distance(_with_model(rows, now)).withColumn("_bin", F.floor(F.log2(F.greatest("d2", F.lit(2.0**LOW))) * BINS).cast("int"))
     # written out, so that the sums of a bin meet by group and bin, and only a row for each bin meets by group
-    bins = materialise(near.groupBy("_group", "_bin").agg(*_sums()), "bins")
+    bins = scratch.table(near.groupBy("_group", "_bin").agg(*_sums()), "bins")
     outwards = Window.partitionBy("_group").orderBy("_bin")
     whole = Window.partitionBy("_group")
     names = ["n", *[f"s_{a}" for a in FEATURES], *[f"s_{a}_{b}" for a, b in _pairs()]]
-    run = bins.select("_group", "_bin", F.sum("n").over(whole).alias("_all"), *[F.sum(c).over(outwards).alias(c) for c in names])
-    enough = run.filter(F.col("n") >= share * F.col("_all"))
-    first = enough.withColumn("_k", F.row_number().over(outwards)).filter("_k = 1")
-    return _estimates(first, floors, SHRINKAGE)
+    run = bins.select("_group", "_bin", F.sum("n").over(whole).alias("_all"), *[F.col(c).alias(f"_of_{c}") for c in names], *[F.sum(c).over(outwards).alias(c) for c in names])
+    first = run.filter(F.col("n") >= share * F.col("_all")).withColumn("_k", F.row_number().over(outwards)).filter("_k = 1")
+    beyond = (F.col("n") - share * F.col("_all")) / F.col("_of_n")  # the part of the last bin that isn't needed
+    inner = first.select("_group", *[(F.col(c) - beyond * F.col(f"_of_{c}")).alias(c) for c in names])
+    out = scratch.table(_estimates(inner, floors, SHRINKAGE).withColumn("_det", _log_det()), "step")
+    scratch.drop(bins)
+    return out
 
 
-def group_models(stats: DataFrame, steps: int = STEPS, share: float = SHARE, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def group_models(stats: DataFrame, share: float = SHARE, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """The rows of ``stats`` with their group (null: too few vectors for any), and the estimates of each group."""
     vectors = materialise(stats.select("lang", "source", "n_words", *FEATURES).distinct(), "vectors")
     sizes = vectors.groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -265,18 +263,23 @@ def group_models(stats: DataFrame, steps: int = STEPS, share: float = SHARE, lea
     rows = with_level(vectors).select(F.explode(F.array_compact(F.array(*groups))).alias("_group"), "n_words", *FEATURES)
     spread = _spread(vectors)
     floors = {a: SINGULAR * v for a, v in spread.items()}
-    start = materialise(_medians(rows, spread, floors), "start")
-    drawn = materialise(_drawn(_with_model(rows, start.select("_group", *[f"o_{a}" for a in FEATURES]))).select("_group", *FEATURES), "drawn")
-    now, move = start, 0.0
-    for k in range(steps):
-        before, now = now, materialise(_concentrate(drawn, now, floors, share), f"step{k}")
-        move = _moved(before, now)
-        if move < STILL:
+    scratch = Scratch(stats.sparkSession)
+    start = scratch.table(_medians(rows, spread, floors), "start")
+    drawn = scratch.table(_drawn(_with_model(rows, start.select("_group", *[f"o_{a}" for a in FEATURES]))).select("_group", *FEATURES), "drawn")
+    steps, moving = [], start
+    while True:
+        steps.append(_concentrate(scratch, drawn, moving, floors, share))
+        moving = steps[-1]
+        if len(steps) > 1:  # the start is no estimate of this kind
+            before = steps[-2].select(F.col("_group").alias("_of"), F.col("_det").alias("_was"))
+            moving = moving.join(before, F.col("_group") == F.col("_of")).filter(F.col("_det") < F.col("_was") - STILL).select(*steps[-1].columns)
+        if is_empty(moving):
             break
-    else:
-        logging.getLogger(__name__).warning("after %d steps a group still moves by %g", steps, move)
+    best = reduce(DataFrame.unionByName, steps).groupBy("_group").agg(F.min_by(F.struct(*[c for c in steps[0].columns if c != "_group"]), "_det").alias("_m")).select("_group", "_m.*").drop("_det")
     medians = start.select(F.col("_group").alias("_of"), *[f"o_{a}" for a in FEATURES])
-    return chosen, materialise(now.join(medians, F.col("_group") == F.col("_of")).drop("_of"), "models")
+    models = materialise(best.join(medians, F.col("_group") == F.col("_of")).drop("_of"), "models")
+    scratch.clear()
+    return chosen, models
 
 
 def scored(chosen: DataFrame, models: DataFrame) -> DataFrame:
@@ -284,11 +287,11 @@ def scored(chosen: DataFrame, models: DataFrame) -> DataFrame:
     return _distance(_drawn(_with_model(chosen, models)))
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", limit: float = LIMIT, steps: int = STEPS) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", limit: float = LIMIT) -> DataFrame:
     """One row per row of ``docs``: id_col, the statistics, base_failed, distance (null: not judged by it), kept, and the text's digest."""
     stats = text_stats(docs.withColumn("_digest", digest()), [id_col, "lang", "source", "_digest"])
     stats = materialise(stats.withColumn("base_failed", base_failed()).withColumns(features()), "stats")
-    chosen, models = group_models(stats.filter(~F.col("base_failed")), steps)
+    chosen, models = group_models(stats.filter(~F.col("base_failed")))
     columns = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     good = scored(chosen, models).select(*columns, F.col("d2").alias("distance"), (F.col("d2") <= limit).alias("kept"), "_digest")
     none = F.lit(None).cast("double").alias("distance")

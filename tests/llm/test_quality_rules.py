@@ -148,15 +148,21 @@ def test_distance_matches_brute_force(spark, documents):
         low, mid, high = np.array([start[a] for a in names]).T
         drawn = lambda x, n: mid + (x - mid) * (n / (n + quality_rules.FEW))  # noqa: B023, E731
         x = drawn(x, n[:, None])
-        m, cov, last = mid, np.diag(((high - low) / 2) ** 2), None
-        for _ in range(quality_rules.STEPS):
+        m, cov, det = mid, np.diag(((high - low) / 2) ** 2), None
+        while True:
             y = np.linalg.solve(np.linalg.cholesky(cov), (x - m).T)
             bins = np.floor(np.log2(np.maximum((y**2).sum(0), 2.0**quality_rules.LOW)) * quality_rules.BINS)
-            inside = bins <= np.sort(bins)[int(np.ceil(quality_rules.SHARE * len(x))) - 1]
-            m, cov = x[inside].mean(0), np.cov(x[inside].T, bias=True) / quality_rules.SHRINKAGE
-            if last is not None and (inside == last).all():
+            wanted = quality_rules.SHARE * len(x)
+            last = next(b for b in np.unique(bins) if (bins <= b).sum() >= wanted)
+            weight = np.where(bins < last, 1.0, np.where(bins == last, (wanted - (bins < last).sum()) / (bins == last).sum(), 0.0))
+            next_m = (weight[:, None] * x).sum(0) / wanted
+            next_cov = ((weight[:, None] * x).T @ x / wanted - np.outer(next_m, next_m)) / quality_rules.SHRINKAGE
+            next_det = np.linalg.slogdet(next_cov)[1]
+            done = det is not None and next_det >= det - quality_rules.STILL
+            if det is None or next_det < det:
+                m, cov, det = next_m, next_cov, next_det
+            if done:
                 break
-            last = inside
         for r in good:
             if home(r) == group:
                 y = np.linalg.solve(np.linalg.cholesky(cov), drawn(np.array(vector[r[0]][1:]), r[3]) - m)
