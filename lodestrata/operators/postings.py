@@ -34,6 +34,7 @@ class Postings:
 
     def __init__(self, spark: SparkSession, root: str, key: str = "chunk_id", document: str = "source", folders: int = FOLDERS):
         self.spark, self.key, self.document, self.folders = spark, key, document, folders
+        self.ids = list(dict.fromkeys((document, key)))  # a chunk may be its own document
         self.store = Store(spark, root, {"postings": ["folder"], "lengths": [], "terms": ["folder"], "summary": []})
 
     def exists(self) -> bool:
@@ -45,19 +46,19 @@ class Postings:
     def _tokens(self, chunks: DataFrame, text_col: str, labels: list[str]) -> DataFrame:
         """document, key, and the tokens of the text and of its labels, which are found by but never quoted."""
         whole = F.concat_ws(" ", *[F.col(c).cast("string") for c in [text_col, *labels]])
-        return chunks.select(self.document, self.key, text.bm25_tokens(whole).alias("_t"))
+        return chunks.select(*self.ids, text.bm25_tokens(whole).alias("_t"))
 
     def _counts(self, tokens: DataFrame) -> DataFrame:
         """document, key, term, tf, dl, folder."""
-        flat = tokens.select(self.document, self.key, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-        return flat.groupBy(self.document, self.key, "term", "dl").agg(F.count("*").cast("int").alias("tf")).withColumn("folder", self._folder(F.col("term")))
+        flat = tokens.select(*self.ids, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+        return flat.groupBy(*self.ids, "term", "dl").agg(F.count("*").cast("int").alias("tf")).withColumn("folder", self._folder(F.col("term")))
 
     def build(self, chunks: DataFrame, text_col: str = "text", labels: list[str] | None = None) -> Postings:
         """The index of ``chunks`` anew."""
         tokens = self._tokens(chunks, text_col, labels or [])
         rows = self._counts(tokens).repartitionByRange("folder", "term", self.key).sortWithinPartitions("folder", "term")
         self.store.write("postings", rows)
-        self.store.write("lengths", tokens.select(self.document, self.key, F.size("_t").alias("dl")))
+        self.store.write("lengths", tokens.select(*self.ids, F.size("_t").alias("dl")))
         self.store.write("terms", self.store.read("postings").groupBy("folder", "term").agg(F.count("*").alias("df")))
         self._summarise(self._all_counts())
         return self
@@ -91,7 +92,7 @@ class Postings:
         both = both.select(F.col("_folder").alias("folder"), F.col("_term").alias("term"), F.col("df").alias("before"), (F.coalesce("df", F.lit(0)) + F.col("n")).alias("df"))
         rows = self._counts(came).repartitionByRange("folder", "term", self.key).sortWithinPartitions("folder", "term")
         self.store.replace("postings", rows, [self.document], also=changed)
-        self.store.replace("lengths", came.select(self.document, self.key, F.size("_t").alias("dl")), [self.document], also=changed)
+        self.store.replace("lengths", came.select(*self.ids, F.size("_t").alias("dl")), [self.document], also=changed)
         # the counts of changed terms, as moved, are written before the summary is drawn from them
         self.store.write("moved", both)
         moved = self.store.read("moved")

@@ -87,6 +87,7 @@ class VectorIndex:
             return self
         count = cells or max(1, min(MOST_CELLS, len(sample), round(math.sqrt(n))))
         centres = fit(sample, count)
+        centres = centres[np.unique((_unit(sample.astype(np.float64)) @ centres.T).argmax(1))]  # those that have vectors
         probes = probes_for(sample, centres, recall)
         sent = self.spark.sparkContext.broadcast(centres.astype(np.float32))  # MOST_CELLS centres at most
         names = [f.name for f in rows.schema]
@@ -110,7 +111,7 @@ class VectorIndex:
         cells = self.store.read("cells")
         near = rank._against(cells.select("cell", "centre", "probes"), questions.select("query_id", "vector"), F.size("vector"))
         scored = near.select(F.col("q.query_id").alias("query_id"), F.col("q.vector").alias("vector"), "cell", "probes", numbers.cosine_distance(F.col("centre"), F.col("q.vector")).alias("_d"))
-        return rank.top(scored, ["query_id"], ["_d", "cell"], MOST_CELLS, "_nth").filter(F.col("_nth") <= (F.col("probes") if probes is None else F.lit(probes))).select("query_id", "vector", "cell")
+        return rank.top(scored, ["query_id"], [F.col("_d").asc_nulls_last(), "cell"], MOST_CELLS, "_nth").filter(F.col("_nth") <= (F.col("probes") if probes is None else F.lit(probes))).select("query_id", "vector", "cell")
 
     def search(self, questions: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """query_id, key, distance, rank: the ``k`` nearest of the cells that a question probes."""

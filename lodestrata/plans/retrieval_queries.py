@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..operators import context, rank
-from .common import Registry, table
+from ..operators.postings import Postings
+from .common import Registry, _index_root, postings_of, table, vectors_of
 
 _r = Registry()
 add = _r.add
@@ -43,7 +44,7 @@ _SCORES = rf"""
 
 @add(f"WITH {_BM25}, {_SCORES} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM keyword WHERE rank <= 20")
 def bm25_topk(spark, sf_dir):
-    return rank.bm25(table(spark, sf_dir, "documents"), _questions(spark), "doc_id", 20)
+    return postings_of(spark, sf_dir).search(_questions(spark), 20)
 
 
 @add(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idfs")
@@ -71,6 +72,24 @@ def knn_topk_cosine(spark, sf_dir):
     return _dense(spark, sf_dir, 20)
 
 
+@add()
+def ann_topk(spark, sf_dir):
+    """As ``knn_topk_cosine``, from the cells that a question probes; the test holds its recall against the exact one."""
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vectors_of(spark, sf_dir).search(asked, 20)
+
+
+@add("""WITH tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text || ' ' || coalesce(source, '') || ' ' || coalesce(lang, '')), '[a-z0-9]+(?:-[a-z0-9]+)*')) AS term FROM documents)
+    SELECT term, count(*) AS postings, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, term FROM tokens GROUP BY ALL) GROUP BY term""")
+def labelled_postings(spark, sf_dir):
+    """An index in which texts are found by their labels too: here the document's source and language."""
+    docs = table(spark, sf_dir, "documents")
+    index = Postings(spark, _index_root(spark, docs, "labelled"), "doc_id", "doc_id")
+    if not index.exists():
+        index.build(docs, labels=["source", "lang"])
+    return index.store.read("postings").groupBy("term").agg(F.count("*").alias("postings"), F.countDistinct("doc_id").alias("df"))
+
+
 #: The question to a vector that asks: the first six words of the document with its number.
 _FUSED = rf"""{_BM25},
     questions AS (SELECT vec_id AS query_id, unnest(list_slice({_TOKENS}, 1, 6)) AS term FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0),
@@ -97,7 +116,7 @@ def _asked(spark, sf_dir) -> DataFrame:
 def _fused(spark, sf_dir) -> DataFrame:
     """Nearest vectors and best documents by BM25, 40 of each, fused by their ranks."""
     docs = table(spark, sf_dir, "documents")
-    keyword = rank.bm25(docs, _asked(spark, sf_dir), "doc_id", 40).select("query_id", F.lit("keyword").alias("list"), F.col("doc_id").alias("vec_id"), "rank")
+    keyword = postings_of(spark, sf_dir).search(_asked(spark, sf_dir), 40).select("query_id", F.lit("keyword").alias("list"), F.col("doc_id").alias("vec_id"), "rank")
     lists = _dense(spark, sf_dir, 40).select("query_id", F.lit("dense").alias("list"), "vec_id", "rank").unionByName(keyword)
     return rank.fuse(lists, "vec_id").join(docs.select(F.col("doc_id").alias("vec_id"), "source", "lang"), "vec_id")
 
@@ -167,7 +186,7 @@ def interleave_order(spark, sf_dir):
 def sweep_or_prefilter(spark, sf_dir):
     docs, asked = table(spark, sf_dir, "documents"), _questions(spark)
     routed = asked.select("query_id", F.concat(F.lit("src"), "query_id").alias("source"))
-    return rank.sweep(docs.select("doc_id", "source"), routed, rank.bm25_scores(docs, asked, "doc_id"), "doc_id")
+    return rank.sweep(docs.select("doc_id", "source"), routed, postings_of(spark, sf_dir).scores(asked), "doc_id")
 
 
 @add(f"""WITH {_FUSED}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, vec_id) AS r FROM hits),
