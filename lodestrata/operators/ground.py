@@ -119,42 +119,75 @@ def verdicts(answers: DataFrame, context: DataFrame, by: str, judged: DataFrame
 
 
 def repair_is_safe(answers: DataFrame, repaired: DataFrame, context: DataFrame, by: str) -> DataFrame:
-    """by, safe: whether a repaired answer keeps every figure of the first one that the context supports."""
+    """by, safe: whether a repaired answer keeps every figure of the first one that the context supports.
+
+    A figure is supported by the same whole figure: 20 is not by 2024.
+    """
     claims = lambda df: df.select(by, F.explode(F.concat(numeric_claims(F.col("text")), ident_claims(F.col("text")))).alias("claim")).distinct()
     supported = claims(answers).join(claims(context), [by, "claim"], "left_semi")
     lost = supported.join(claims(repaired), [by, "claim"], "left_anti").select(by).distinct().withColumn("_lost", F.lit(True))
     return repaired.select(by).distinct().join(lost, by, "left").select(by, F.col("_lost").isNull().alias("safe"))
 
 
+def without_refusal(answers: DataFrame, by: str) -> DataFrame:
+    """by, text without units that are the refusal, where others stand beside them; by, text, refused (nothing else is left)."""
+    parts = units(answers, by).withColumn("_no", text.is_refusal(F.col("unit")))
+    listed = F.array_sort(F.collect_list(F.when(~F.col("_no"), F.struct("unit_no", "unit"))))
+    per = parts.groupBy(by).agg(F.count_if("_no").alias("_nos"), F.array_join(F.transform(listed, lambda x: x["unit"]), "\n").alias("_rest"))
+    both = answers.join(per, by, "left")
+    said = F.when(F.coalesce("_nos", F.lit(0)) == 0, F.col("text")).otherwise(F.col("_rest"))
+    return both.select(by, said.alias("text"), (text.strip(said) == "").alias("refused"))
+
+
 def fenced(answer: Column, unsupported_: Column) -> Column:
     """The answer with a note that names what the documents don't confirm."""
+    # Fixed value: the wording of the note.
     note = F.concat(F.lit("\n\n[Unverified -- not confirmed by the documents: "), F.array_join(unsupported_, "; "), F.lit("]"))
     return F.when(F.size(unsupported_) > 0, F.concat(text.strip(answer), note)).otherwise(answer)
 
 
-def enforce(answers: DataFrame, context: DataFrame, verdicts_: DataFrame, by: str, refusal: str, repaired: DataFrame | None = None) -> DataFrame:
-    """by, text, action: what may be said. Only answers with unsupported claims change.
+def enforce(answers: DataFrame, context: DataFrame, verdicts_: DataFrame, by: str, refusal: str, repaired: DataFrame | None = None, rejudged: DataFrame | None = None) -> DataFrame:
+    """by, text, action, faithful: what may be said. Only answers with claims worth a repair change.
 
-    A safe ``repaired`` answer (by, text) comes first. Otherwise the units with the claims are
-    pruned; if that loses a supported figure the answer stays with a note, and if nothing is left
-    it becomes the refusal.
+    Claims that say what the documents lack are no claims about the world: an answer with none
+    besides stays. A ``repaired`` answer (by, text) is taken if it keeps all supported figures and
+    passes a second look: ``rejudged`` (by, claims), or else its figures. One that is the refusal
+    withdraws the answer. Otherwise the units of the first answer that hold the claims, those found
+    in the repaired one too, are pruned: if nothing is left the answer is withdrawn, if that loses
+    a supported figure it stays with a note. ``faithful``: no unsupported figure is left.
     """
-    bad = verdicts_.filter(~F.col("faithful") & (F.size("unsupported") > 0)).select(by, "unsupported")
+    worth = F.filter("unsupported", lambda c: ~says_incomplete(c))
+    bad = verdicts_.filter(~F.col("faithful")).select(by, worth.alias("unsupported")).filter(F.size("unsupported") > 0)
     wrong = answers.join(bad.select(by), by, "left_semi")
-    pruned = prune(wrong, bad.select(by, F.explode("unsupported").alias("claim")), by).select(by, F.col("text").alias("_pruned"))
-    cut = wrong.select(by).join(pruned, by, "left").select(by, F.coalesce("_pruned", F.lit("")).alias("text"))
-    keeps = repair_is_safe(wrong, cut, context, by).select(by, F.col("safe").alias("_cut_safe"))
-    out = answers.select(by, "text").join(bad, by, "left").join(pruned, by, "left").join(keeps, by, "left")
+    claims = bad.select(by, F.explode("unsupported").alias("claim"))
     if repaired is not None:
-        safe = repair_is_safe(wrong, repaired, context, by).filter("safe").select(by)
-        out = out.join(repaired.join(safe, by, "left_semi").select(by, F.col("text").alias("_repaired")), by, "left")
+        again = without_refusal(repaired.join(bad.select(by), by, "left_semi").select(by, "text"), by)
+        rest = again.filter("NOT refused")
+        found = rejudged.select(by, F.explode("claims").alias("claim")).filter(~says_incomplete(F.col("claim"))) if rejudged is not None else unsupported(rest.select(by, "text"), context, by)
+        found = found.join(rest.select(by), by, "left_semi")
+        safe = repair_is_safe(wrong, rest, context, by).filter("safe").select(by)
+        mended = rest.join(safe, by, "left_semi").join(found.select(by), by, "left_anti").select(by, F.col("text").alias("_repaired"))
+        gone = again.filter("refused").select(by, F.lit(True).alias("_gone"))
+        claims = claims.unionByName(found.join(safe, by, "left_semi")).distinct()
     else:
-        out = out.withColumn("_repaired", F.lit(None).cast("string"))
-    left = text.strip(F.coalesce("_pruned", F.lit(""))) != ""
-    fine, mended, cut_ok = F.col("unsupported").isNull(), F.col("_repaired").isNotNull(), F.col("_cut_safe") & left
-    action = F.when(fine, "kept").when(mended, "repaired").when(cut_ok, "pruned").when(~F.col("_cut_safe"), "fenced").otherwise("refused")
-    said = F.when(fine, F.col("text")).when(mended, F.col("_repaired")).when(cut_ok, F.col("_pruned")).when(~F.col("_cut_safe"), fenced(F.col("text"), F.col("unsupported"))).otherwise(F.lit(refusal))
-    return out.select(by, said.alias("text"), action.alias("action"))
+        mended = answers.limit(0).select(by, F.col("text").alias("_repaired"))
+        gone = answers.limit(0).select(by, F.lit(True).alias("_gone"))
+    pruned = prune(wrong, claims, by).select(by, F.col("text").alias("_pruned"))
+    cut = wrong.select(by).join(pruned, by, "left").select(by, F.coalesce("_pruned", F.lit("")).alias("text"))
+    keeps = repair_is_safe(wrong, cut, context, by).select(by, F.col("safe").alias("_cut_safe"))
+    out = answers.select(by, "text").join(bad, by, "left").join(pruned, by, "left").join(keeps, by, "left").join(mended, by, "left").join(gone, by, "left")
+    nothing = text.strip(F.coalesce("_pruned", F.lit(""))) == ""
+    action = (
+        F.when(F.col("unsupported").isNull(), "kept").when(F.col("_gone"), "refused").when(F.col("_repaired").isNotNull(), "repaired")
+        .when(nothing, "refused").when(F.col("_cut_safe"), "pruned").otherwise("fenced")
+    )
+    said = (
+        F.when(F.col("action") == "kept", F.col("text")).when(F.col("action") == "refused", F.lit(refusal)).when(F.col("action") == "repaired", F.col("_repaired"))
+        .when(F.col("action") == "pruned", F.col("_pruned")).otherwise(fenced(F.col("text"), F.col("unsupported")))
+    )
+    final = out.withColumn("action", action).select(by, said.alias("text"), "action")
+    residual = unsupported(final.filter("action <> 'refused'"), context, by).select(by).distinct().withColumn("_left", F.lit(True))
+    return final.join(residual, by, "left").select(by, "text", "action", F.col("_left").isNull().alias("faithful"))
 
 
 def with_fact_sources(citations_: DataFrame, facts: DataFrame, by: str) -> DataFrame:

@@ -140,23 +140,34 @@ def candidates(pool: DataFrame, plans_: DataFrame, key: str, section: str = "sec
     return kept.withColumn("position", F.row_number().over(place)).select("query_id", key, "position")
 
 
-def chosen(candidates_: DataFrame, plans_: DataFrame, key: str) -> DataFrame:
-    """What of the candidates is used after reranking: query_id, key, rank.
+def chosen(candidates_: DataFrame, plans_: DataFrame, key: str, guaranteed: DataFrame | None = None) -> DataFrame:
+    """What of the candidates is used: query_id, key, rank.
 
     ``candidates_``: query_id, key, position, rerank (null: not judged), fused, source,
-    chunk_index. A sweep judges all and keeps every row that passes, in order of the document;
-    other modes judge a window and keep the best ``final_k``. If nothing passes the first
-    ``final_k`` stay.
+    chunk_index. A window of them counts: all in a sweep, else four times ``final_k``, ten more at
+    least. A question counts as reranked if its window is larger than ``final_k`` and holds any
+    judgement. Then rows that pass (or weren't judged) stay: all of them in order of the document
+    in a sweep, else the best ``final_k``, and rows of ``guaranteed`` (query_id, key) that are
+    not among these stand before them. Without reranking, or if nothing passes, the window's first
+    ``final_k`` are used as they stand.
     """
     rows = candidates_.join(plans_.select("query_id", "mode", "final_k", "min_rerank"), "query_id")
-    sweep = F.col("mode") == "sweep"
+    sweep, per = F.col("mode") == "sweep", Window.partitionBy("query_id")
     window = rows.filter(sweep | (F.col("position") <= F.greatest(F.col("final_k") * 4, F.col("final_k") + 10)))
     window = window.withColumn("_passes", F.col("rerank").isNull() | (F.col("rerank") >= F.col("min_rerank")))
-    any_ = F.max("_passes").over(Window.partitionBy("query_id"))
-    left = window.withColumn("_any", any_).filter(F.col("_passes") | ~F.col("_any"))
+    judged = F.max(F.col("rerank").isNotNull()).over(per) & (F.count("*").over(per) > F.col("final_k"))
+    window = window.withColumn("_reranked", judged).withColumn("_any", F.col("_reranked") & F.max("_passes").over(per))
+    left = window.filter(F.col("_passes") | ~F.col("_any"))
     by_document = sweep & F.col("_any")
-    place = Window.partitionBy("query_id").orderBy(F.when(by_document, F.col("source")), F.when(by_document, F.col("chunk_index")), F.when(F.col("_any"), F.coalesce("rerank", F.lit(0))).desc_nulls_last(), F.when(F.col("_any"), F.col("fused")).desc_nulls_last(), "position")
-    return left.withColumn("rank", F.row_number().over(place)).filter(by_document | (F.col("rank") <= F.col("final_k"))).select("query_id", key, "rank")
+    place = per.orderBy(F.when(by_document, F.col("source")), F.when(by_document, F.col("chunk_index")), F.when(F.col("_any"), F.coalesce("rerank", F.lit(0))).desc_nulls_last(), F.when(F.col("_any"), F.col("fused")).desc_nulls_last(), "position")
+    out = left.withColumn("rank", F.row_number().over(place)).filter(by_document | (F.col("rank") <= F.col("final_k")))
+    if guaranteed is None:
+        return out.select("query_id", key, "rank")
+    # a judge may not delete rows of a list: they come back unless the mode is a sweep, which drops none that pass
+    judged_ = window.filter(F.col("_reranked") & ~sweep).select("query_id").distinct()
+    back = candidates_.join(guaranteed.select("query_id", key).distinct(), ["query_id", key], "left_semi").join(judged_, "query_id", "left_semi").join(out.select("query_id", key), ["query_id", key], "left_anti")
+    both = back.select("query_id", key, F.lit(0).alias("_k"), F.col("position").alias("_p")).unionByName(out.select("query_id", key, F.lit(1).alias("_k"), F.col("rank").alias("_p")))
+    return both.select("query_id", key, F.row_number().over(per.orderBy("_k", "_p", key)).alias("rank"))
 
 
 def put_first(guaranteed: DataFrame, candidates_: DataFrame, key: str) -> DataFrame:

@@ -118,7 +118,8 @@ def mode_dispatch(spark, sf_dir):
 
 
 @add(f"""WITH {_FUSED}, {_MODES}, w AS (SELECT *, CASE WHEN vec_id % 5 <> 0 THEN (vec_id % 4)::INTEGER END AS rerank FROM placed WHERE mode = 'sweep' OR position <= 16),
-    v AS (SELECT *, rerank IS NULL OR rerank >= 2 AS passes, max((rerank IS NULL OR rerank >= 2)::INTEGER) OVER (PARTITION BY query_id) = 1 AS got FROM w),
+    j AS (SELECT *, rerank IS NULL OR rerank >= 2 AS passes, max((rerank IS NOT NULL)::INTEGER) OVER (PARTITION BY query_id) = 1 AND count(*) OVER (PARTITION BY query_id) > 4 AS judged FROM w),
+    v AS (SELECT *, judged AND max(passes::INTEGER) OVER (PARTITION BY query_id) = 1 AS got FROM j),
     s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN mode = 'sweep' AND got THEN source END NULLS FIRST, CASE WHEN mode = 'sweep' AND got THEN vec_id END NULLS FIRST, CASE WHEN got THEN coalesce(rerank, 0) END DESC NULLS LAST, CASE WHEN got THEN fused END DESC NULLS LAST, position) AS rank FROM v WHERE passes OR NOT got)
     SELECT query_id, vec_id, rank::INTEGER AS rank FROM s WHERE (mode = 'sweep' AND got) OR rank <= 4""")
 def mode_selection(spark, sf_dir):
@@ -127,6 +128,14 @@ def mode_selection(spark, sf_dir):
     return routing.chosen(rows.withColumn("rerank", F.when(F.col("vec_id") % 5 != 0, (F.col("vec_id") % 4).cast("int"))), plans, "vec_id")
 
 
+@add(f"""WITH {_FUSED}, {_MODES} SELECT query_id, vec_id, position::INTEGER AS rank FROM placed WHERE position <= 4""")
+def selection_without_judge(spark, sf_dir):
+    """No reranker: the first rows as they are placed, so that those guaranteed by the plan keep their place."""
+    hits, plans, placed = _placed(spark, sf_dir)
+    rows = placed.join(hits.select("query_id", "vec_id", "fused", "source", F.col("vec_id").alias("chunk_index")), ["query_id", "vec_id"])
+    return routing.chosen(rows.withColumn("rerank", F.lit(None).cast("int")), plans, "vec_id")
+
+
 @add(f"""WITH {_FUSED}, u AS (SELECT query_id, source, lang AS section, vec_id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, vec_id) AS rank FROM hits),
     g AS (SELECT query_id, source, section, max(fused) AS score, min(vec_id) AS page, count(*) AS n_units, min(rank) AS first FROM u GROUP BY ALL),
     o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, source, section) AS k FROM g)
