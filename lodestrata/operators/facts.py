@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..functions.fuzzy import fuzzy_score, plain_ratio
+from ..sources.shared import settled
 
 # What looks like an identifier, and words that don't name anything.
 ID_CODE = r"^[A-Za-z]{1,6}[-_]?\d{2,10}$"
@@ -118,7 +119,7 @@ def fuzzy_candidates(variants_: DataFrame, choices: DataFrame) -> DataFrame:
 
 def resolve(variants_: DataFrame, choices: DataFrame) -> DataFrame:
     """Exact first, then the best fuzzy match; one row per question that names anything."""
-    exact = resolve_exact(variants_, choices)
+    exact = settled(resolve_exact(variants_, choices))
     rest = variants_.join(exact.select("query_id"), "query_id", "left_anti")
     scored = fuzzy_candidates(rest, choices).withColumn("score", F.round(fuzzy_score("variant", "norm"), 4))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.col("end") - F.col("start")), "start", "norm")
@@ -226,19 +227,20 @@ def render(fact: DataFrame, column_name: str) -> DataFrame:
 def ask(questions: DataFrame, all_cells: DataFrame, fire: float = 78.0, trust: float = 85.0, cap: int = 20) -> DataFrame:
     """From question to verdict for a batch: query_id, kind, verdict, entity, column, value, n_rows.
 
-    Column first, then the entity from spans that don't overlap it and hold no comparing word.
+    Column first, then the entity from spans that don't overlap it and hold no comparing word. The
+    vocabulary and what is resolved are written out once, as several branches read them.
     """
-    words = vocabulary(all_cells)
-    every = variants(spans(questions))
-    column = resolve(every, words.filter("kind = 'column'"))
+    words = settled(vocabulary(all_cells))
+    every = settled(variants(spans(questions)))
+    column = settled(resolve(every, words.filter("kind = 'column'")))
     reserved = text.MAX_CUES + text.MIN_CUES + text.ABOVE_CUES + text.BELOW_CUES
     held = reduce(lambda a, b: a | b, [F.concat(F.lit(" "), "span", F.lit(" ")).contains(f" {w} ") for w in reserved])
     at = column.select("query_id", F.col("start").alias("c_start"), F.col("end").alias("c_end"))
     free = every.join(at, "query_id").filter(~((F.col("start") < F.col("c_end")) & (F.col("c_start") < F.col("end"))) & ~held).drop("c_start", "c_end")
-    entity = resolve(free, words.filter("kind = 'entity'"))
+    entity = settled(resolve(free, words.filter("kind = 'entity'")))
     named = questions.join(column.select("query_id", F.col("span").alias("column_span"), F.col("norm").alias("column_norm"), F.col("score").alias("column_score")), "query_id", "left")
     named = named.join(entity.select("query_id", F.col("norm").alias("entity_norm"), F.col("score").alias("entity_score")), "query_id", "left")
-    planned = aggregate_intent(named, trust)
+    planned = settled(aggregate_intent(named, trust))
     live = planned.filter(fires(planned, fire))
     best = extreme(live.filter(F.col("kind").isin("max", "min")).select("query_id", "column_norm", "kind"), all_cells).select("query_id", "verdict", "entity", "value", F.col("n_winners").alias("n_rows"))
     many = beyond(live.filter(F.col("kind").isin("count", "filter")).select("query_id", "column_norm", "kind", "comparator", "threshold"), all_cells, cap).select("query_id", "verdict", F.array_join("entities", "; ").alias("entity"), F.col("n_rows").cast("string").alias("value"), "n_rows")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..operators import facts, ground
+from ..sources.shared import settled
 from .common import Registry, table
 
 _r = Registry()
@@ -124,8 +125,8 @@ _ASKED = [(1, "which customer has the highest account balance"), (2, "what is th
 def fuzzy_resolve(spark, sf_dir):
     """Columns and customers that six questions name, misspelt or not."""
     asked = spark.createDataFrame(_ASKED, "query_id int, text string")
-    words = facts.vocabulary(_customers(spark, sf_dir))
-    every = facts.variants(facts.spans(asked))
+    words = settled(facts.vocabulary(_customers(spark, sf_dir)))
+    every = settled(facts.variants(facts.spans(asked)))
     out = [facts.resolve(every, words.filter(F.col("kind") == kind)).withColumn("kind", F.lit(kind)) for kind in ("column", "entity")]
     return out[0].unionByName(out[1]).select("query_id", "kind", "span", "norm", "score")
 

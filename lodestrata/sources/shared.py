@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,18 @@ def state_of(df: DataFrame) -> str:
         status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
         out.append((file, status.getLen(), status.getModificationTime()))
     return repr(out)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: what follows doesn't work it out anew, and lost executors don't matter."""
+    path = f"{shared_root(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*settled_: DataFrame) -> None:
+    """Removes the files of settled tables that nothing reads any more."""
+    for df in settled_:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
