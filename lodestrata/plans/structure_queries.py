@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import manifest, structure
+from ..operators import chunking, manifest, structure
 from .common import Registry, table
 
 _r = Registry()
@@ -200,3 +200,22 @@ def uncovered_blocks(spark, sf_dir):
     blocks = first.select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("block_no"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 10).alias("x1"), n.alias("y0"), (n + 5).alias("y1"))
     rects = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("page_id"), F.lit(10.0).alias("x0"), F.lit(30.0).alias("x1"), F.lit(0.0).alias("y0"), F.lit(14.0).alias("y1"))
     return structure.uncovered_blocks(blocks, rects, ["page_id"]).select("page_id", "block_no")
+
+
+def _chunks(spark, sf_dir):
+    """Parents and children of all documents: lines as blocks, sections by headings."""
+    lines = structure.blocks(table(spark, sf_dir, "documents"), "doc_id").withColumn("page", F.lit(1))
+    marked = structure.runs(lines, "doc_id", "block_no", text.is_heading(F.col("line")), "section_no")
+    return chunking.chunks(chunking.blocks_of(marked, "doc_id", "block_no"), "doc_id", "section_no", "block_no")
+
+
+@add()
+def parent_child_chunks(spark, sf_dir):
+    """The chunks that are searched, with the parents that are read; tests compare with plain Python."""
+    return _chunks(spark, sf_dir)[1].select("doc_id", "section_no", "parent_index", "chunk_index", "text", "has_table", "tokens", "prev_index", "next_index")
+
+
+@add(rf"""WITH {_LINES} SELECT doc_id, sum({_TOK.format(c="line")})::BIGINT AS tokens FROM lines WHERE regexp_replace(line, '^\s+|\s+$', '', 'g') <> '' GROUP BY doc_id""")
+def parent_tokens(spark, sf_dir):
+    """Parents hold every token of a document once."""
+    return _chunks(spark, sf_dir)[0].groupBy("doc_id").agg(F.sum("tokens").alias("tokens"))

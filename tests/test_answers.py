@@ -265,7 +265,7 @@ def test_stream_of_documents(spark, tmp_path):
 
 def test_every_engine_query_is_checked():
     """Queries without SQL are those that a test compares with plain Python."""
-    tested = {"greedy_dedup", "enumeration_plan", "fuzzy_resolve", "fact_ask", "prune_units", "table_documents", "table_parts", "assemble_context", "enforced_answers"}
+    tested = {"greedy_dedup", "enumeration_plan", "fuzzy_resolve", "fact_ask", "prune_units", "table_documents", "table_parts", "assemble_context", "enforced_answers", "ann_topk", "parent_child_chunks"}
     assert set(catalog.QUERIES) - set(catalog.ORACLE) == tested
 
 
