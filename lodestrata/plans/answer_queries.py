@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PROFILES
@@ -19,11 +19,6 @@ _QUESTIONS = [
     (1, "what is the leave policy"), (2, "list all vendors in Tier 1"), (3, "compare the Security Handbook versus the Travel Policy"), (4, "how do I submit an expense report"),
     (5, "summarize the onboarding guide"), (6, "which approvals are needed given that the amount exceeds AB-12"), (7, "are there conflicts across our policies"), (8, "design a workflow for new starters end to end"),
 ]
-_Q = "questions(query_id, text) AS (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in _QUESTIONS) + ")"
-
-
-def _questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_QUESTIONS, "query_id int, text string")
 
 
 def _sql(pattern: str) -> str:
@@ -34,15 +29,26 @@ _INTENT = "coalesce(CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){_sql(p)}
 _P = "profiles(intent, mode, candidate_k, final_k, max_per_source, min_rerank) AS (VALUES " + ", ".join(f"('{p[0]}', '{p[1]}', {p[2]}, {p[3]}, {p[4]}, {p[8]})" for p in PROFILES) + ")"
 
 
-@add(f"WITH {_Q}, {_P}, i AS (SELECT query_id, text, {_INTENT} AS intent FROM questions) SELECT query_id::INTEGER AS query_id, intent, mode, candidate_k::INTEGER AS candidate_k, final_k::INTEGER AS final_k, max_per_source::INTEGER AS max_per_source, min_rerank::INTEGER AS min_rerank FROM i JOIN profiles USING (intent)")
+_FORMS = "[" + ", ".join(f"'{_sql(q)}'" for _, q in _QUESTIONS) + "]"
+#: Every user turn asks, in one of the forms above.
+_TURNS = f"""turns AS (SELECT conv_id * 1000 + turn AS query_id, list_extract(({_FORMS}), ((conv_id + turn) % {len(_QUESTIONS)} + 1)::INTEGER) || ' ' || replace(text, chr(10), ' ') AS text FROM conversations WHERE role = 'user')"""
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    form = F.get(F.array(*[F.lit(q) for _, q in _QUESTIONS]), ((F.col("conv_id") + F.col("turn")) % len(_QUESTIONS)).cast("int"))
+    said = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    return said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(form, F.lit(" "), F.replace(F.col("text"), F.lit("\n"), F.lit(" "))).alias("text"))
+
+
+@add(f"WITH {_TURNS}, {_P}, i AS (SELECT query_id, text, {_INTENT} AS intent FROM turns) SELECT query_id, intent, mode, candidate_k::INTEGER AS candidate_k, final_k::INTEGER AS final_k, max_per_source::INTEGER AS max_per_source, min_rerank::INTEGER AS min_rerank FROM i JOIN profiles USING (intent)")
 def plan_profiles(spark, sf_dir):
-    return routing.plans(_questions(spark)).select("query_id", "intent", "mode", "candidate_k", "final_k", "max_per_source", "min_rerank")
+    return routing.plans(_turns(spark, sf_dir)).select("query_id", "intent", "mode", "candidate_k", "final_k", "max_per_source", "min_rerank")
 
 
-@add(f"""WITH {_Q}, i AS (SELECT query_id, text, {_INTENT} AS intent FROM questions)
-    SELECT query_id::INTEGER AS query_id, CASE WHEN regexp_matches(text, '{_sql(routing.COMBINING)}') THEN 'combination/workflow' WHEN intent = 'synthesis' OR regexp_matches(text, '{_sql(routing.DOCUMENT_WIDE)}') THEN 'document-wide' WHEN intent = 'fact_lookup' THEN 'point-lookup' ELSE 'other' END AS path FROM i""")
+@add(f"""WITH {_TURNS}, i AS (SELECT query_id, text, {_INTENT} AS intent FROM turns)
+    SELECT query_id, CASE WHEN regexp_matches(text, '{_sql(routing.COMBINING)}') THEN 'combination/workflow' WHEN intent = 'synthesis' OR regexp_matches(text, '{_sql(routing.DOCUMENT_WIDE)}') THEN 'document-wide' WHEN intent = 'fact_lookup' THEN 'point-lookup' ELSE 'other' END AS path FROM i""")
 def orchestration_intent(spark, sf_dir):
-    q = routing.plans(_questions(spark))
+    q = routing.plans(_turns(spark, sf_dir))
     return q.select("query_id", routing.orchestration(F.col("text"), F.col("intent")).alias("path"))
 
 

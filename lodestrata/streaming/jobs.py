@@ -8,28 +8,40 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import library
 from ..sources.store import Store
 
 
-def ingest(stream: DataFrame, store: Store, checkpoint: str, build: Callable[[DataFrame], DataFrame], key: str = "source", after: Callable[[], None] | None = None):
+def ingest(stream: DataFrame, store: Store, checkpoint: str, build: Callable[[DataFrame], DataFrame], key: str = "source", after: Callable[[], None] | None = None, order: str | None = None, user: str | None = None):
     """Documents (key, text) as they come: unchanged ones are skipped, the chunks of the others replaced.
 
-    A batch that is run again finds its hashes in the store and does nothing twice. ``after``
-    is called once chunks have changed, to drop vocabularies built on them.
+    Of several versions of a document in one batch the one with the largest ``order`` counts (a
+    column such as a version or a time; equal ones by their text), so a batch that is run again
+    does the same and, as it finds its hashes in the store, nothing twice. With ``user`` rows carry that user's id and tables
+    are written by user and document, as the engine's are. ``after`` is called once chunks have
+    changed, to drop vocabularies built on them.
     """
+    by = ["user_id", key] if user is not None else [key]
 
     def batch(new: DataFrame, _: int) -> None:
-        latest = new.dropDuplicates([key])
+        newest = F.struct(*([F.col(order)] if order else []), "text")
+        latest = new.groupBy(key).agg(F.max_by(F.struct(*[c for c in new.columns if c != key]), newest).alias("_row")).select(key, "_row.*")
+        if user is not None:
+            latest = latest.withColumn("user_id", F.lit(user))
         known = store.read("hashes")
+        if known is not None and user is not None:
+            known = known.filter(F.col("user_id") == user)
         fresh = library.content_hash(latest) if known is None else library.needs_ingest(latest, known, key)
         fresh = fresh.persist()
         try:
             if fresh.take(1):
-                store.replace("chunks", build(fresh), [key], also=fresh.select(key))
-                store.replace("hashes", fresh.select(key, "content_hash"), [key])
+                built = build(fresh)
+                if user is not None and "user_id" not in built.columns:
+                    built = built.withColumn("user_id", F.lit(user))
+                store.replace("chunks", built, by, also=fresh.select(*by))
+                store.replace("hashes", fresh.select(*by, "content_hash"), by)
                 if after:
                     after()
         finally:
@@ -38,26 +50,62 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, build: Callable[[Da
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-MEMORY_SCHEMA = "session_id long, turns long, summary string, last_document string"
+MEMORY_SCHEMA = "session_id long, turns long, summary string, last_document string, expired boolean"
 
 
-def session_memory(messages: DataFrame, limit: int = 800) -> DataFrame:
-    """Rolling memory of each session: its last words up to ``limit`` characters, and the last document cited.
+class SessionMemory(StatefulProcessor):
+    """The memory of one session: turns, its last words up to ``limit`` characters, the last document cited.
 
-    ``messages``: session_id, seq, text, document (may be null). The state of a session is bounded.
+    Two values are kept: the memory, dropped ``idle`` milliseconds of processing time after its
+    last message (its end is told by a last row, ``expired``), and the largest seq seen. Messages
+    of a batch are taken in order of seq, and one that was seen before isn't taken twice.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turns, summary, document = state.get if state.exists else (0, "", None)
-        for pdf in frames:
-            for _, r in pdf.sort_values("seq").iterrows():
-                turns += 1
-                summary = f"{summary} {' '.join((r['text'] or '').split())}".strip()[-limit:]
-                document = r["document"] if isinstance(r["document"], str) else document
-        state.update((turns, summary, document))
-        yield pd.DataFrame([(key[0], turns, summary, document)], columns=["session_id", "turns", "summary", "last_document"])
-
-    return messages.groupBy("session_id").applyInPandasWithState(step, MEMORY_SCHEMA, "turns long, summary string, last_document string", "update", GroupStateTimeout.NoTimeout)
+    def __init__(self, limit: int, idle: int | None):
+        self.limit, self.idle = limit, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.memory = handle.getValueState("memory", "turns long, summary string, last_document string, due long")
+        self.seen = handle.getValueState("seen", "seq long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+        turns, summary, document, due = self.memory.get() if self.memory.exists() else (0, "", None, None)
+        last = self.seen.get()[0] if self.seen.exists() else None
+        said = pd.concat(list(rows)).sort_values("seq").drop_duplicates("seq")
+        for seq, words, cited in zip(said["seq"], said["text"], said["document"], strict=True):
+            if last is not None and seq <= last:
+                continue
+            turns, last = turns + 1, int(seq)
+            summary = f"{summary} {' '.join((words or '').split())}".strip()[-self.limit :]
+            document = cited if isinstance(cited, str) else document
+        if self.idle is not None:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            due = timers.getCurrentProcessingTimeInMs() + self.idle
+            self.handle.registerTimer(due)
+        self.memory.update((turns, summary, document, due))
+        if last is not None:
+            self.seen.update((last,))
+        yield pd.DataFrame([(key[0], turns, summary, document, False)], columns=["session_id", "turns", "summary", "last_document", "expired"])
+
+    def handleExpiredTimer(self, key: Any, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
+        turns, summary, document, _ = self.memory.get()
+        self.memory.clear()
+        yield pd.DataFrame([(key[0], turns, summary, document, True)], columns=["session_id", "turns", "summary", "last_document", "expired"])
+
+    def close(self) -> None:
+        pass
+
+
+def session_memory(messages: DataFrame, limit: int = 800, idle: int | None = None) -> DataFrame:
+    """Rolling memory of each session, a row whenever it changes; needs the state store that keeps several values (RocksDB).
+
+    ``messages``: session_id, seq, text, document (may be null). The state of a session is bounded;
+    with ``idle`` (milliseconds) it is dropped once nothing has been said for so long.
+    """
+    mode = "processingTime" if idle is not None else "none"
+    return messages.groupBy("session_id").transformWithStateInPandas(SessionMemory(limit, idle), MEMORY_SCHEMA, "Update", mode)
 
 
 def last_activity(messages: DataFrame) -> DataFrame:
