@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import chunking, manifest, structure
+from ..operators import chunking, geometry, manifest, structure
 from .common import Registry, table
 
 _r = Registry()
@@ -219,3 +219,36 @@ def parent_child_chunks(spark, sf_dir):
 def parent_tokens(spark, sf_dir):
     """Parents hold every token of a document once."""
     return _chunks(spark, sf_dir)[0].groupBy("doc_id").agg(F.sum("tokens").alias("tokens"))
+
+
+#: Parts as printed tables: 40 rows a page and a header, columns at fixed places, each as wide as its text.
+_COLUMNS = [("Part", 0.0, "'No ' || p_partkey"), ("Name", 90.0, "p_name"), ("Brand", 420.0, "p_brand")]
+
+
+def _printed(spark, sf_dir):
+    """Spans of all pages (page, row_no, column, x0, y0, x1, y1, text)."""
+    parts = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 40).cast("int").alias("page"), (F.col("p_partkey") % 40 + 1).cast("int").alias("row_no"), *[F.expr(sql).alias(name) for name, _, sql in _COLUMNS])
+    heads = parts.select("page").distinct().select("page", F.lit(0).alias("row_no"), *[F.lit(name).alias(name) for name, _, _ in _COLUMNS])
+    cells = parts.unionByName(heads).select("page", "row_no", F.explode(F.array(*[F.struct(F.lit(k).alias("column"), F.lit(x).alias("x0"), F.col(name).alias("text")) for k, (name, x, _) in enumerate(_COLUMNS)])).alias("c"))
+    return cells.select("page", "row_no", "c.column", "c.x0", (F.col("row_no") * 12.0).alias("y0"), (F.col("c.x0") + F.length("c.text") * 5).alias("x1"), (F.col("row_no") * 12.0 + 10).alias("y1"), "c.text")
+
+
+_PRINTED = """printed AS (SELECT (p_partkey // 40)::INTEGER AS page, (p_partkey % 40 + 1)::INTEGER AS row_no, 'No ' || p_partkey AS a, p_name AS b, p_brand AS c FROM part),
+    headed AS (SELECT * FROM printed UNION ALL SELECT DISTINCT page, 0, 'Part', 'Name', 'Brand' FROM printed)"""
+
+
+@add(f"""WITH {_PRINTED} SELECT page, row_no, (unnest([0, 1, 2]))::INTEGER AS col_no, unnest([a, b, c]) AS text FROM headed""")
+def table_from_positions(spark, sf_dir):
+    """Rows and columns of printed tables from nothing but the places of their texts."""
+    return geometry.grid(_printed(spark, sf_dir).drop("row_no", "column"), ["page"])
+
+
+@add(f"""WITH {_PRINTED} SELECT page, row_no, a || '|' || b || '|' || c AS cells, true AS repaired FROM headed""")
+def lost_columns(spark, sf_dir):
+    """Tables that were found with their middle column only get the others back."""
+    spans = _printed(spark, sf_dir)
+    found = spans.filter(F.col("column") == 1)
+    rows = found.select("page", F.lit(1).alias("table_no"), "row_no", "y0", "y1", F.array("text").alias("cells"))
+    rects = found.groupBy("page").agg(F.lit(1).alias("table_no"), *[f("%s" % c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
+    out = geometry.recovered(rows, spans.drop("row_no", "column"), rects, ["page"])
+    return out.select("page", "row_no", F.array_join("cells", "|").alias("cells"), "repaired")
