@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.shared import settled
 
 
 def neighbour_expand(hits: DataFrame, chunks: DataFrame, key: str, discount: float = 0.75) -> DataFrame:
@@ -196,3 +197,64 @@ def assemble(units: DataFrame, plans: DataFrame, outline: DataFrame | None = Non
         whole = whole.join(outline_lines(outline), "query_id", "left").withColumn("_parts", F.concat(F.when(F.col("outline").isNotNull(), F.array("outline")).otherwise(F.array().cast("array<string>")), "_parts"))
     used = numbered.select("query_id", F.explode("members").alias("unit"), "block")
     return whole.select("query_id", F.array_join("_parts", "\n\n---\n\n").alias("text"), "n_blocks"), used
+
+
+# ---------------------------------------------------------------- coverage of an outline
+
+# The shortest heading and the least tokens of a section that counts as major, and the
+# score above which coverage stands where nothing is reranked.
+LEAST_HEADING, LEAST_SECTION, COVERAGE_SCORE = 4, 60, 2.0
+
+
+def with_coverage(units: DataFrame, chunks: DataFrame, routed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Units with the opening chunk of every major section that lacks it, and a report.
+
+    ``units`` as for ``assemble``; ``chunks``: unit, source, section, page, page_end, chunk_index,
+    content_type, text, tokens; ``routed``: query_id, source, the documents that coverage keeps to.
+    An added unit scores half a point above the best of its question and is marked ``coverage``. The
+    report: query_id, outline_sections, major_sections, covered_before, added. A section is
+    represented by its opening chunk alone, as that says what it is about.
+    """
+    place = Window.partitionBy("source", "section").orderBy("chunk_index", "unit")
+    named = chunks.filter(text.strip(F.coalesce("section", F.lit(""))) != "")
+    sized = named.groupBy("source", "section").agg(F.sum("tokens").alias("_tokens"))
+    openers = named.withColumn("_n", F.row_number().over(place)).filter("_n = 1").drop("_n").join(sized, ["source", "section"])
+    major = (F.length(text.strip(F.col("section"))) >= LEAST_HEADING) & (F.col("_tokens") >= LEAST_SECTION)
+    wanted = openers.withColumn("_major", major).join(routed.select("query_id", "source").distinct(), "source")
+    marked = wanted.join(units.select("query_id", "unit", F.lit(True).alias("_there")), ["query_id", "unit"], "left")
+    best = units.groupBy("query_id").agg(F.max("relevance").alias("_best"))
+    new = marked.filter(F.col("_major") & F.col("_there").isNull()).join(best, "query_id", "left").withColumn("relevance", F.coalesce("_best", F.lit(COVERAGE_SCORE)) + 0.5)
+    both = units.withColumn("coverage", F.lit(False)).unionByName(new.select(*units.columns, F.lit(True).alias("coverage")))
+    count = lambda c: F.count_if(c).alias
+    report = marked.groupBy("query_id").agg(F.count("*").alias("outline_sections"), count(F.col("_major"))("major_sections"), count(F.col("_major") & F.col("_there").isNotNull())("covered_before"), count(F.col("_major") & F.col("_there").isNull())("added"))
+    return both, report
+
+
+def missing_coverage(units: DataFrame, used: DataFrame) -> DataFrame:
+    """Coverage units none of whose section's units made it into the context; headings are compared without numbers and case."""
+    heading = text.normalise_item(F.col("section"))
+    there = units.join(used.select("query_id", "unit"), ["query_id", "unit"], "left_semi").select("query_id", heading.alias("_h")).distinct()
+    return units.filter("coverage").withColumn("_h", heading).join(there, ["query_id", "_h"], "left_anti").drop("_h")
+
+
+def covered_context(units: DataFrame, chunks: DataFrame, routed: DataFrame, plans: DataFrame, outline: DataFrame | None = None, widen: float = 1.6) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``assemble``, with the outline covered: the context, its units, and the report with what still lacks.
+
+    Where the budget has dropped a section that was added, the question is assembled once more with
+    ``widen`` times the budget and only its coverage and the units that were used; what doesn't
+    fit then either is reported (``still_missing``, sections).
+    """
+    full, report = with_coverage(units, chunks, routed)
+    full = settled(full)
+    bare = full.drop("coverage")
+    context, used = assemble(bare, plans, outline)
+    used = settled(used)
+    again = settled(missing_coverage(full, used).select("query_id").distinct())
+    wider = plans.join(again, "query_id", "left_semi").withColumn("context_tokens", F.floor(F.col("context_tokens") * widen).cast(plans.schema["context_tokens"].dataType))
+    pinned = full.join(again, "query_id", "left_semi").join(used.select("query_id", "unit", F.lit(True).alias("_used")), ["query_id", "unit"], "left").filter(F.col("coverage") | F.col("_used"))
+    context2, used2 = assemble(pinned.select(*bare.columns), wider, outline.join(again, "query_id", "left_semi") if outline is not None else None)
+    whole = context.join(again, "query_id", "left_anti").unionByName(context2)
+    all_used = settled(used.join(again, "query_id", "left_anti").unionByName(used2))
+    lacking = missing_coverage(full, all_used).groupBy("query_id").agg(F.array_sort(F.collect_set(F.concat("source", F.lit(": "), "section"))).alias("still_missing"))
+    told = report.join(lacking, "query_id", "left").withColumn("still_missing", F.coalesce("still_missing", F.array().cast("array<string>")))
+    return whole, all_used, told
