@@ -9,7 +9,7 @@ from ..config import PROFILES
 from ..functions import text
 from ..operators import context, ground, library, manifest, planner, rank, routing, tables
 from .common import Registry, table
-from .retrieval_queries import _FUSED, _ROUTED, _fused
+from .retrieval_queries import _FUSED, _GATED, _ROUTED, _TOK, _fused
 
 _r = Registry()
 add = _r.add
@@ -347,3 +347,18 @@ def latest_runs(spark, sf_dir):
 def ingest_summary(spark, sf_dir):
     d = F.col("doc_id")
     return library.ingest_summary(table(spark, sf_dir, "documents").select(F.col("lang").alias("extraction_mode"), F.col("n_chars").alias("n_chunks"), (d % 3).alias("n_tables"), (d % 7).alias("n_cells"), (d % 5 == 0).alias("skipped")))
+
+
+@add(f"""WITH {_GATED}, secs AS (SELECT source, source || ' in ' || lang AS section, min(doc_id) AS opener, sum({_TOK}) AS tokens FROM documents GROUP BY ALL),
+    wanted AS (SELECT g.query_id, s.*, length(section) >= 4 AND tokens >= 60 AS major, h.vec_id IS NOT NULL AS there FROM gated g JOIN secs s USING (source) LEFT JOIN hits h ON h.query_id = g.query_id AND h.vec_id = s.opener)
+    SELECT query_id, count(*) AS outline_sections, count(*) FILTER (WHERE major) AS major_sections, count(*) FILTER (WHERE major AND there) AS covered_before, count(*) FILTER (WHERE major AND NOT there) AS added FROM wanted GROUP BY query_id""")
+def outline_coverage(spark, sf_dir):
+    """Which sections of the routed documents lack their opening chunk among the hits; a source's texts in one language are a section."""
+    hits = _fused(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    routed = rank.gate(rank.score_documents(hits, "vec_id")).select("query_id", "source")
+    section = F.concat("source", F.lit(" in "), "lang")
+    page = F.lit(1).alias("page")
+    chunks = docs.select(F.col("doc_id").alias("unit"), "source", section.alias("section"), page, F.lit(1).alias("page_end"), F.col("doc_id").alias("chunk_index"), F.lit("other").alias("content_type"), "text", text.word_count_tokens(F.col("text")).alias("tokens"))
+    units = hits.select("query_id", F.col("vec_id").alias("unit"), F.col("fused").alias("relevance")).join(chunks.drop("tokens"), "unit")
+    return context.with_coverage(units, chunks, routed)[1]
