@@ -229,12 +229,12 @@ def manifest_search(spark, sf_dir):
 
 
 @add("""WITH c AS (SELECT conv_id * 1000 + turn AS chunk_id, conv_id AS document_id, turn AS chunk_index, CASE WHEN turn % 3 = 0 THEN 't' || turn ELSE '' END AS table_id, role AS heading_path, turn = 0 AS s FROM conversations),
-    p AS (SELECT (document_id % 7)::INTEGER AS query_id, document_id, CASE WHEN chunk_index % 4 = 3 THEN table_id ELSE '' END AS table_id, CASE WHEN chunk_index % 4 < 2 THEN chunk_index END AS chunk_index, heading_path FROM c WHERE chunk_index < 6)
+    p AS (SELECT (document_id % 7)::INTEGER AS query_id, document_id, CASE WHEN chunk_index % 4 = 3 THEN table_id ELSE '' END AS table_id, CASE WHEN chunk_index % 4 < 2 THEN chunk_index END AS chunk_index, heading_path FROM c)
     SELECT DISTINCT query_id, c.chunk_id FROM p JOIN c ON c.document_id = p.document_id AND NOT c.s AND CASE WHEN p.table_id <> '' THEN c.table_id = p.table_id WHEN p.chunk_index IS NOT NULL THEN c.chunk_index = p.chunk_index ELSE p.heading_path <> '' AND c.heading_path = p.heading_path END""")
 def manifest_targets(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit("t"), F.col("turn").cast("string"))).otherwise("").alias("table_id"), F.col("role").alias("heading_path"), (F.col("turn") == 0).alias("is_table_summary"))
     k = F.col("chunk_index") % 4
-    items = c.filter("chunk_index < 6").select((F.col("document_id") % 7).cast("int").alias("query_id"), "document_id", F.when(k == 3, F.col("table_id")).otherwise("").alias("table_id"), F.when(k < 2, F.col("chunk_index")).alias("chunk_index"), "heading_path")
+    items = c.select((F.col("document_id") % 7).cast("int").alias("query_id"), "document_id", F.when(k == 3, F.col("table_id")).otherwise("").alias("table_id"), F.when(k < 2, F.col("chunk_index")).alias("chunk_index"), "heading_path")
     return manifest.targets(items, c)
 
 
@@ -330,11 +330,11 @@ def documents_newest_first(spark, sf_dir):
     return library.newest_first(o).select("user_id", "filename", "position")
 
 
-@add("""WITH a AS (SELECT c_nationkey AS user_id, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT DISTINCT n_nationkey AS user_id FROM nation WHERE n_nationkey % 2 = 0)
+@add("""WITH a AS (SELECT c_nationkey AS user_id, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT DISTINCT s_nationkey AS user_id FROM supplier)
     SELECT coalesce(a.user_id, b.user_id) AS user_id, n IS NOT NULL AS has_cells, b.user_id IS NOT NULL AS has_documents, coalesce(n, 0) AS n_cells FROM a FULL JOIN b ON a.user_id = b.user_id""")
 def owners(spark, sf_dir):
     cells = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("user_id"))
-    return library.owners(cells, table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("user_id")))
+    return library.owners(cells, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("user_id")))
 
 
 @add("""WITH r AS (SELECT o_custkey AS user_id, strftime(o_orderdate::TIMESTAMP, '%Y%m%dT%H%M%SZ') || o_orderkey AS run_id FROM orders) SELECT user_id, max(run_id) AS run_id FROM r GROUP BY 1""")

@@ -77,11 +77,12 @@ def cascade_delete(spark, sf_dir):
     return counts[0].unionByName(counts[1])
 
 
-@add("SELECT n_nationkey AS document_id, CASE WHEN n_nationkey < 10 THEN n_nationkey * 2 WHEN n_nationkey < 20 THEN n_nationkey END AS size_bytes FROM nation WHERE n_nationkey < 20")
+@add("""SELECT coalesce(n_nationkey, k) AS document_id, coalesce(n, n_nationkey)::BIGINT AS size_bytes FROM nation
+    FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) ON n_nationkey = k""")
 def upsert_documents(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    key = F.col("n_nationkey")
-    old, new = n.filter("n_nationkey < 20").select(key.alias("document_id"), key.alias("size_bytes")), n.filter("n_nationkey < 10").select(key.alias("document_id"), (key * 2).alias("size_bytes"))
+    """Nations as documents; those with suppliers get a new size."""
+    old = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("document_id"), F.col("n_nationkey").cast("long").alias("size_bytes"))
+    new = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("document_id")).agg(F.count("*").alias("size_bytes"))
     return library.upsert(old, new, ["document_id"], ["size_bytes"])
 
 
