@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import rank
 
 # What opens a list item, a labelled item, an enumeration, a section reference. The
 # last stands in two parts, tried in turn, as an extraction gives one group only.
@@ -83,6 +84,45 @@ def enumeration_plan(terms: DataFrame, items: DataFrame, least: int = 2, most: i
     return best.select("query_id", "term", "group_label", "whole", "score", F.least("n_items", F.lit(most)).cast("long").alias("n_items"), F.when(F.col("n_items") > most, F.col("n_items")).otherwise(0).cast("long").alias("truncated_from"))
 
 
+# Fixed value: an overview's own heading isn't one of its members.
+TYPES_OF = r"(?i)\b(?:types?|kinds?)\s+of\b"
+
+
+def union_plan(terms: DataFrame, items: DataFrame, least: int = 2, most: int = 25) -> DataFrame:
+    """The members of one enumeration that stand in different groups of one document: query_id, term, document_id, score, items, n_items, truncated_from.
+
+    ``terms``: query_id, term; ``items``: document_id, item. A term's items are those that it names,
+    in the document that has the most of them, without overview headings, elaborations of another
+    item and repeats; ``least`` of them must be left. Each question gets its best term, by half a
+    point an item and a quarter a word of the term.
+    """
+    stem = lambda c: F.explode(F.array_distinct(F.transform(F.split(text.normalise_item(c), " "), text.singular)))
+    asked = terms.select("query_id", "term", F.size(F.split("term", " ")).alias("words"), text.singular(F.get(F.split("term", " "), F.lit(0))).alias("_s"))
+    members = items.select("document_id", "item").filter(~F.col("item").rlike(TYPES_OF))
+    hits = asked.join(members.withColumn("_s", stem(F.col("item"))), "_s").filter(text.word_match(F.col("term"), F.col("item"))).drop("_s")
+    per = hits.groupBy("query_id", "term", "document_id").agg(F.count("*").alias("_n"))
+    fullest = rank.top(per, ["query_id", "term"], [F.desc("_n"), "document_id"], 1, "_k").select("query_id", "term", "document_id")
+    own = hits.join(fullest, ["query_id", "term", "document_id"], "left_semi")
+    short = without_elaborations(own, ["query_id", "term", "words", "document_id"])
+    nth = Window.partitionBy("query_id", "term").orderBy("item")
+    kept = short.withColumn("_nth", F.row_number().over(nth))
+    listed = F.array_sort(F.collect_list(F.when(F.col("_nth") <= most, F.col("item"))))
+    plans = kept.groupBy("query_id", "term", "words", "document_id").agg(F.count("*").alias("n"), listed.alias("items")).filter(F.col("n") >= least)
+    scored = plans.withColumn("score", F.round(0.5 * F.col("n") + 0.25 * F.col("words"), 6))
+    best = rank.top(scored, ["query_id"], [F.desc("score"), "term"], 1, "_k")
+    return best.select("query_id", "term", "document_id", "score", "items", F.least("n", F.lit(most)).cast("long").alias("n_items"), F.when(F.col("n") > most, F.col("n")).otherwise(0).cast("long").alias("truncated_from"))
+
+
+def best_plan(terms: DataFrame, items: DataFrame, least: int = 2, most: int = 25) -> DataFrame:
+    """query_id, kind (group or union), term, label, score, n_items: a union of groups only where it scores above every single group.
+
+    ``items``: document_id, group_label, item.
+    """
+    one = enumeration_plan(terms, items, least, most).select("query_id", F.lit("group").alias("kind"), "term", F.col("group_label").alias("label"), "score", "n_items")
+    many = union_plan(terms, items, least, most).select("query_id", F.lit("union").alias("kind"), "term", F.col("document_id").cast("string").alias("label"), "score", "n_items")
+    return rank.top(one.unionByName(many), ["query_id"], [F.desc("score"), "kind"], 1, "_k").drop("_k")
+
+
 def section_name(question: Column) -> Column:
     """The section that a question names, without question words before it, or the empty text."""
     raw = F.coalesce(F.nullif(F.regexp_extract(question, SECTION_REFERENCE, 1), F.lit("")), F.regexp_extract(question, SECTION_CALLED, 1))

@@ -162,6 +162,21 @@ def enumeration_plan(spark, sf_dir):
     return manifest.enumeration_plan(asked, items)
 
 
+@add(r"""WITH i AS (SELECT p_brand AS document_id, p_name AS item FROM part WHERE NOT regexp_matches(p_name, '(?i)\b(?:types?|kinds?)\s+of\b')),
+    t(query_id, term, words) AS (VALUES (1, 'widget', 1), (2, 'blue bolt', 2), (2, 'blue', 1), (2, 'bolt', 1), (3, 'ring', 1)),
+    h AS (SELECT t.*, i.* FROM t JOIN i ON list_bool_and(list_transform(string_split(term, ' '), lambda w: regexp_matches(lower(trim(item)), '\b' || w || '(?:s|es|ies)?\b')))),
+    c AS (SELECT query_id, term, document_id, count(*) AS n FROM h GROUP BY ALL),
+    n AS (SELECT query_id, term, document_id FROM c QUALIFY row_number() OVER (PARTITION BY query_id, term ORDER BY n DESC, document_id) = 1),
+    p AS (SELECT DISTINCT h.query_id, h.term, h.words, h.document_id, lower(trim(regexp_replace(string_split_regex(item, '\s*[-–]\s*')[1], '\s+', ' ', 'g'))) AS item FROM h JOIN n USING (query_id, term, document_id)),
+    s AS (SELECT query_id, term, document_id, count(*) AS n, round(0.5::DOUBLE * count(*) + 0.25 * any_value(words), 6) AS score FROM p GROUP BY ALL HAVING count(*) >= 2)
+    SELECT query_id, term, document_id, score, least(n, 25)::BIGINT AS n_items, CASE WHEN n > 25 THEN n ELSE 0 END::BIGINT AS truncated_from FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) = 1""")
+def enumeration_union(spark, sf_dir):
+    """Part names that a term names anywhere in one brand, whatever their group."""
+    items = table(spark, sf_dir, "part").select(F.col("p_brand").alias("document_id"), F.col("p_name").alias("item"))
+    asked = spark.createDataFrame(_LISTS, "query_id int, text string").select("query_id", F.explode(manifest.enumeration_terms(F.col("text"))).alias("term"))
+    return manifest.union_plan(asked, items).drop("items")
+
+
 @add(r"""WITH p AS (SELECT DISTINCT p_name AS heading_path FROM part),
     q(query_id, name, also) AS (VALUES (1, 'red', 'widget'), (2, 'blue', 'bolt'), (3, 'widget', 'widget'))
     SELECT query_id::INTEGER AS query_id, heading_path FROM q JOIN p ON regexp_matches(lower(heading_path), '\b' || name || '(?:s|es|ies)?\b') AND regexp_matches(lower(heading_path), '\b' || also || '(?:s|es|ies)?\b') QUALIFY count(*) OVER (PARTITION BY query_id) <= greatest(1, floor((SELECT count(*) FROM p) * 0.5))""")

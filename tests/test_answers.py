@@ -263,6 +263,22 @@ def test_stream_of_documents(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_union_of_groups(spark):
+    rows = [
+        ("d1", "Chapter 1", "VPN Request"), ("d1", "Chapter 2", "Access Request"), ("d1", "Chapter 3", "Hardware Request"), ("d1", "Chapter 3", "VPN Request - Exceptions"),
+        ("d1", "Chapter 4", "access request"), ("d1", "Chapter 1", "Types of Request"), ("d2", "Chapter 9", "Other Request"), ("d2", "Faults", "E-01"), ("d2", "Faults", "E-02"),
+    ]
+    items = spark.createDataFrame(rows, "document_id string, group_label string, item string")
+    terms = spark.createDataFrame([(1, "request"), (2, "fault"), (3, "other request")], "query_id int, term string")
+    got = {r.query_id: (r.term, r.document_id, [x.lower() for x in r.items], r.n_items, r.score) for r in manifest.union_plan(terms, items).collect()}
+    assert got == {1: ("request", "d1", ["access request", "hardware request", "vpn request"], 3, 1.75)}
+    best = {r.query_id: (r.kind, r.label, r.n_items) for r in manifest.best_plan(terms, items).collect()}
+    # no single chapter holds two requests that score more; the faults stand in one group
+    assert best == {1: ("union", "d1", 3), 2: ("group", "Faults", 2)}
+    few = manifest.union_plan(terms, items, most=2).first()
+    assert few.n_items == 2 and few.truncated_from == 3 and len(few["items"]) == 2
+
+
 def test_every_engine_query_is_checked():
     """Queries without SQL are those that a test compares with plain Python."""
     tested = {"greedy_dedup", "enumeration_plan", "fuzzy_resolve", "fact_ask", "prune_units", "table_documents", "table_parts", "assemble_context", "enforced_answers", "ann_topk", "parent_child_chunks"}
