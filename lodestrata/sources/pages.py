@@ -3,7 +3,7 @@
 ``spark.read.format("extracted_pages").load(folder)`` gives source, page, text. A document is a
 partition; conditions on ``source`` (``=``, IN, and these joined by AND) reach the source, which
 then opens no other files, and conditions on ``page`` skip lines before their text is decoded
-further. What can't be pushed down is left to Spark. Lines that aren't JSON objects are passed
+further. What can't be pushed down is left to Spark. The folder must be one that ``pyarrow.fs`` opens. Lines that aren't JSON objects are passed
 over, as one bad page is no reason to lose a document.
 """
 
