@@ -229,6 +229,20 @@ def breadcrumb(parts: Column) -> Column:
     return F.array_join(_first_in_any_case(F.filter(parts, lambda p: strip(p) != "")), " > ")
 
 
+def clean_labels(labels: Column, most: int, longest: int = 120) -> Column:
+    """The first ``most`` labels of an array: spaces squeezed, edge marks cut, repeats in any case left out, cut to ``longest``.
+
+    A label beyond ``longest`` is held against none, as only what it is cut to is kept.
+    """
+    bare = F.transform(F.filter(labels, lambda x: x.isNotNull()), lambda x: F.regexp_replace(squeeze(x), r"^[ .;,]+|[ .;,]+$", ""))
+
+    def firsts(v: Column, low: Column) -> Column:
+        kept = F.transform(v, lambda x, i: F.when((F.length(x) > longest) | (F.array_position(low, F.get(low, i)) == i + 1), F.substring(x, 1, longest)))
+        return F.slice(F.filter(kept, lambda x: x.isNotNull()), 1, most)
+
+    return let(F.filter(bare, lambda x: x != ""), lambda v: let(F.transform(v, F.lower), lambda low: firsts(v, low)))
+
+
 def is_refusal(text: Column) -> Column:
     """Whether an answer, freed of markdown and quotes, is the fixed refusal."""
     bare = F.lower(F.regexp_replace(text, r"[*_`>#\"'“”‘’]|^\s*[-+]\s+", ""))

@@ -189,3 +189,11 @@ def sliding_windows(spark, sf_dir):
     SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k""")
 def session_windows(spark, sf_dir):
     return _events(spark, sf_dir).groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+@add(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^ | $', '', 'g'), '^[ .;,]+|[ .;,]+$', '', 'g')), lambda x: x <> '') AS v FROM documents)
+    SELECT doc_id, array_to_string(list_filter(v, lambda x, i: length(x) > 120 OR list_position(list_transform(v, lambda y: lower(y)), lower(x)) = i)[1:8].list_transform(lambda x: x[1:120]), ' | ') AS labels FROM l""")
+def label_cleaning(spark, sf_dir):
+    """The lines of a document as labels: the first eight that differ."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.array_join(text.clean_labels(F.split("text", "\n"), 8), " | ").alias("labels"))

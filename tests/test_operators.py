@@ -142,3 +142,12 @@ def test_fuzzy_candidates_match_brute_force(spark):
     got = sorted((r.variant, r.norm) for r in facts.fuzzy_candidates(variants, choices).collect())
     assert got == sorted((a, b) for a in asked for b in labels if meet(a, b))
     assert {("rands", "brand"), ("ations", "nation"), ("ustome", "customer")} <= set(got)
+
+
+def test_labels_are_cleaned(spark):
+    from lodestrata.functions import text
+
+    long = "x" * 150
+    labels = [None, " Sick   leave. ", "sick LEAVE", ";,", "", long, long, "pay,", "Pay", "third"]
+    row = spark.createDataFrame([(labels,)], "l array<string>").select(text.clean_labels(F.col("l"), 4).alias("a"), text.clean_labels(F.col("l"), 9).alias("b")).first()
+    assert row.a == ["Sick leave", "x" * 120, "x" * 120, "pay"] and row.b == [*row.a, "third"]
