@@ -169,7 +169,10 @@ def aggregate_intent(q: DataFrame, trust: float = 85.0) -> DataFrame:
 
 def lookup(probes: DataFrame, all_cells: DataFrame) -> DataFrame:
     """query_id, verdict, value, n_rows for probes (query_id, entity_norm, column_norm): confident only for one row."""
-    hits = probes.join(all_cells, ["entity_norm", "column_norm"], "left").groupBy("query_id").agg(F.count("value").alias("n_rows"), F.min("value").alias("_v"))
+    by = ["entity_norm", "column_norm"]
+    # cells of one name and column are counted before the probes meet them: a name that many rows share makes no pairs
+    counted = all_cells.join(probes.select(*by).distinct(), by, "left_semi").groupBy(*by).agg(F.count("value").alias("_n"), F.min("value").alias("_v"))
+    hits = probes.join(counted, by, "left").groupBy("query_id").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.min("_v").alias("_v"))
     return hits.select("query_id", F.when(F.col("n_rows") == 1, "confident").when(F.col("n_rows") == 0, "empty").otherwise("ambiguous").alias("verdict"), F.when(F.col("n_rows") == 1, F.col("_v")).alias("value"), "n_rows")
 
 
