@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 
@@ -58,31 +60,38 @@ def heading_levels(df: DataFrame, by: str, order: str, level: str, title: str, d
     return out.withColumn("heading_path", F.array_join(parts, " > ")).drop(*[f"_h{k}" for k in range(1, depth + 1)])
 
 
-def pack(items: Column, cap: int, most: int | None = None) -> Column:
-    """Greedy packing of an ordered array of (tokens, ...) into numbered groups, as an array of group numbers.
+def packed(df: DataFrame, by: list[str], order: list[str], tokens: str, cap: int, most: int | None = None, name: str = "chunk_no") -> DataFrame:
+    """``df`` with its rows packed greedily, in order, into groups numbered from 0 within ``by``.
 
-    A group is closed when the next item would take it beyond ``cap`` tokens (or ``most`` items);
-    an item larger than ``cap`` stands alone. A fold: it depends on all items before.
+    A group is closed when the next row would take it beyond ``cap`` tokens (or ``most`` rows); a
+    row larger than ``cap`` stands alone. A number depends on all rows before, so each group of
+    ``by`` is read once in its order; no more than a batch of it is held.
     """
-    start = F.struct(F.lit(0).alias("group"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("count"), F.array().cast("array<int>").alias("out"))
-
-    def step(s, x):
-        full = (s["count"] > 0) & (s["used"] + x["tokens"] > cap)
-        if most is not None:
-            full = full | (s["count"] >= most)
-        group = s["group"] + full.cast("int")
-        return F.struct(group.alias("group"), F.when(full, x["tokens"].cast("long")).otherwise(s["used"] + x["tokens"]).alias("used"), F.when(full, F.lit(1)).otherwise(s["count"] + 1).alias("count"), F.array_append(s["out"], group).alias("out"))
-
-    return F.aggregate(items, start, step, lambda s: s["out"])
+    rows = df.withColumn("_size", F.coalesce(F.col(tokens), F.lit(0)).cast("long")).withColumn("_first", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1)
+
+    def run(batches):
+        group, used, count = 0, 0, 0
+        for batch in batches:
+            out = []
+            for size, first in zip(batch.column("_size").to_pylist(), batch.column("_first").to_pylist(), strict=True):
+                if first:
+                    group, used, count = 0, 0, 0
+                elif used + size > cap or count == most:
+                    group, used, count = group + 1, 0, 0
+                used, count = used + size, count + 1
+                out.append(group)
+            kept = batch.drop_columns(["_size", "_first"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.int32())], names=[*kept.schema.names, name])
+
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType())])
+    return rows.mapInArrow(run, schema)
 
 
 def pack_blocks(df: DataFrame, by: list[str], order: str, text_col: str, cap: int, most: int | None = None) -> DataFrame:
     """by, chunk_no, text, n_blocks, tokens: the blocks of each section packed to ``cap`` tokens, in order."""
-    item = F.struct(F.col(order).alias("o"), text.word_count_tokens(F.col(text_col)).alias("tokens"), F.col(text_col).alias("text"))
-    grouped = df.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    numbered = grouped.withColumn("_g", pack(F.col("_items"), cap, most))
-    flat = numbered.select(*by, F.explode(F.arrays_zip("_items", "_g")).alias("z")).select(*by, F.col("z._items").alias("i"), F.col("z._g").alias("chunk_no"))
-    return flat.groupBy(*by, "chunk_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i.o", "i.text"))), lambda x: x["text"]), "\n").alias("text"), F.count("*").alias("n_blocks"), F.sum("i.tokens").alias("tokens"))
+    items = df.select(*by, F.col(order).alias("o"), text.word_count_tokens(F.col(text_col)).alias("tokens"), F.col(text_col).alias("text"))
+    flat = packed(items, by, ["o", "tokens", "text"], "tokens", cap, most)
+    return flat.groupBy(*by, "chunk_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "text"))), lambda x: x["text"]), "\n").alias("text"), F.count("*").alias("n_blocks"), F.sum("tokens").alias("tokens"))
 
 
 def splice(chunks: DataFrame, tables: DataFrame, by: str, order: str, page: str) -> DataFrame:
