@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import numbers
 from ..sources.store import Store
-from . import rank
+from . import blocks, rank
 
 #: Vectors that centres are fitted on at most, and how many of them test the index.
 SAMPLE, ASKING = 50_000, 500
@@ -106,21 +105,52 @@ class VectorIndex:
         self.store.write("cells", self.spark.createDataFrame([(k, [float(v) for v in c], probes) for k, c in enumerate(centres)], "cell int, centre array<double>, probes int"))
         return self
 
+    def _sent(self, questions: DataFrame, probes: int | None):
+        """The vectors of a stated set of questions, checked to be small, with MOST_CELLS centres at most, for every task; and the questions' ids."""
+        asked = questions.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+        rank._checked(asked, F.size("vector"))
+        listed = asked.toArrow()
+        cells = self.store.read("cells").orderBy("cell").collect()
+        centres = np.array([r["centre"] for r in cells], np.float64) if cells else np.zeros((0, 0))
+        most = (cells[0]["probes"] if cells else 0) if probes is None else probes
+        return self.spark.sparkContext.broadcast((listed.column(1).combine_chunks(), centres, most)), listed.column(0).to_pylist()
+
     def probed(self, questions: DataFrame, probes: int | None = None) -> DataFrame:
-        """query_id, vector, cell: each question beside its nearest cells; ``questions`` is a stated set, checked to be small."""
-        cells = self.store.read("cells")
-        near = rank._against(cells.select("cell", "centre", "probes"), questions.select("query_id", "vector"), F.size("vector"))
-        scored = near.select(F.col("q.query_id").alias("query_id"), F.col("q.vector").alias("vector"), "cell", "probes", numbers.cosine_distance(F.col("centre"), F.col("q.vector")).alias("_d"))
-        return rank.top(scored, ["query_id"], [F.col("_d").asc_nulls_last(), "cell"], MOST_CELLS, "_nth").filter(F.col("_nth") <= (F.col("probes") if probes is None else F.lit(probes))).select("query_id", "vector", "cell")
+        """query_id, cell: each question with its nearest cells; ``questions`` is a stated set, checked to be small."""
+        sent, ids = self._sent(questions, probes)
+
+        def run(batches):
+            for batch in batches:
+                for low in batch.column(0).to_pylist():
+                    asked, centres, most = sent.value
+                    starts, numbers = blocks.probing(asked.slice(low, blocks.ASKING), centres, most)
+                    yield pa.RecordBatch.from_arrays([pa.array(low + numbers), pa.array(np.repeat(np.arange(len(centres), dtype=np.int32), np.diff(starts)))], names=["_q", "cell"])
+
+        pairs = self.spark.range(0, len(ids), blocks.ASKING).mapInArrow(run, "_q long, cell int")
+        return rank._named(pairs, ids, questions.schema["query_id"].dataType.simpleString())
 
     def search(self, questions: DataFrame, k: int, probes: int | None = None) -> DataFrame:
-        """query_id, key, distance, rank: the ``k`` nearest of the cells that a question probes."""
-        asked = self.probed(questions, probes)
-        wanted = [r["cell"] for r in asked.select("cell").distinct().collect()]  # MOST_CELLS at most
-        rows = self.store.read("vectors").filter(F.col("cell").isin(wanted))
-        pairs = rows.join(F.broadcast(asked.withColumnRenamed("vector", "_q")), "cell")  # the stated set, once for each probe
-        scored = pairs.select("query_id", self.key, (F.round(numbers.cosine_distance(F.col("vector"), F.col("_q")), 6) + 0.0).alias("distance")).filter("distance IS NOT NULL")
-        return rank.top(scored, ["query_id"], ["distance", self.key], k)
+        """query_id, key, distance, rank: the ``k`` nearest of the cells that a question probes.
+
+        Each task holds the stated questions and measures the rows of a cell, in blocks, against those
+        that probe it; it keeps ``k`` rows of a question before anything is shuffled.
+        """
+        wanted = [r["cell"] for r in self.probed(questions, probes).select("cell").distinct().collect()]  # MOST_CELLS at most
+        sent, ids = self._sent(questions, probes)
+        rows = self.store.read("vectors").filter(F.col("cell").isin(wanted)).select(self.key, F.col("vector").alias("_v"), "cell")
+        parts = max(2, 2 * self.spark.sparkContext.defaultParallelism)
+        # few cells to a task, a large one over several; in the order of keys, so that of equal distances the first stays
+        dealt = rows.repartitionByRange(parts, "cell", self.key).sortWithinPartitions(self.key)
+        key, kind = self.key, rows.schema[self.key].dataType.simpleString()
+
+        def run(batches):
+            asked, centres, most = sent.value
+            for q, value, keys in blocks.by_cosine(asked, key, k, batches, blocks.probing(asked, centres, most)):
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(value), keys], names=["_q", "_d", key])
+
+        found = rank._named(dealt.mapInArrow(run, f"_q long, _d double, `{key}` {kind}"), ids, questions.schema["query_id"].dataType.simpleString())
+        scored = found.select("query_id", key, F.when(F.col("_d") < blocks.NAN, F.col("_d")).otherwise(F.lit(float("nan"))).alias("distance"))
+        return rank.top(scored, ["query_id"], ["distance", key], k)
 
 
 def recall(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:

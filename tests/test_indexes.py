@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.functions import numbers
 from lodestrata.operators import rank, vectors
 from lodestrata.operators.postings import Postings
 from lodestrata.operators.vectors import VectorIndex
@@ -125,6 +126,23 @@ def test_fewer_cells_are_read_where_vectors_lie_in_heaps(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*cell", plan._jdf.queryExecution().executedPlan().toString())
 
 
+def test_cells_are_searched_in_blocks(spark, tmp_path):
+    """No row is made for a pair; of equal distances the smaller key stays; vectors that can't be measured are near to none."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(500, 8)), 3, axis=0)
+    rows_ = [(int(k), [float(v) for v in x[j]]) for j, k in enumerate(rng.permutation(1500))] + [(1600, [0.0] * 8), (1601, [1.0, 2.0])]
+    df = spark.createDataFrame(rows_, "chunk_id long, embedding array<float>").filter("size(embedding) = 8")
+    index = VectorIndex(spark, f"file://{tmp_path}").build(df, cells=12)
+    questions = spark.createDataFrame([(f"q{k}", v) for k, v in rows_[:300]] + [("zero", [0.0] * 8), ("short", [1.0, 2.0]), ("none", None)], "query_id string, vector array<float>")
+    found = index.search(questions, 4, probes=12)
+    assert "Join [cell" not in found._jdf.queryExecution().analyzed().toString() and "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rank.knn(df, questions, "chunk_id", 4).collect()))
+    # few probes: what brute force finds within the probed cells
+    near = index.probed(questions, 2).join(index.store.read("vectors"), "cell").join(questions.withColumnRenamed("vector", "v"), "query_id")
+    want = rank.top(near.select("query_id", "chunk_id", (F.round(numbers.cosine_distance(F.col("vector"), F.col("v")), 6) + 0.0).alias("distance")).filter("distance IS NOT NULL"), ["query_id"], ["distance", "chunk_id"], 4)
+    assert sorted(map(tuple, index.search(questions, 4, probes=2).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_every_vector_is_filed_once(spark, tmp_path):
     rows_ = [(k, [float(k % 3), 1.0]) for k in range(50)] + [(90, None), (91, []), (92, [0.0, 0.0])]
     df = spark.createDataFrame(rows_, "chunk_id long, embedding array<float>")
