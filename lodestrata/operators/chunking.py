@@ -29,7 +29,7 @@ TABLE_LINE = r"^\s*\|.*\|\s*$"
 
 
 def count_tokens(value: str) -> int:
-    return sum(1 for _ in _TOKEN.finditer(value))
+    return len(_TOKEN.findall(value))
 
 
 def _atoms(value: str, size: int, level: int = 0) -> list[tuple[str, int]]:
@@ -49,7 +49,7 @@ def split_text(value: str, size: int, overlap: int = 0) -> list[tuple[str, int]]
     def close() -> None:
         piece = "".join(x for x, _ in held).strip()
         if piece:
-            out.append((piece, count_tokens(piece)))
+            out.append((piece, used))  # no token lies in two atoms
 
     for atom, n in _atoms(value, size):
         if new and used + n > size:
@@ -74,7 +74,7 @@ def pack(blocks: Iterator[Block], size: int, overlap: int = 0) -> Iterator[tuple
 
     def closed():
         piece = "\n".join(b[2] for b in held).strip()
-        return [(piece, min(b[0] for b in held), max(b[0] for b in held), False, count_tokens(piece), held)] if piece else []
+        return [(piece, min(b[0] for b in held), max(b[0] for b in held), False, used, held)] if piece else []
 
     for block in blocks:
         page, kind, value, n = block
@@ -169,10 +169,11 @@ def chunks(blocks: DataFrame, document: str, section: str, order: str, child: in
     ddl = ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in by) + ", parent_no int, child_no int, text string, page int, page_end int, has_table boolean, tokens int"
     arrow = pa.schema([*((c, _arrow_type(blocks, c)) for c in by), ("parent_no", pa.int32()), ("child_no", pa.int32()), ("text", pa.string()), ("page", pa.int32()), ("page_end", pa.int32()), ("has_table", pa.bool_()), ("tokens", pa.int32())])
     both = dealt.mapInArrow(_chunked(by, child, overlap, parent)(arrow), ddl)
-    place = Window.partitionBy(document).orderBy(section, "parent_no", "child_no")
-    parents = both.filter("child_no IS NULL").withColumn("parent_index", F.row_number().over(place) - 1)
-    numbers = parents.select(*by, "parent_no", "parent_index")
-    children = both.filter("child_no IS NOT NULL").join(numbers, [*by, "parent_no"]).withColumn("chunk_index", F.row_number().over(place) - 1)
+    # a parent stands before its children: both are numbered as they pass, so that blocks are packed once
+    place = Window.partitionBy(document).orderBy(section, "parent_no", F.col("child_no").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = lambda which: F.count_if(which).over(place).cast("int") - 1
+    numbered = both.withColumn("parent_index", so_far(F.col("child_no").isNull())).withColumn("chunk_index", so_far(F.col("child_no").isNotNull()))
+    parents, children = numbered.filter("child_no IS NULL"), numbered.filter("child_no IS NOT NULL")
     last = F.max("chunk_index").over(Window.partitionBy(document))
     linked = children.withColumn("prev_index", F.when(F.col("chunk_index") > 0, F.col("chunk_index") - 1)).withColumn("next_index", F.when(F.col("chunk_index") < last, F.col("chunk_index") + 1))
     shared = [*by, "parent_index"]

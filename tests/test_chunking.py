@@ -124,3 +124,19 @@ def test_engine_keeps_parents_and_its_index(spark, tmp_path):
     fresh = Engine(spark, f"file://{tmp_path}/none", "u1")
     assert fresh.documents().count() == 0 and fresh.sessions().count() == 0 and fresh.runs().count() == 0 and fresh.messages("x").count() == 0
     assert [(r.action, r.answer[:12]) for r in fresh.ask(asked).collect()] == [("refused", "I don't know")] * 2
+
+
+def test_children_are_packed_once(spark):
+    """Parents and children are numbered in one pass over what was packed."""
+    rows = [(d, s, b, 1, "paragraph", f"w{b} " * (1 + b % 7)) for d in range(3) for s in range(3) for b in range(20)]
+    blocks = spark.createDataFrame(rows, "doc long, section int, block int, page int, kind string, line string")
+    parents, children = chunking.chunks(blocks, "doc", "section", "block", child=9, overlap=2, parent=25)
+    assert children._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    held = {(r.doc, r.section, r.parent_index) for r in parents.collect()}
+    got = children.collect()
+    assert {(r.doc, r.section, r.parent_index) for r in got} == held
+    for d in range(3):
+        assert sorted(r.parent_index for r in parents.collect() if r.doc == d) == list(range(sum(h[0] == d for h in held)))
+        own = sorted((r.chunk_index, r.section, r.parent_index, r.prev_index, r.next_index) for r in got if r.doc == d)
+        assert [x[0] for x in own] == list(range(len(own))) and [x[1:3] for x in own] == sorted(x[1:3] for x in own)
+        assert [x[3:] for x in own] == [(k - 1 if k else None, k + 1 if k + 1 < len(own) else None) for k in range(len(own))]
