@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import numbers
 from lodestrata.operators import rank, vectors
-from lodestrata.operators.postings import Postings
+from lodestrata.operators.postings import Counted, Postings
 from lodestrata.operators.vectors import VectorIndex
 from lodestrata.plans import catalog
 
@@ -43,6 +43,17 @@ def test_index_scores_as_a_scan_does(spark, tmp_path):
     assert {r.rank for r in best.collect()} <= {1, 2, 3}
 
 
+def test_counted_chunks_score_as_the_index_does(spark, tmp_path):
+    """A batch of questions is scored from the counted rows: no posting is dealt by term. Chunks of one key are brought together."""
+    df = frame(spark, chunks(spark))
+    for n, rows_ in enumerate((df, df.union(df.filter("chunk_id < 9").withColumn("text", F.concat(F.lit("the w1 "), "text"))))):
+        counted, index = (kind(spark, f"file://{tmp_path}/{kind.__name__}{n}", folders=4).build(rows_) for kind in (Counted, Postings))
+        assert counted.exists() and counted.weights() == pytest.approx(index.weights())
+        assert (counted.store.read("postings") is None) == (n == 0)
+        assert rows(counted.search(asked(spark), 5)) == rows(index.search(asked(spark), 5))
+        assert rows(counted.scores(asked(spark))) == rows(index.scores(asked(spark)))
+
+
 def test_labels_find_but_are_not_text(spark, tmp_path):
     df = frame(spark, chunks(spark))
     index = Postings(spark, f"file://{tmp_path}", folders=8).build(df, labels=["topics"])
