@@ -32,12 +32,11 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             scratch.drop(held)
             held, moved = further, not is_empty(further.filter("moved"))
         parent = held.select("node", "up")
-        newer = scratch.table(parent.select("node", F.col("up").alias("label")), "labels")
-        if labels is not None:
-            older, newest = labels, newer
-            newer = relabelled(older, newest, scratch)
-            scratch.drop(older, newest)
-        labels = newer
+        if labels is None:
+            labels = scratch.table(parent.select("node", F.col("up").alias("label")), "labels")
+        else:
+            older, labels = labels, relabelled(labels, parent.select("node", F.col("up").alias("label")), scratch)
+            scratch.drop(older)
         up = parent.select(F.col("node").alias("a"), F.col("up").alias("a2"))
         down = parent.select(F.col("node").alias("b"), F.col("up").alias("b2"))
         further = scratch.table(left.join(up, "a").join(down, "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")).filter("a <> b").distinct(), "edges")

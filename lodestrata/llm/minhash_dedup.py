@@ -27,7 +27,10 @@ Hence x and y share a shingle outside L, and more exactly |x and y| - |x and L|
 the same for all members: x and y then share one of the first |x outside L| - s + 1 of x's and
 one of as many of y's, the same one, s being the least number that x (or y) needs. The bucket
 splits into smaller buckets, one for each such shingle (L is in none of them), that are treated
-alike; shingles that stand in one class only make none. The order puts shingles that were not
+alike; shingles that stand in one class only make none. L need not be in the bucket: any text no
+larger than its members will do that has met them all. The buckets of one family overlap, so large
+buckets are split by the least leader of those that their members are in (the head), and a member is
+split about once, not once for each leader that it has. The order puts shingles that were not
 met twice among ``SAMPLE`` members of a large bucket first and the most common last: it only
 decides how small the new buckets get, not what is found.
 
@@ -251,9 +254,19 @@ class _Settling:
         return out
 
     def led(self, active: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """Buckets of several classes, with their leader."""
+        """Buckets of several classes, with their leader and its size."""
         rows = _labelled(active, labels).groupBy("bucket").agg(F.min(F.struct("size", "node", "label")).alias("l"), F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("n"))
-        return self.scratch.table(rows.filter("_low <> _high").select("bucket", F.col("l.node").alias("a"), F.col("l.label").alias("of"), "n"), "leaders")
+        return self.scratch.table(rows.filter("_low <> _high").select("bucket", F.col("l.node").alias("a"), F.col("l.label").alias("of"), F.col("l.size").alias("_least"), "n"), "leaders")
+
+    def heads(self, large: DataFrame) -> DataFrame:
+        """(bucket, head): the least leader of the large buckets that any member of a bucket is in.
+
+        The buckets of a family overlap, and so have few heads, most members only one, where they
+        have a leader for each bucket. A head is no larger than the bucket's own leader.
+        """
+        own = large.select("bucket", "node", F.struct(F.col("_least").alias("size"), F.col("a").alias("node")).alias("l"))
+        least = own.groupBy("node").agg(F.min("l").alias("l"))
+        return self.scratch.table(own.select("bucket", "node").join(least, "node").groupBy("bucket").agg(F.min("l").alias("l")).select("bucket", F.col("l.node").alias("head")), "heads")
 
     def paired(self, few: DataFrame) -> DataFrame:
         """The pairs of different classes within small buckets, each met in the first bucket that both are in."""
@@ -281,7 +294,7 @@ class _Settling:
         common = self.common(many)
         with_text = self.texts(many, common).select("a", "b", "text_a", "text_b", "common")
         parts = with_text.mapInArrow(outside(self.similar), "a long, b long, items array<long>")
-        items = parts.select("a", "b", F.explode("items").alias("item")).join(many, ["a", "b"])
+        items = parts.join(many, ["a", "b"]).select("a", "b", "size", "label", F.explode("items").alias("item"))
         items = self.scratch.table(items.select(F.xxhash64("a", "item").alias("bucket"), F.col("b").alias("node"), "size", "label"), "outside")
         shared = items.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("bucket")
         shared = self.scratch.table(shared, "open")
@@ -303,17 +316,19 @@ class _Settling:
             lead = self.led(active, labels)
             if is_empty(lead):
                 return labels
-            led = self.scratch.table(active.join(lead, "bucket").select("bucket", "node", "size", "a", "of", "n"), "led")
-            rows = _labelled(led, labels)
-            large = (F.col("n") > most) & (F.col("node") != F.col("a"))
-            to_leaders = rows.filter(large & (F.col("label") != F.col("of"))).select("a", F.col("node").alias("b"))
-            labels = self.linked(labels, to_leaders.union(self.paired(rows.filter(F.col("n") <= most))).distinct())
-            # leaders have met all others of their bucket; what is still open is between the others
-            members = self.scratch.table(_labelled(led.filter(large), labels).select("bucket", "node", "size", "a", "label"), "members")
+            led = self.scratch.table(active.join(lead, "bucket").select("bucket", "node", "size", "a", "of", "_least", "n"), "led")
+            large = led.filter(F.col("n") > most)
+            heads = self.heads(large)
+            met = self.scratch.table(large.join(heads, "bucket").filter(F.col("node") != F.col("a")).select("bucket", "node", "size", "a", "of", "head"), "met")
+            to_leaders = _labelled(met, labels).filter(F.col("label") != F.col("of")).select("a", F.col("node").alias("b"))
+            to_heads = met.filter(F.col("head") != F.col("node")).select(F.col("head").alias("a"), F.col("node").alias("b"))
+            pairs = to_leaders.union(to_heads).union(self.paired(_labelled(led.filter(F.col("n") <= most), labels))).distinct()
+            labels = self.linked(labels, pairs)
+            # leaders and heads have met all others of their bucket; what is still open is between the others
+            members = self.scratch.table(_labelled(met.filter(F.col("head") != F.col("node")), labels).select("bucket", "node", "size", "head", "label"), "members")
             still = self.scratch.table(members.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("bucket"), "still")
-            many = self.scratch.table(members.join(still, "bucket").select("a", F.col("node").alias("b"), "size", "label").distinct(), "many")
-            self.scratch.drop(still)
-            self.scratch.drop(led, members, active)
+            many = self.scratch.table(members.join(still, "bucket").select(F.col("head").alias("a"), F.col("node").alias("b"), "size", "label").distinct(), "many")
+            self.scratch.drop(still, heads, led, met, members, active)
             if is_empty(many):
                 return labels
             active, most = self.split(many), most * GROWTH

@@ -151,6 +151,27 @@ def test_a_large_bucket_below_the_limit(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == sorted(classes(rows))
 
 
+def test_members_of_a_family_are_split_once(spark, monkeypatch):
+    """Buckets that overlap are split by one head, not each by its own leader."""
+    rng = random.Random(5)
+    base, rows = [f"w{k}" for k in range(200)], []
+    for k in range(150):
+        text = list(base)
+        for j in range(rng.choice([2, 3, 4, 5])):
+            text[rng.randrange(200)] = f"n{k}-{j}"
+        rows.append((k, " ".join(text)))
+    split, met = minhash_dedup._Settling.split, []
+
+    def counted(self, many):
+        met.append((many.count(), many.select("b").distinct().count()))
+        return split(self, many)
+
+    monkeypatch.setattr(minhash_dedup._Settling, "split", counted)
+    got = minhash_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == sorted(classes(rows))
+    assert met and all(pairs <= 1.5 * members for pairs, members in met), met
+
+
 def test_other_thresholds_are_refused(documents):
     with pytest.raises(ValueError):
         minhash_dedup.near_groups(documents, similar=0.5)
