@@ -18,21 +18,25 @@ Processing stops early: a shingle is followed only while its next arrival is bef
 of the components' first arrivals. Bands of components give buckets; a pair of similarity 0.8
 shares no bucket with probability (1 - 0.8^R)^B, 7e-6 here.
 
-Within buckets members aren't paired off. The leader of a bucket is its smallest text L, and
-each member is verified against L on exact shingles: as many checks as members. Take a member x
+Within buckets members aren't paired off. The leader L of a bucket is the member that meets most
+others in all its buckets: of a text and its edited copies, the text, so that little stands outside
+it. Each member is verified against L on exact shingles: as many checks as members. Take a member x
 that isn't linked to L and any member y linked to x, and say x and y share nothing outside L.
-Then |x and L| >= |x and y| and |L| <= |y|, so J_W(x, L) >= J_W(x, y) >= 0.8, a contradiction.
+Then |x and L| >= |x and y|, and if |L| <= |y|, J_W(x, L) >= J_W(x, y) >= 0.8, a contradiction.
 Hence x and y share a shingle outside L, and more exactly |x and y| - |x and L| of them, where
 |x and y| must be at least 0.8 / 1.8 (|x| + |y|). Put the shingles outside L in any order that is
 the same for all members: x and y then share one of the first |x outside L| - s + 1 of x's and
 one of as many of y's, the same one, s being the least number that x (or y) needs. The bucket
 splits into smaller buckets, one for each such shingle (L is in none of them), that are treated
-alike; shingles that stand in one class only make none. L need not be in the bucket: any text no
-larger than its members will do that has met them all. The buckets of one family overlap, so large
-buckets are split by the least leader of those that their members are in (the head), and a member is
-split about once, not once for each leader that it has. The order puts shingles that were not
-met twice among ``SAMPLE`` members of a large bucket first and the most common last: it only
-decides how small the new buckets get, not what is found.
+alike; shingles that stand in one class only make none. What this leaves are pairs of an x that
+isn't linked to L and a y smaller than L of which neither needs a shingle outside L, given the
+least size among the members. Such x and y form one more bucket, whose leader is its smallest
+text, and no member is smaller than that. L need not be in the bucket: any text will do that has
+met them all. The buckets of one family overlap, so large buckets are split by the first leader of
+those that their members are in (the head), and a member is split about once, not once for each
+leader that it has. The order puts shingles that were not met twice among ``SAMPLE`` members of a
+large bucket first and the most common last: it only decides how small the new buckets get, not
+what is found.
 
 Buckets whose members are all of one class are done at any point, buckets with the same members
 count once, and small buckets are settled pair by pair, where texts too unlike in size aren't
@@ -170,9 +174,10 @@ def verified(similar: float):
 def outside(similar: float, whole: bool = False):
     """For pairs (leader a, member b) the shingles of b that a lacks, or has less often.
 
-    Those come that b shares at least one of with any text that it is linked to and that is no
-    smaller than a; ``whole``: all of them. The order is by hash, but what is in ``common`` comes
-    last, in the order given there.
+    Those come that b shares at least one of with any text that it is linked to, that has ``least``
+    shingles or more and that a doesn't settle; ``whole``: all of them. The order is by hash, but
+    what is in ``common`` comes last, in the order given there. A null stands for texts smaller
+    than a that b may be linked to without any of its shingles, and marks them too.
     """
 
     def run(batches):
@@ -184,9 +189,10 @@ def outside(similar: float, whole: bool = False):
 
 
 def _outside(batch, similar, whole):
-    items = []
+    items, open_ = [], np.zeros(batch.num_rows, bool)
+    least = None if whole else batch.column("least").to_numpy()
     late = [None] * batch.num_rows if whole else [x.values.to_numpy() if x.is_valid else None for x in batch.column("common")]
-    for (a, wa, b, wb), common in zip(_pairs_of(batch), late, strict=True):
+    for k, ((a, wa, b, wb), common) in enumerate(zip(_pairs_of(batch), late, strict=True)):
         have = np.zeros(len(b), np.int64)
         _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
         have[ib] = wa[ia]
@@ -196,16 +202,19 @@ def _outside(batch, similar, whole):
         item = np.sort(mix64(b[which] + mix64(nth.astype(np.uint64))).view(np.int64))
         if not whole:
             size, leader, shared = int(wb.sum()), int(wa.sum()), int(wb.sum() - more.sum())
-            need = int(np.ceil(similar / (1 + similar) * (size + max(leader, similar * size)) - 1e-9)) - shared
+            need = int(np.ceil(similar / (1 + similar) * (size + max(least[k], similar * size)) - 1e-9)) - shared
+            open_[k] = need <= 0 and (size < leader or shared < similar / (1 + similar) * (size + leader) - 1e-9)
             if common is not None:
                 order = np.argsort(common, kind="stable")
                 at = np.minimum(np.searchsorted(common, item, sorter=order), len(common) - 1)
                 there = common[order[at]] == item
                 item = np.concatenate([item[~there], common[np.sort(order[at[there]])]])
             item = item[: max(0, len(item) - max(1, need) + 1)]
-        items.append(item)
+        items.append(np.append(item, 0) if open_[k] else item)
     ends = np.cumsum([0, *map(len, items)])
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(items) if items else np.zeros(0, np.int64)))
+    none = np.zeros(ends[-1], bool)
+    none[ends[1:][open_] - 1] = True
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(items) if items else np.zeros(0, np.int64), mask=none))
     return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), lists], names=["a", "b", "items"])
 
 
@@ -246,27 +255,31 @@ class _Settling:
         return labels
 
     def different(self, buckets: DataFrame) -> DataFrame:
-        """(bucket, node, size) with one bucket of those that hold the same members."""
+        """(bucket, node, size, by_size) with one bucket of those that hold the same members, and how many each node meets in all."""
         marks = buckets.groupBy("bucket").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("_s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("_x"))
-        one = self.scratch.table(marks.groupBy("_n", "_s", "_x").agg(F.min("bucket").alias("bucket")).select("bucket"), "different")
-        out = self.scratch.table(buckets.join(one, "bucket"), "buckets")
-        self.scratch.drop(one)
+        one = self.scratch.table(marks.groupBy("_n", "_s", "_x").agg(F.min("bucket").alias("bucket")).select("bucket", "_n"), "different")
+        held = self.scratch.table(buckets.join(one, "bucket"), "held")
+        meets = held.groupBy("node").agg(F.sum("_n").alias("meets"))
+        out = self.scratch.table(held.drop("_n").join(meets, "node"), "buckets")
+        self.scratch.drop(one, held)
         return out
 
     def led(self, active: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """Buckets of several classes, with their leader and its size."""
-        rows = _labelled(active, labels).groupBy("bucket").agg(F.min(F.struct("size", "node", "label")).alias("l"), F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("n"))
-        return self.scratch.table(rows.filter("_low <> _high").select("bucket", F.col("l.node").alias("a"), F.col("l.label").alias("of"), F.col("l.size").alias("_least"), "n"), "leaders")
+        """Buckets of several classes, with their leader and its place among leaders."""
+        first = F.struct(F.when(F.col("by_size"), 0).otherwise(-F.col("meets")).alias("meets"), "size", "node", "label")
+        rows = _labelled(active, labels).groupBy("bucket").agg(F.min(first).alias("l"), F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("n"))
+        return self.scratch.table(rows.filter("_low <> _high").select("bucket", F.col("l.node").alias("a"), F.col("l.label").alias("of"), F.struct("l.meets", "l.size", "l.node").alias("_place"), "n"), "leaders")
 
     def heads(self, large: DataFrame) -> DataFrame:
-        """(bucket, head): the least leader of the large buckets that any member of a bucket is in.
+        """(bucket, head): the first leader of the large buckets that any member of a bucket is in.
 
         The buckets of a family overlap, and so have few heads, most members only one, where they
-        have a leader for each bucket. A head is no larger than the bucket's own leader.
+        have a leader for each bucket. Buckets led by size keep their own leader, as no member is smaller.
         """
-        own = large.select("bucket", "node", F.struct(F.col("_least").alias("size"), F.col("a").alias("node")).alias("l"))
+        own = large.filter("NOT by_size").select("bucket", "node", F.col("_place").alias("l"))
         least = own.groupBy("node").agg(F.min("l").alias("l"))
-        return self.scratch.table(own.select("bucket", "node").join(least, "node").groupBy("bucket").agg(F.min("l").alias("l")).select("bucket", F.col("l.node").alias("head")), "heads")
+        shared = own.select("bucket", "node").join(least, "node").groupBy("bucket").agg(F.min("l").alias("l")).select("bucket", F.col("l.node").alias("head"))
+        return self.scratch.table(shared.union(large.filter("by_size").groupBy("bucket").agg(F.min("a").alias("head"))), "heads")
 
     def paired(self, few: DataFrame) -> DataFrame:
         """The pairs of different classes within small buckets, each met in the first bucket that both are in."""
@@ -290,33 +303,34 @@ class _Settling:
         return out
 
     def split(self, many: DataFrame) -> DataFrame:
-        """New buckets (bucket, node, size) of the members ``many(a, b, size, label)`` that their leaders a don't settle."""
+        """New buckets (bucket, node, size, by_size) of the members ``many(a, b, size, label)`` that their leaders a don't settle."""
         common = self.common(many)
-        with_text = self.texts(many, common).select("a", "b", "text_a", "text_b", "common")
+        of_leader = many.groupBy("a").agg(F.min("size").alias("least")).join(common, "a", "left")
+        with_text = self.texts(many, of_leader).select("a", "b", "text_a", "text_b", "least", "common")
         parts = with_text.mapInArrow(outside(self.similar), "a long, b long, items array<long>")
         items = parts.join(many, ["a", "b"]).select("a", "b", "size", "label", F.explode("items").alias("item"))
-        items = self.scratch.table(items.select(F.xxhash64("a", "item").alias("bucket"), F.col("b").alias("node"), "size", "label"), "outside")
+        items = self.scratch.table(items.select(F.xxhash64("a", "item").alias("bucket"), F.col("b").alias("node"), "size", "label", F.col("item").isNull().alias("by_size")), "outside")
         shared = items.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("bucket")
         shared = self.scratch.table(shared, "open")
-        out = self.different(items.join(shared, "bucket").select("bucket", "node", "size"))
+        out = self.different(items.join(shared, "bucket").select("bucket", "node", "size", "by_size"))
         self.scratch.drop(common, items, shared)
         return out
 
     def classes(self, active: DataFrame) -> DataFrame | None:
         """node, label of all nodes that are linked to others, from buckets (bucket, node, size)."""
-        active = self.different(active)
+        active = self.different(active.withColumn("by_size", F.lit(False)))
         # most members meet the same few leaders in many buckets; one leader each is a start
         lead = self.led(active, None)
         if is_empty(lead):
             return None
-        start = active.join(lead, "bucket").filter("node <> a").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
+        start = active.join(lead, "bucket").filter("node <> a").groupBy("node").agg(F.min("_place").alias("l")).select(F.col("l.node").alias("a"), F.col("node").alias("b"))
         labels, most = self.linked(None, start), SMALL
         while True:
             self.scratch.drop(lead)
             lead = self.led(active, labels)
             if is_empty(lead):
                 return labels
-            led = self.scratch.table(active.join(lead, "bucket").select("bucket", "node", "size", "a", "of", "_least", "n"), "led")
+            led = self.scratch.table(active.join(lead, "bucket").select("bucket", "node", "size", "by_size", "a", "of", "_place", "n"), "led")
             large = led.filter(F.col("n") > most)
             heads = self.heads(large)
             met = self.scratch.table(large.join(heads, "bucket").filter(F.col("node") != F.col("a")).select("bucket", "node", "size", "a", "of", "head"), "met")

@@ -172,6 +172,54 @@ def test_members_of_a_family_are_split_once(spark, monkeypatch):
     assert met and all(pairs <= 1.5 * members for pairs, members in met), met
 
 
+def test_a_family_is_led_by_the_text_it_copies(spark, monkeypatch):
+    """Copies of one text with few to many edits, a shorter one among them: the text itself leads, so little is left open."""
+    rng = random.Random(8)
+    base, rows = [f"w{k}" for k in range(150)], []
+    for k in range(300):
+        text = list(base)
+        for j in range(1 + min(rng.randrange(12), rng.randrange(12))):
+            text[rng.randrange(150)] = f"n{k}-{j}" if rng.random() < 0.7 else f"often{rng.randrange(40)}"
+        rows.append((k, " ".join(text)))
+    rows += [(300, " ".join(base)), (301, " ".join(base[:147]))]
+    linked, met = minhash_dedup._Settling.linked, []
+
+    def counted(self, labels, pairs):
+        met.append(pairs.count())
+        return linked(self, labels, pairs)
+
+    monkeypatch.setattr(minhash_dedup._Settling, "linked", counted)
+    got = minhash_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == sorted(classes(rows))
+    # what the family's leader leaves open once all have met it
+    assert sum(met[2:]) <= len(rows) / 2, met
+
+
+def test_texts_smaller_than_their_leader(spark, monkeypatch):
+    """Links of texts that the leader misses to smaller ones, which may share nothing outside it."""
+    monkeypatch.setattr(minhash_dedup, "SMALL", 2)
+    monkeypatch.setattr(minhash_dedup, "GROWTH", 6)
+    rng = random.Random(31)
+    base, rows = [f"w{k}" for k in range(100)], []
+    for k in range(40):
+        text = list(base)
+        for j in range(rng.choice([0, 1, 2, 2, 3, 3])):
+            at = rng.randrange(len(text))
+            text[at : at + rng.choice([0, 1, 1, 3])] = [f"n{k}-{j}"] * rng.choice([0, 1, 1, 2])
+        low = rng.choice([0, 0, 4, 8])
+        rows.append((k, " ".join(text[low : len(text) - rng.choice([0, 0, 6, 12])])))
+    different, by_size = minhash_dedup._Settling.different, []
+
+    def counted(self, buckets):
+        by_size.append(buckets.filter("by_size").count())
+        return different(self, buckets)
+
+    monkeypatch.setattr(minhash_dedup._Settling, "different", counted)
+    got = minhash_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == sorted(classes(rows))
+    assert any(by_size), by_size
+
+
 def test_other_thresholds_are_refused(documents):
     with pytest.raises(ValueError):
         minhash_dedup.near_groups(documents, similar=0.5)
