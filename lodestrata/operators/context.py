@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.shared import settled
+from ..sources.shared import forget, settled
 
 
 def neighbour_expand(hits: DataFrame, chunks: DataFrame, key: str, discount: float = 0.75) -> DataFrame:
@@ -51,9 +51,23 @@ def budget_fill(items: Column, cap: int | Column) -> Column:
     return F.aggregate(items, start, step, lambda s: s["out"])
 
 
+def within_budget(df: DataFrame, by: str, order: list[Column], tokens: str, cap: int | Column) -> DataFrame:
+    """The rows that ``budget_fill`` might take: of those of n tokens, the first cap / n + 1 in order.
+
+    Once one of n tokens doesn't fit, none of as many does, so those of n tokens that fit are the
+    first of their size. What is left depends on the budget, not on how many rows there are.
+    """
+    cap = cap if isinstance(cap, Column) else F.lit(cap)
+    n = F.col(tokens).cast("long")
+    place = F.row_number().over(Window.partitionBy(by, F.least(n, cap + 1)).orderBy(*order))
+    most = F.greatest(F.floor(cap / F.greatest(n, F.lit(1))), F.lit(0)) + 1
+    return df.withColumn("_place", place).filter((F.col("_place") <= most) | (n == 0)).drop("_place")
+
+
 def fill(df: DataFrame, by: str, order: str, tokens: str, cap: int) -> DataFrame:
-    """The rows that fit, for each group. A group is a question's candidates, so it is short."""
-    grouped = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("tokens"), F.struct(*df.columns).alias("row")))).alias("_i"))
+    """The rows that fit, for each group. Only those that may fit meet in one row."""
+    few = within_budget(df, by, [F.col(order), F.col(tokens), F.struct(*df.columns)], tokens, cap)
+    grouped = few.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("tokens"), F.struct(*df.columns).alias("row")))).alias("_i"))
     kept = grouped.select(F.explode(F.arrays_zip("_i", budget_fill(F.col("_i"), cap).alias("fits"))).alias("z"))
     return kept.filter("z.fits").select("z._i.row.*")
 
@@ -74,20 +88,44 @@ def containment_pairs(left: DataFrame, right: DataFrame, left_key: str, right_ke
 
 
 def greedy_dedup(units: DataFrame, by: str, order: str, key: str, n: int = 8, least: float = 0.8) -> DataFrame:
-    """Units in order, without those an earlier kept one repeats or contains. One group is one question's pool, so it is short.
+    """Units in order, without those an earlier kept one repeats or contains. A pool may be of any size.
 
-    A fold over the pool in order, with each unit's runs of words worked out once before it.
+    Of units with equal texts only the first can stay. A unit meets the earlier ones that hold one
+    of its rarest runs of words: it needs ``least`` of its runs in the other, so one of any
+    1 - ``least`` of them and one more. Then the pairs are settled in rounds: a unit goes if one
+    that is sure to stay contains it, and is sure to stay once all that contain it are gone.
     """
-    runs = text.shingles(F.coalesce("text", F.lit("")), n)
-    prepared = units.select(F.col(by), F.struct(F.col(order).alias("o"), F.col(key).alias("k"), text.normalise_context(F.coalesce("text", F.lit(""))).alias("t"), F.transform(runs, lambda x: F.xxhash64(x)).alias("r")).alias("u"))
-    pools = prepared.groupBy(by).agg(F.array_sort(F.collect_list("u")).alias("us"))
-
-    def step(kept, u):
-        repeats = F.exists(kept, lambda x: (x["t"] == u["t"]) | ((F.size(u["r"]) > 0) & (F.size(F.array_intersect(u["r"], x["r"])) >= least * F.size(u["r"]))))
-        return F.when(repeats, kept).otherwise(F.concat(kept, F.array(u)))
-
-    kept = F.aggregate("us", F.slice(F.col("us"), F.lit(1), F.lit(0)), step)
-    return pools.select(by, F.explode(kept).alias("u")).select(by, F.col("u.k").alias(key))
+    runs = F.transform(text.shingles(F.coalesce("text", F.lit("")), n), lambda x: F.xxhash64(x))
+    place = F.struct(F.col(order).alias("o"), F.col(key).alias("k"))
+    flat = units.select(F.col(by), place.alias("p"), text.normalise_context(F.coalesce("text", F.lit(""))).alias("t"), runs.alias("r"))
+    first = flat.groupBy(by, "t").agg(F.min("p").alias("p"), F.first("r").alias("r"))
+    pool = settled(first.select(by, "p", "r", F.monotonically_increasing_id().alias("id"), F.size("r").alias("n")))
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * least - 1e-6))
+    held = pool.select(F.col(by).alias("_by"), "p", "id", "n", F.explode("r").alias("run"))
+    often = held.groupBy(F.col("_by").alias("_in"), F.col("run").alias("_run")).agg(F.count("*").alias("c"))
+    counted = settled(held.join(often, F.col("_by").eqNullSafe(F.col("_in")) & (F.col("run") == F.col("_run"))).drop("_in", "_run"))
+    rarest = F.row_number().over(Window.partitionBy("id").orderBy("c", "run"))
+    asks = counted.withColumn("_at", rarest).filter((F.col("_at") <= F.col("n") - need + 1) & (F.col("c") > 1)).select("_by", "run", "p", F.col("id").alias("u"), need.alias("need"))
+    there = counted.filter("c > 1").select(F.col("_by").alias("_in"), F.col("run").alias("_run"), F.col("p").alias("_p"), F.col("id").alias("k"), F.col("n").alias("_n"))
+    met = asks.join(there, F.col("_by").eqNullSafe(F.col("_in")) & (F.col("run") == F.col("_run")) & (F.col("_p") < F.col("p")) & (F.col("_n") >= F.col("need"))).select("u", "k").distinct()
+    both = met.join(pool.select(F.col("id").alias("u"), F.col("r").alias("ru")), "u").join(pool.select(F.col("id").alias("k"), F.col("r").alias("rk")), "k")
+    pairs = settled(both.filter(F.size(F.array_intersect("ru", "rk")) >= F.size("ru") * least).select("u", "k"))
+    gone = _contained(pairs)
+    forget(counted)
+    return pool.join(gone.withColumnRenamed("u", "id"), "id", "left_anti").select(by, F.col("p.k").alias(key))
+
+
+def _contained(pairs: DataFrame) -> DataFrame:
+    """Who goes, of settled pairs (u, k): u goes if k stays. No chain of pairs leads back."""
+    gone = None
+    while pairs.take(1):
+        waiting = pairs.select(F.col("u").alias("k")).distinct()
+        now = settled(pairs.join(waiting, "k", "left_anti").select("u").distinct())
+        gone = now if gone is None else gone.union(now)
+        further = settled(pairs.join(now, "u", "left_anti").join(now.select(F.col("u").alias("k")), "k", "left_anti").select("u", "k"))
+        forget(pairs)
+        pairs = further
+    return pairs.select("u") if gone is None else gone
 
 
 def table_assembly(parts: DataFrame, matched: DataFrame, most_parts: int = 6, most_tokens: int = 3000) -> DataFrame:
@@ -177,7 +215,8 @@ def assemble(units: DataFrame, plans: DataFrame, outline: DataFrame | None = Non
         F.first("context_tokens").alias("context_tokens"), F.first("document_order").alias("document_order"),
     )
     ranked = merged.withColumn("tokens", text.word_count_tokens(F.col("text")).cast("long")).withColumn("_at", F.struct((-F.col("relevance")).alias("r"), "source", "section", "_run"))
-    pools = ranked.groupBy("query_id", "context_tokens").agg(F.array_sort(F.collect_list(F.struct("_at", "tokens", F.struct(*ranked.columns).alias("row")))).alias("_i"))
+    few = within_budget(ranked, "query_id", [F.col("_at")], "tokens", F.col("context_tokens"))
+    pools = few.groupBy("query_id", "context_tokens").agg(F.array_sort(F.collect_list(F.struct("_at", "tokens", F.struct(*ranked.columns).alias("row")))).alias("_i"))
     fits = pools.select(F.explode(F.arrays_zip("_i", budget_fill(F.col("_i"), F.col("context_tokens")).alias("fits"))).alias("z")).filter("z.fits").select("z._i.row.*")
     blocks = fits.groupBy("query_id", "source", "section", "document_order").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "_run", "text"))), lambda x: x["text"]), "\n\n").alias("text"), F.flatten(F.collect_list("members")).alias("members"), F.max("relevance").alias("relevance"),

@@ -43,6 +43,39 @@ def test_greedy_dedup(spark):
     assert got == sorted((c, k) for c, units in pools.items() for k in greedy(units))
 
 
+def test_greedy_dedup_of_large_pools(spark):
+    """Chains of units that contain each other, equal ones and a null pool, without a pool in one row."""
+    rng, rows = random.Random(12), []
+    for pool in (1, 2, None):
+        words = [f"w{rng.randrange(60)}" for _ in range(160)]
+        for k in range(150):
+            low = rng.randrange(120)
+            part = words[low : low + rng.choice([3, 8, 12, 20, 40])]
+            if rng.random() < 0.3:
+                part[rng.randrange(len(part))] = "other"
+            rows.append((pool, k, rng.choice(["", "  "]).join([" ".join(part)]).upper() if rng.random() < 0.2 else " ".join(part)))
+    out = context.greedy_dedup(spark.createDataFrame(rows, "q int, o int, text string").repartition(3), "q", "o", "o")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    want = {(q, o) for pool in (1, 2, None) for q, o in [(pool, k) for k in greedy([(o, t) for q, o, t in rows if q == pool])]}
+    assert {(r.q, r.o) for r in out.collect()} == want
+
+
+def test_budget_of_many_rows(spark):
+    """What may fit is bounded by the budget, and it is what a walk over all rows takes."""
+    rng = random.Random(6)
+    rows = [(q, k, rng.choice([0, 1, 2, 7, 30, 99, 100, 101, 500])) for q in range(4) for k in range(2000)]
+    rows = [r for r in rows if r[0] != 3 or r[2] > 100] + [(4, 0, 500), (4, 1, 0), (5, 0, 100), (5, 1, 0)]
+    units = spark.createDataFrame(rows, "q int, o int, tokens int")
+    want, used = set(), {}
+    for q, k, n in rows:
+        if q not in used or used[q] + n <= 100:
+            used[q] = used.get(q, 0) + n
+            want.add((q, k))
+    assert {(r.q, r.o) for r in context.fill(units, "q", "o", "tokens", 100).collect()} == want
+    few = context.within_budget(units.filter("tokens > 0"), "q", [F.col("o")], "tokens", 100)
+    assert few.groupBy("q").count().agg(F.max("count")).first()[0] <= 250
+
+
 def test_labels_of_any_script(spark):
     values = ["Österreich", "Congé payé", "日本", "(Größe) – mm:", "--A1--", "ÉTÉ."]
     df = spark.createDataFrame([(v,) for v in values], "t string")
