@@ -13,7 +13,9 @@ added up by pair. For the way back each block asks once for each of its pairs, n
 document, so what moves grows with the distinct pairs of the blocks, and a pair that stands
 everywhere moves once a block. Pairs that very many blocks ask for are answered by a broadcast
 of a checked size, the others by a join that shuffles. Blocks are written to shared storage
-before they are counted and name their pairs by place; texts and tokens never move.
+before they are counted, a short row for each pair and for each document, which names its pairs by
+place; texts and tokens never move. The answers to a block's pairs and its documents meet in one
+sorted stream, answers first, so no row, group or list of Spark's holds a whole block.
 
 Defined cases: null and empty texts, and texts whose tokens don't give back the space and text byte
 for byte in both vocabularies, have no tokens: zeros and an empty digest. A row gives a row, and
@@ -38,6 +40,8 @@ from .packing import FAST_UP_TO, _byte_letters, encoders
 
 #: Bytes of text in a block, and of those encoded in one go.
 BLOCK, PART = 1 << 22, 1 << 18
+#: Rows of pairs handed on in one go.
+ROWS = 10_000
 #: Bits of an id of B in a pair's number.
 SHIFT = 20
 NONE, A_END, B_END, BOTH = (ord(c) for c in ".ab|")
@@ -54,11 +58,9 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
         self.fast = encoders(path_a)[0]
-        self.exact = Tokenizer.from_file(path_a)
-        self.exact.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.path_a = path_a
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         with open(path_a, encoding="utf-8") as f:
             spec = json.load(f)
@@ -70,6 +72,15 @@ class Aligner:
         # an id as it is written in a group: with what follows it there
         self.inner, self.last_a, self.last_b = (np.array([f"{k}{c}" for k in range(max(len(self.bytes_a), len(self.bytes_b)))], object) for c in ",|;")
 
+    @functools.cached_property
+    def exact(self):
+        """The slower library, which few workers need."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path_a)
+        out.encode_special_tokens = True  # their strings in a text are ordinary text
+        return out
+
     def _piece(self, k: int) -> bytes:
         piece = self.b.id_to_piece(k)
         if self.b.is_byte(k):
@@ -166,86 +177,125 @@ def links(group_a: np.ndarray, ids_a: np.ndarray, group_b: np.ndarray, ids_b: np
     return ga[left], (a[left] << SHIFT) + b[right], na[left] * nb[right]
 
 
+def _added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sum of ``n`` of each."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(n[order], first)
+
+
+def _part(both: Aligner, texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+    """The figures of each text, how many distinct pairs it has, and these pairs with how often they are linked, text by text."""
+    figures, ga, ia, gb, ib, owner, opened = [], [], [], [], [], [], 0
+    for k, found in enumerate(both.encode(texts)):
+        if found is None:
+            figures.append((0, 0, 0, 0, ""))
+            continue
+        one, two = found
+        of = group_sizes(labels(np.cumsum(both.size_a[one]), np.cumsum(both.size_b[two])))
+        numbers = np.arange(opened, opened + len(of))
+        ga.append(np.repeat(numbers, of[:, 0]))
+        gb.append(np.repeat(numbers, of[:, 1]))
+        ia.append(one)
+        ib.append(two)
+        owner.append(np.full(len(of), k))
+        opened += len(of)
+        figures.append((len(one), len(two), len(of), int((of[:, 0] * of[:, 1]).sum()), hashlib.sha256(both.written(one, two, of).encode()).hexdigest()))
+    if not opened:
+        return figures, np.zeros(len(texts), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    group, pair, n = links(*map(np.concatenate, (ga, ia, gb, ib)))
+    key, n = _added((np.concatenate(owner)[group] << 2 * SHIFT) + pair, n)  # a part's documents are fewer than 2^23
+    return figures, np.bincount(key >> 2 * SHIFT, minlength=len(texts)), key & ((1 << 2 * SHIFT) - 1), n
+
+
+def _place_type(pairs: int) -> str:
+    """Of the places of so many pairs."""
+    return "<u2" if pairs <= 1 << 16 else "<u4"
+
+
+#: What a document has before its pairs are counted, for Spark and for Arrow.
+FIGURES = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
+_FIGURES = [pa.field(n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")] + [pa.field("groups_sha256", pa.string())]
+
+
 def _aligned(path_a: str, path_b: str):
-    """Rows of texts to one row per block: its pairs, in how many of its documents each stands, and its documents."""
-    document = pa.struct([("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("at", pa.binary()), ("times", pa.binary())])
+    """Rows of texts to blocks: a row for each distinct pair, with how many documents hold it, then one for each document."""
+
+    def rows(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches):
         both = aligner(path_a, path_b)
         for whole in batches:
+            schema = pa.schema([("_block", pa.int64()), ("_place", pa.int64()), ("_pair", pa.int64()), ("_held", pa.int64()), ("_id", whole.column("_id").type), *_FIGURES, ("at", pa.binary()), ("times", pa.binary())])
             for batch in slices(whole, "_text", BLOCK):
-                docs, ga, ia, gb, ib, owner, opened = [], [], [], [], [], [], 0
-                for k, found in enumerate(x for part in slices(batch, "_text", PART) for x in both.encode(part.column("_text").to_pylist())):
-                    if found is None:
-                        docs.append([0, 0, 0, 0, ""])
-                        continue
-                    one, two = found
-                    of = group_sizes(labels(np.cumsum(both.size_a[one]), np.cumsum(both.size_b[two])))
-                    numbers = np.arange(opened, opened + len(of))
-                    ga.append(np.repeat(numbers, of[:, 0]))
-                    gb.append(np.repeat(numbers, of[:, 1]))
-                    ia.append(one)
-                    ib.append(two)
-                    owner.append(np.full(len(of), k))
-                    opened += len(of)
-                    docs.append([len(one), len(two), len(of), int((of[:, 0] * of[:, 1]).sum()), hashlib.sha256(both.written(one, two, of).encode()).hexdigest()])
-                pairs, held, at, times, cut = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(batch.num_rows + 1, np.int64)
-                if opened:
-                    group, pair, n = links(*map(np.concatenate, (ga, ia, gb, ib)))
-                    key = (np.concatenate(owner)[group] << 2 * SHIFT) + pair  # a block's documents are fewer than 2^23
-                    order = np.argsort(key, kind="stable")
-                    key, n = key[order], n[order]
-                    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-                    key, times = key[first], np.add.reduceat(n, first)
-                    doc, pair = key >> 2 * SHIFT, key & ((1 << 2 * SHIFT) - 1)
-                    pairs, at, held = np.unique(pair, return_inverse=True, return_counts=True)
-                    at, cut = at.astype("<i4"), np.searchsorted(doc, np.arange(batch.num_rows + 1))
-                rows = [(*d, at[cut[k] : cut[k + 1]].tobytes(), times[cut[k] : cut[k + 1]].astype("<i8").tobytes()) for k, d in enumerate(docs)]
-                names = [f.name for f in document]
-                ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("_id"))
-                listed = pa.array([[dict(zip(names, r, strict=True)) for r in rows]], pa.list_(document))
-                yield pa.RecordBatch.from_arrays([batch.column("_key").slice(0, 1), pa.array([pairs], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.int64())), ids, listed], names=["_block", "_pairs", "_held", "_ids", "_docs"])
+                figures, sizes, linked, often = [], [], [], []
+                for part in slices(batch, "_text", PART):
+                    of, size, pair, n = _part(both, part.column("_text").to_pylist())
+                    figures += of
+                    sizes.append(size)
+                    linked.append(pair)
+                    often.append(n.astype(np.min_scalar_type(int(n.max(initial=0)))))
+                pairs, at, held = np.unique(np.concatenate(linked), return_inverse=True, return_counts=True)
+                at, cut = at.astype(_place_type(len(pairs))), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+                often = [n for size, of in zip(sizes, often, strict=True) for n in np.split(of, np.cumsum(size)[:-1])]
+                block = batch.column("_key")[0].as_py()
+                for low in range(0, len(pairs), ROWS):
+                    some = slice(low, low + ROWS)
+                    n = len(pairs[some])
+                    yield rows(schema, n, _block=pa.array(np.full(n, block)), _place=pa.array(np.arange(low, low + n)), _pair=pa.array(pairs[some]), _held=pa.array(held[some]))
+                columns = {f.name: pa.array(column, f.type) for f, column in zip(_FIGURES, zip(*figures, strict=True), strict=True)}
+                places = pa.array([at[low:high].tobytes() for low, high in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+                times = pa.array([n.astype(n.dtype.newbyteorder("<")).tobytes() for n in often], pa.binary())
+                yield rows(schema, batch.num_rows, _block=pa.array(np.full(batch.num_rows, block)), _id=batch.column("_id"), at=places, times=times, **columns)
 
     return run
 
 
-DOCUMENT = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, at binary, times binary"
-
-
 def _summed(batches):
-    """Blocks with the counts of their pairs, by place, to a row for each document."""
+    """Answers to the pairs of a block in order of place, then its documents, block after block: a row for each document."""
+    block, told, count, best = None, [], None, None
     for batch in batches:
-        for row in range(batch.num_rows):
-            place = batch.column("_place")[row].values
-            size = len(batch.column("_pairs")[row])
-            count, best = np.zeros(size, np.int64), np.zeros(size, bool)
-            if place is not None and len(place):
-                where = place.to_numpy(zero_copy_only=False)
-                count[where] = batch.column("_count")[row].values.to_numpy(zero_copy_only=False)
-                best[where] = batch.column("_best")[row].values.to_numpy(zero_copy_only=False)
-            docs = batch.column("_docs")[row].values.flatten()
+        if not batch.num_rows:
+            continue
+        of, place = batch.column("_block").to_numpy(), batch.column("_place")
+        document = place.is_null().to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (document[1:] != document[:-1]))))
+        for low, high in zip(starts, np.append(starts[1:], len(of)), strict=True):
+            rows = batch.slice(low, high - low)
+            if of[low] != block:
+                block, told, count = of[low], [], None
+            if not document[low]:
+                told.append((rows.column("_count").to_numpy(), rows.column("_best").to_numpy(zero_copy_only=False)))
+                continue
+            if count is None:
+                count, best = (np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.zeros(0, np.int64), np.zeros(0, bool))
+                told, kind = [], _place_type(len(count))
             n_best, total = [], []
-            for at, times in zip(docs[5].to_pylist(), docs[6].to_pylist(), strict=True):
-                at, times = np.frombuffer(at, "<i4"), np.frombuffer(times, "<i8")
+            for at, times in zip(rows.column("at").to_pylist(), rows.column("times").to_pylist(), strict=True):
+                at = np.frombuffer(at, kind)
+                times = np.frombuffer(times, f"<u{len(times) // max(1, len(at)) or 1}").astype(np.int64)
                 n_best.append(int(times[best[at]].sum()))
                 total.append(int((times * count[at]).sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_ids")[row].values, *docs[:4], pa.array(n_best, pa.int64()), pa.array(total, pa.int64()), docs[4]],
+                [*map(rows.column, ("_id", "n_a", "n_b", "n_groups", "n_links")), pa.array(n_best, pa.int64()), pa.array(total, pa.int64()), rows.column("groups_sha256")],
                 names=["_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
             )
 
 
 def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Aligned documents in blocks, written to shared storage."""
+    """Aligned documents in blocks, written to shared storage: rows with a ``_place`` are pairs, the others documents."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_or_empty(text_col).alias("_text"), F.monotonically_increasing_id().alias("_key"))
-    return materialise(rows.mapInArrow(_aligned(path_a, path_b), f"_block long, _pairs array<long>, _held array<long>, _ids array<{kind}>, _docs array<struct<{DOCUMENT}>>"), "aligned")
+    schema = f"_block long, _place long, _pair long, _held long, _id {kind}, {FIGURES}, at binary, times binary"
+    return materialise(rows.mapInArrow(_aligned(path_a, path_b), schema), "aligned")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """Every linked pair of ids: id_a, id_b, in how many documents it stands, and whether no other of its id_a stands in more."""
-    held = aligned.select(F.explode(F.arrays_zip("_pairs", "_held")).alias("x")).select(F.col("x._pairs").alias("_pair"), F.col("x._held").alias("n"))
-    counts = held.groupBy("_pair").agg(F.sum("n").alias("n_docs"), F.count("*").alias("_asked")).withColumn("id_a", F.shiftrightunsigned("_pair", SHIFT))
+    held = aligned.filter("_place IS NOT NULL")
+    counts = held.groupBy("_pair").agg(F.sum("_held").alias("n_docs"), F.count("*").alias("_asked")).withColumn("id_a", F.shiftrightunsigned("_pair", SHIFT))
     counts = materialise(counts, "pairs")
     most = counts.groupBy("id_a").agg(F.max("n_docs").alias("_most"))  # as many rows as A has ids
     return counts.join(most, "id_a").select("_pair", "id_a", F.col("_pair").bitwiseAND((1 << SHIFT) - 1).alias("id_b"), "n_docs", (F.col("n_docs") == F.col("_most")).alias("best"), "_asked")
@@ -256,9 +306,9 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     kind = docs.schema[id_col].dataType.simpleString()
     aligned = blocks(docs, path_a, path_b, id_col, text_col)
     counts = pair_counts(aligned).withColumnRenamed("_pair", "_of")
-    asked = aligned.select("_block", F.posexplode("_pairs").alias("_place", "_pair"))
-    told = looked_up(asked, "_pair", counts.select("_of", F.col("n_docs").alias("_count"), F.col("best").alias("_best"), "_asked"), "_of", "_asked")
-    told = told.groupBy("_block").agg(F.collect_list(F.struct("_place", "_count", "_best")).alias("_told"))  # as many as a block of some MB has pairs
-    back = aligned.join(told, "_block", "left").select("_pairs", "_ids", "_docs", *[F.col(f"_told.{c}").alias(c) for c in ("_place", "_count", "_best")])
-    out = back.mapInArrow(_summed, f"_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    asked = aligned.filter("_place IS NOT NULL").select("_block", "_place", "_pair")
+    told = looked_up(asked, "_pair", counts.select("_of", F.col("n_docs").alias("_count"), F.col("best").alias("_best"), "_asked"), "_of", "_asked").drop("_pair")
+    both = told.unionByName(aligned.filter("_place IS NULL").drop("_pair", "_held"), allowMissingColumns=True)
+    stream = both.repartition("_block").sortWithinPartitions("_block", F.col("_place").asc_nulls_last())
+    out = stream.mapInArrow(_summed, f"_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
     return out.withColumnRenamed("_id", id_col)

@@ -1,11 +1,14 @@
 import hashlib
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestrata.llm import alignment, common
@@ -91,6 +94,41 @@ def test_blocks_and_hot_pairs_change_nothing(spark, documents, monkeypatch):
     assert sorted(map(tuple, alignment.align(docs.repartition(5), A, B).collect())) == want
 
 
+def test_a_block_is_handed_on_in_short_rows(documents):
+    texts = [r.text or "" for r in documents.select("text").collect()]
+    texts *= alignment.BLOCK // sum(map(len, texts)) + 1
+    alignment.aligner(A, B)
+    batch = pa.RecordBatch.from_pydict({"_id": list(range(len(texts))), "_text": texts, "_key": list(range(len(texts)))})
+    tracemalloc.start()
+    try:
+        rows = [(out.num_rows, out.nbytes) for out in alignment._aligned(A, B)([batch])]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert max(size / n for n, size in rows) < 1 << 16
+    assert peak < 100e6
+
+
+def test_answers_come_in_pieces(spark, documents):
+    docs = spark.createDataFrame(documents.limit(30).collect(), documents.schema).repartition(3)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "7")
+    try:
+        check(docs)
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_many_pairs_and_many_times(spark):
+    """Places and numbers that take more bytes than those of other blocks do."""
+    letters = np.random.default_rng(0).choice(list("abcdefghijklmnopqrstuvwxyz"), (4000, 25, 14))
+    texts = [" ".join(map("".join, words)) for words in letters] + ["the " * 700, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert alignment.blocks(docs, A, B).agg(F.max("_place")).first()[0] > 1 << 16
+    check(docs)
+
+
 def test_pair_counts(spark):
     docs = spark.createDataFrame([(1, "hello hello"), (2, "hello"), (3, "world")], "doc_id long, text string")
     rows = alignment.pair_counts(alignment.blocks(docs, A, B)).collect()
